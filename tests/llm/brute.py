@@ -173,6 +173,69 @@ def packed_ids(docs, path, capacity=2048):
     return out
 
 
+def token_count(text, vocabulary, mark="▁"):
+    """(pre-tokens, tokens) of a text, one pre-token at a time."""
+    total, own = 0, words(text)
+    for w in own:
+        t = mark + w
+        score, count = [0.0], [0]
+        for at in range(1, len(t) + 1):
+            width = len(t[at - 1].encode())
+            best = (score[at - 1] + vocabulary.byte * width, -1, count[at - 1] + width)
+            for start in range(max(0, at - vocabulary.longest), at):
+                piece = vocabulary.scores.get(t[start:at])
+                if piece is not None:
+                    best = max(best, (score[start] + piece, at - start, count[start] + 1))
+            score.append(best[0])
+            count.append(best[2])
+        total += count[-1]
+    return len(own), total
+
+
+def language(learned, asked, order=4, smoothing=0.5):
+    """learned: (text, lang). asked: texts. (language, score) of each; counts everything, without bounds."""
+
+    def normal(w):
+        w = w.lower()
+        letters = [i for i, c in enumerate(w) if c.isalpha()]
+        return w[letters[0] : letters[-1] + 1] if letters else ""
+
+    def grams(w, n):
+        w = f" {w} "
+        return [w[i : i + n] for i in range(len(w) - n + 1)]
+
+    langs = sorted({x for t, x in learned if x is not None and t is not None})
+    counts = [defaultdict(lambda: np.zeros(len(langs))) for _ in range(order + 1)]
+    for text, lang in learned:
+        for w in map(normal, words(text)) if lang is not None else ():
+            if w:
+                counts[0][w][langs.index(lang)] += 1
+                for n in range(1, order + 1):
+                    for g in grams(w, n):
+                        counts[n][g][langs.index(lang)] += 1
+    totals = [sum(c.values(), np.zeros(len(langs))) for c in counts]
+    log = [{k: np.log((v + smoothing) / (totals[n] + smoothing * (len(c) + 1))) for k, v in c.items()} for n, c in enumerate(counts)]
+
+    def of(w):
+        if w in log[0]:
+            return log[0][w]
+        for n in range(order, 0, -1):
+            if found := [log[n][g] for g in grams(w, n) if g in log[n]]:
+                return np.mean(found, axis=0)
+        return np.zeros(len(langs))
+
+    out = []
+    for text in asked:
+        scores = [of(w) for w in map(normal, words(text)) if w]
+        if not scores or not langs:
+            out.append(("und", 0.0))
+            continue
+        total = np.sum(scores, axis=0)
+        best = int(np.argmax(total))
+        out.append((langs[best], float(1 / np.exp((total - total[best]) / np.sqrt(len(scores))).sum())))
+    return out
+
+
 def warc(pages):
     """pages: (page_id, html). page_id -> (bytes, digest, type, refers_to)."""
     best = {}

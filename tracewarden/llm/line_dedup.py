@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .shared import stored
 
@@ -27,7 +27,7 @@ LOG_K, BAND = 12, 0.12
 def occurrences(docs: DataFrame) -> DataFrame:
     """line (64-bit hash), site, doc_id, line_no, text_key of every line that isn't empty."""
     text = F.col("text")
-    site = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))
+    site = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null"))  # sketches ignore empty strings
     lines = docs.select(F.col("doc_id"), site.alias("site"), F.xxhash64(text).alias("text_key"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     return lines.withColumn("line", F.btrim("line", F.lit(" \t\r"))).where("line <> ''").withColumn("line", F.xxhash64("line"))
 
@@ -43,7 +43,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return spread.where(F.col("spread") > min_sites * (1 + BAND)).select("line", "first").unionByName(sure)
 
 
-@F.pandas_udf("text string, n_lines long, n_removed long")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]))
 def _without(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for texts, removed in parts:
         out = []

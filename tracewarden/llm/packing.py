@@ -22,7 +22,7 @@ from .shared import stored
 
 CAPACITY = 2048
 #: Sizes that large lengths are rounded to, and the least share of a sequence that makes a length large.
-GROUPS, LARGE = 12, 1 / 6
+GROUPS, LARGE = 200, 1 / 3
 END = b"\0\0\0\0"
 #: Words whose ids a worker keeps, and the longest such word in bytes.
 CACHE_WORDS, CACHE_BYTES = 400_000, 64
