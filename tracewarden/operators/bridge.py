@@ -93,6 +93,8 @@ def chain_order() -> list:
 
 def summary(found: DataFrame) -> DataFrame:
     """measure, key, n: chains by kind, quality, suppression, tag and breakpoint."""
+    entry = lambda measure, key: F.struct(F.lit(measure).alias("measure"), key.alias("key"))
     plain = [("chain_kind", F.col("chain_kind")), ("evidence_quality", F.col("evidence_quality")), ("suppressed", F.col("suppressed").cast("string")), ("match_quality", F.col("match_quality"))]
-    entries = F.concat(F.array(*(F.struct(F.lit(m).alias("measure"), c.alias("key")) for m, c in plain)), *(F.transform(c, lambda x, m=m: F.struct(F.lit(m).alias("measure"), x.alias("key"))) for m, c in (("noise_tag", F.col("noise_tags")), ("breakpoint", F.col("breakpoints")))))
+    tags, breaks = F.transform("noise_tags", lambda x: entry("noise_tag", x)), F.transform("breakpoints", lambda x: entry("breakpoint", x))
+    entries = F.concat(F.array(*(entry(m, c) for m, c in plain)), tags, breaks)
     return found.select(F.explode(entries).alias("e")).groupBy("e.measure", "e.key").agg(F.count("*").alias("n"))

@@ -1,0 +1,8 @@
+"""Queries over the driver's tables; importing the modules fills the registry."""
+
+from __future__ import annotations
+
+from . import finding_queries, flow_queries, rule_queries, run_queries
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "finding_queries", "flow_queries", "rule_queries", "run_queries"]
