@@ -23,6 +23,11 @@ def first_true(cases: list[tuple[Column, object]], otherwise: object = None) ->
     return F.lit(otherwise) if out is None else out.otherwise(otherwise)
 
 
+def stripped(text: Column) -> Column:
+    """text without white space at its ends; btrim alone takes off spaces only."""
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def lookup(key: Column, table: dict, otherwise: Column | None = None) -> Column:
     """table[key], else otherwise (null)."""
     pairs = [F.lit(x) for pair in table.items() for x in pair]
@@ -37,7 +42,7 @@ def trimmed(text: Column, limit: int = fixed.EVIDENCE_CHARS) -> Column:
 
 def normal_field(value: Column) -> Column:
     """A field's name: quotes and brackets off, the part after the last dot, other signs as _, lower case."""
-    bare = F.btrim(F.btrim(F.coalesce(value, F.lit(""))), F.lit("`\"'[]{}()"))
+    bare = F.btrim(stripped(F.coalesce(value, F.lit(""))), F.lit("`\"'[]{}()"))
     return F.lower(F.btrim(F.regexp_replace(F.substring_index(bare, ".", -1), r"[^A-Za-z0-9_]+", "_"), F.lit("_")))
 
 
@@ -56,7 +61,7 @@ def sql_columns(raw: Column) -> Column:
     quotes = F.lit("`\"'[]")
 
     def name(item: Column) -> Column:
-        bare = F.btrim(F.btrim(item), quotes)
+        bare = F.btrim(stripped(item), quotes)
         own = F.when(F.contains(F.lower(bare), F.lit(" as ")), F.regexp_extract(bare, r"(\S+)\s*$", 1)).otherwise(bare)
         return F.substring_index(own, ".", -1)
 
@@ -132,10 +137,10 @@ def masked(secret: Column) -> Column:
 
 def json_text(text: Column) -> Column:
     """The JSON in a model's answer as text, null if there is none: a fence is taken off, else the outermost braces count."""
-    bare = F.btrim(text)
+    bare = stripped(text)
     unfenced = F.btrim(bare, F.lit("`"))
-    unfenced = F.when(F.startswith(F.lower(unfenced), F.lit("json")), F.btrim(F.substring(unfenced, 5, 1 << 30))).otherwise(unfenced)
-    stripped = F.when(F.startswith(bare, F.lit("```")), unfenced).otherwise(bare)
-    braces = F.regexp_extract(stripped, r"(?s)\{.*\}", 0)
+    unfenced = F.when(F.startswith(F.lower(unfenced), F.lit("json")), stripped(F.substring(unfenced, 5, 1 << 30))).otherwise(stripped(unfenced))
+    whole = F.when(F.startswith(bare, F.lit("```")), unfenced).otherwise(bare)
+    braces = F.regexp_extract(whole, r"(?s)\{.*\}", 0)
     parsed = lambda x: F.when(F.try_parse_json(x).isNotNull(), x)
-    return F.coalesce(parsed(stripped), F.when(braces != "", parsed(braces)))
+    return F.coalesce(parsed(whole), F.when(braces != "", parsed(braces)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import fixed
-from .text import any_contains, first_true, lookup
+from .text import any_contains, first_true, lookup, stripped
 
 
 def severity_rank(severity: Column) -> Column:
@@ -25,7 +25,7 @@ def level_rank(value: Column) -> Column:
 
 def confidence(value: Column, default: float = 0.5) -> Column:
     """A confidence from text: a word, a sign, a percentage or a number; out of range it is the default."""
-    key = F.translate(F.lower(F.btrim(value)), "- /", "___")
+    key = F.translate(F.lower(stripped(value)), "- /", "___")
     percent = F.regexp_extract(key, r"^(.*)%$", 1).try_cast("double") / 100
     signs = first_true([(F.contains(value, F.lit(w)), v) for w, v in fixed.CONFIDENCE_SIGNS.items()])
     number = F.coalesce(lookup(key, fixed.CONFIDENCES), signs, F.when(F.endswith(key, F.lit("%")), percent).otherwise(key.try_cast("double")), F.lit(default))
@@ -35,7 +35,7 @@ def confidence(value: Column, default: float = 0.5) -> Column:
 
 def verdict(value: Column, careful: bool = False) -> Column:
     """vulnerable, safe or uncertain. A text with a sign of safety is safe, even `unsafe`; careful takes that back."""
-    text = F.lower(F.btrim(F.coalesce(value, F.lit("uncertain"))))
+    text = F.lower(stripped(F.coalesce(value, F.lit("uncertain"))))
     if careful:
         text = F.regexp_replace(text, "unsafe", "vulnerable")
     return first_true([(text.isin(*fixed.VERDICTS), text), (any_contains(text, fixed.SAFE_SIGNS), "safe"), (any_contains(text, fixed.VULNERABLE_SIGNS), "vulnerable")], "uncertain")
@@ -50,7 +50,7 @@ def guarded(verdict_: Column, confidence_: Column, missing: Column) -> tuple[Col
 
 def breakpoint_of(value: Column) -> Column:
     """The missing kind that a free text names; null if it names none."""
-    text = F.lower(F.btrim(F.coalesce(value, F.lit(""))))
+    text = F.lower(stripped(F.coalesce(value, F.lit(""))))
     exact = [(text.isin(*fixed.BREAKPOINTS), text), (text.isin(*fixed.EVIDENCE_BREAKPOINTS), lookup(text, fixed.EVIDENCE_BREAKPOINTS))]
     return first_true(exact + [(any_contains(text, words), kind) for kind, words in fixed.BREAKPOINT_WORDS])
 
@@ -67,7 +67,7 @@ def clamped(value: Column, least: int, most: int, default: int) -> Column:
 
 def text_items(value: Column) -> Column:
     """A list from an array of texts: trimmed, without empty ones."""
-    return F.filter(F.transform(F.coalesce(value, F.array().cast("array<string>")), lambda x: F.btrim(x)), lambda x: x.isNotNull() & (x != ""))
+    return F.filter(F.transform(F.coalesce(value, F.array().cast("array<string>")), lambda x: stripped(x)), lambda x: x.isNotNull() & (x != ""))
 
 
 def once(values: Column) -> Column:
@@ -77,7 +77,7 @@ def once(values: Column) -> Column:
 
 def publishable(finding_title: Column, stopped: Column, principle: Column, n_evidence: Column, n_missing: Column) -> Column:
     """False for failed calls and for placeholders without any reasoning."""
-    title = F.btrim(F.coalesce(finding_title, F.lit("")))
-    failed = (F.btrim(F.coalesce(stopped, F.lit(""))) == "llm_error") | F.startswith(title, F.lit("LLM 调用失败"))
+    title = stripped(F.coalesce(finding_title, F.lit("")))
+    failed = (stripped(F.coalesce(stopped, F.lit(""))) == "llm_error") | F.startswith(title, F.lit("LLM 调用失败"))
     hollow = (title == "tool-loop exhausted") & (F.coalesce(principle, F.lit("")) == "") & (F.coalesce(n_evidence, F.lit(0)) == 0) & (F.coalesce(n_missing, F.lit(0)) == 0)
     return ~(failed | hollow)

@@ -12,7 +12,7 @@ ANSWER = "verdict string, confidence string, title string, cwe_guess string, sev
 
 def items(value: Column) -> Column:
     """A list from a JSON list of texts, or from one text; empty for null and for blanks."""
-    listed = F.startswith(F.btrim(value), F.lit("["))
+    listed = F.startswith(text.stripped(value), F.lit("["))
     return verdicts.text_items(F.when(listed, F.from_json(value, "array<string>")).when(value.isNotNull(), F.array(value)))
 
 
@@ -20,7 +20,7 @@ def parsed(answers: DataFrame) -> DataFrame:
     """Findings of answers(chain_id, vulnerability_type, severity, sink_file, sink_line, sink_function, raw): one for each
     row; an answer without a JSON object is uncertain at 0.5. The guard rails are applied."""
     row = F.from_json(text.json_text(F.col("raw")), ANSWER)
-    rows = answers.withColumn("_a", row).withColumn("_fit", F.col("_a").isNotNull() & F.startswith(F.btrim(text.json_text(F.col("raw"))), F.lit("{")))
+    rows = answers.withColumn("_a", row).withColumn("_fit", F.col("_a").isNotNull() & F.startswith(text.stripped(text.json_text(F.col("raw"))), F.lit("{")))
     field = lambda name: F.when(F.col("_fit"), F.col(f"_a.{name}"))
     missing = items(field("missing_info"))
     first, sure = verdicts.verdict(field("verdict")), verdicts.confidence(field("confidence"))
@@ -35,11 +35,11 @@ def parsed(answers: DataFrame) -> DataFrame:
         F.coalesce(field("title"), F.concat(F.coalesce("vulnerability_type", F.lit("None")), F.lit(" 风险点 @ "), place)).alias("title"),
         F.coalesce(field("cwe_guess"), verdicts.cwe(F.col("vulnerability_type"))).alias("cwe_guess"),
         F.coalesce(field("severity"), F.nullif("severity", F.lit("")), F.lit("medium")).alias("severity"),
-        F.btrim(F.coalesce(field("principle"), F.lit(""))).alias("principle"),
+        text.stripped(F.coalesce(field("principle"), F.lit(""))).alias("principle"),
         fallback("file", "sink_file").alias("told_file"), fallback("line", "sink_line").alias("told_line"),
         F.col("_m").alias("missing_info"), items(field("evidence")).alias("evidence"),
         F.coalesce(field("repair_rounds").try_cast("int"), F.lit(0)).alias("repair_rounds"),
-        F.nullif(F.btrim(field("refuted_by")), F.lit("")).alias("refuted_by"), F.nullif(F.btrim(field("_tool_stopped")), F.lit("")).alias("tool_stopped"),
+        F.nullif(text.stripped(field("refuted_by")), F.lit("")).alias("refuted_by"), F.nullif(text.stripped(field("_tool_stopped")), F.lit("")).alias("tool_stopped"),
     )
 
 
@@ -133,8 +133,8 @@ def curated(findings: DataFrame) -> DataFrame:
     """Fields of a curated vulnerability from findings(project_path, scan_id, chain_id, title, verdict, severity, language,
     vulnerability_type, cwe_guess, sink_file, sink_line, sink_expr, principle, fix_suggestion)."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    location = F.btrim(F.concat(blank("sink_file"), F.lit(":"), blank("sink_line"), F.lit(" "), blank("sink_expr")))
-    title = F.btrim(blank("title"))
+    location = text.stripped(F.concat(blank("sink_file"), F.lit(":"), blank("sink_line"), F.lit(" "), blank("sink_expr")))
+    title = text.stripped(blank("title"))
     part = lambda label, c: F.when(blank(c) != "", F.concat(F.lit(f"## {label}\n"), F.col(c)))
     return findings.select(
         "project_path", "scan_id", "chain_id",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed, verdicts
+from ..functions.text import stripped
 
 TRACKS = ("codex", "manual", "cc")
 
@@ -22,12 +23,12 @@ def targets(findings: DataFrame, chain_id: str | None = None) -> DataFrame:
 def checked(answers: DataFrame) -> DataFrame:
     """Checker results of answers(finding_id, verdict, confidence, concrete_payload, severity_revised as texts): unknown
     verdicts need context, a confirmation without a payload is refuted at 0.7 at most."""
-    told = F.lower(F.btrim(F.coalesce("verdict", F.lit("need_context"))))
+    told = F.lower(stripped(F.coalesce("verdict", F.lit("need_context"))))
     verdict = F.when(told.isin(*fixed.CHECKER_VERDICTS), told).otherwise("need_context")
-    payload = F.nullif(F.btrim("concrete_payload"), F.lit(""))
+    payload = F.nullif(stripped(F.col("concrete_payload")), F.lit(""))
     sure = F.coalesce(verdicts.confidence(F.col("confidence")), F.lit(0.5))
     empty = (verdict == "confirmed") & payload.isNull()
-    severity = F.lower(F.btrim("severity_revised"))
+    severity = F.lower(stripped(F.col("severity_revised")))
     known = [c for c in answers.columns if c not in ("verdict", "confidence", "concrete_payload", "severity_revised")]
     return answers.select(*known, F.when(empty, "refuted").otherwise(verdict).alias("verdict"), F.when(empty, F.least(sure, F.lit(0.7))).otherwise(sure).alias("confidence"), payload.alias("concrete_payload"), F.when(severity.isin(*fixed.SEVERITIES), severity).alias("severity_revised"))
 
