@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embedding_dedup, exact_dedup, language_id, line_dedup, minhash, mixing, packing, substring_dedup, token_counts, warc_zip
+from . import embedding_dedup, exact_dedup, language_id, line_dedup, minhash, mixing, oracles, packing, substring_dedup, token_counts, warc_zip
 
 #: Where the public vocabularies are; None asks the installed package.
 TOKENIZERS = os.environ.get("TRACEWARDEN_TOKENIZERS")
@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
