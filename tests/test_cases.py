@@ -371,3 +371,30 @@ def test_streams_match_batches(spark, tmp_path):
     assert rows(spark.read.parquet(runs).select("agent", "n")) == [("a", 4)]
     due = spark.createDataFrame([("1", "pending", "2024-01-01T00:00:00"), ("2", "running", "2024-01-01T00:00:00"), ("3", "stopped", "2030-01-01T00:00:00"), ("4", "pending", "junk"), ("5", "pending", None)], "scan_id string, status string, scheduled_at string")
     assert rows(events.due(due, F.lit(datetime(2025, 1, 1))).select("scan_id")) == [("1",)]
+
+
+def test_sql_texts(spark):
+    given = [("INSERT INTO Users (a.id, `Full Name` as nm, x) VALUES (1)",), ("update users set a.b = 1, c=2 where id = 3",), ("select u.name, max(v) as top from `logs` l",), ("select * from t",), ("x = 1",)]
+    c = F.col("t")
+    out = values(spark, "t string", given, F.array_join(text.written_columns(c), ","), F.array_join(text.selected_columns(c), ","), flow.sql_table(c), flow.sql_column(c, F.lit("zz")))
+    assert out == [("id,nm,x", "", "users", "id"), ("b,c", "", "users", "b"), ("", "name,top", "logs", "zz"), ("", "", "t", "zz"), ("", "", None, "zz")]
+
+
+def test_packs_can_be_read_back(spark):
+    heads = spark.createDataFrame([("c", "# head"), ("d", "# alone")], "chain_id string, head string")
+    nodes = spark.createDataFrame([("c", 1, 0, "a.js::run", "run"), ("c", 1, 1, "a.js::show", "show"), ("c", 2, 0, "a.js::show", "show")], "chain_id string, place int, at int, function_ref string, name string")
+    pool = spark.createDataFrame([("a.js::run", "run", "a.js", 1, 3, "show()"), ("a.js::show", "show", "a.js", 5, 9, "el.innerHTML = x")], "function_ref string, function string, file string, line int, line_end int, code_slice string")
+    from tracewarden.operators import catalog, packs
+
+    out = dict(rows(packs.packs(heads, nodes, pool)))
+    assert "1. run -> show\n2. show" in out["c"] and out["c"].count("### show (a.js:5-9)") == 1 and out["d"] == "# alone"
+    assert code.body_of(out["c"], "show") == "el.innerHTML = x"
+    asked = spark.createDataFrame([(0, []), (1, ["all"]), (2, ["poc", "zz"])], "i int, s array<string>")
+    known = {"all": ("poc", "fix"), "code": ("fix",)}
+    assert rows(asked.orderBy("i").select(F.array_join(catalog.chosen_sections(F.col("s"), known), ","))) == [("fix,poc",), ("fix,poc",), ("poc",)]
+    changed = spark.createDataFrame([("a/marks.json", 5), ("b/marks.json", 9), ("c/x", 99)], "file string, modified int")
+    assert rows(catalog.fingerprint(changed, ("marks.json",))) == [(2, 9)]
+    assert rows(catalog.with_options(spark.createDataFrame([("99", "x")], "callscan_concurrency string, auditor_concurrency string"))) == [(16, 8)]
+    assert catalog.confirmed_only(spark.createDataFrame([("weak", False), ("probable", True), ("probable", False)], "evidence_quality string, suppressed boolean")).count() == 1
+    assert rows(packs.public_rules(rules.table(spark, [rules.Rule("a", "f", "p", "php", "xss", level="l9", semantic_tags=(" t", "t", ""))])).select("level", F.array_join("semantic_tags", ","))) == [("L0", "t")]
+    assert packs.compact(heads.withColumn("index", F.lit(1))).columns == ["chain_id", "index"]
