@@ -10,6 +10,7 @@ rows are documents of their own; other columns are ignored; an empty table gives
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ CAPACITY = 2048
 GROUPS, LARGE = 200, 1 / 3
 END = b"\0\0\0\0"
 #: Words whose ids a worker keeps, and the longest such word in bytes.
-CACHE_WORDS, CACHE_BYTES = 400_000, 64
+CACHE_WORDS, CACHE_BYTES = 600_000, 64
 #: Text that is looked at together.
 TEXT_BYTES = 4 << 20
 
@@ -33,18 +34,58 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.i
 
 
 class WordTokenizer:
-    """Token ids of texts, word by word. The vocabulary drops white space and no token spans it, so a text's ids are its
-    words' ids one after the other; words repeat, so most are looked up."""
+    """Token ids of texts, word by word. The vocabulary drops white space and case and no token spans white space, so a
+    text's ids are its words' ids one after the other; words repeat, so most are looked up. New words are encoded many in
+    one text, with a mark between them that is always a token of its own."""
+
+    MARK, TOGETHER = b"|", 250
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.new, self.old = Tokenizer.from_file(path), {}, {}
+        self.ends = {m: self._ids([m])[0] for m in (b".", b",", self.MARK)}
+        self.mark = int(np.frombuffer(self.ends[self.MARK], "<u4")[0])
 
-    def encode(self, words: list[bytes]) -> list[bytes]:
+    def _ids(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words without the mark."""
+        between = b" " + self.MARK + b" "
+        chunks = [words[i : i + self.TOGETHER] for i in range(0, len(words), self.TOGETHER)]
+        found = self.tokenizer.encode_batch_fast([between.join(c).decode() for c in chunks], add_special_tokens=False)
+        out = []
+        for chunk, x in zip(chunks, found, strict=True):
+            ids = np.array(x.ids, "<u4")
+            data, cuts = ids.tobytes(), (np.flatnonzero(ids == self.mark) * 4).tolist()
+            own = [data[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)]
+            out += own if len(own) == len(chunk) else self._ids(chunk)
+        return out
+
+    def base(self, word: bytes) -> tuple[bytes, bytes]:
+        """A word in lower case without a last stop or comma, and the ids of that; both make the word's ids."""
+        low = word.lower()
+        if low[-1:] in (b".", b",") and low[-2:-1].isalnum():
+            return low[:-1], self.ends[low[-1:]]
+        return low, b""
+
+    def learn(self, missing: list[bytes]) -> None:
+        bases = {w: self.base(w) for w in missing}
+        wanted = {b for b, _ in bases.values()}
+        known = {b: x for b in wanted if (x := self.new.get(b) or self.old.get(b)) is not None}
+        rest = wanted.difference(known)
+        marked = [b for b in rest if self.MARK in b]
+        plain = list(rest.difference(marked))
+        known.update(zip(marked, self._ids(marked), strict=True))
+        for i in range(0, len(plain), 20_000):
+            some = plain[i : i + 20_000]
+            known.update(zip(some, self.encode(some), strict=True))
+        for w, (b, end) in bases.items():
+            self.new[w] = known[b] + end
+
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         at = 0
         while at < len(texts):
@@ -54,13 +95,11 @@ class WordTokenizer:
                 size, at = size + len(data) + 1, at + 1
                 group.append(data.split())
             missing = set().union(*group).difference(self.new)
-            for w in [w for w in missing if w in self.old]:
-                self.new[w] = self.old[w]
-                missing.discard(w)
-            missing = list(missing)
-            for i in range(0, len(missing), 5_000):
-                some = missing[i : i + 5_000]
-                self.new.update(zip(some, self.encode(some), strict=True))
+            if self.old:
+                again = missing.intersection(self.old)
+                self.new.update((w, self.old[w]) for w in again)
+                missing -= again
+            self.learn(list(missing))
             get = self.new.__getitem__
             for words in group:
                 yield b"".join(map(get, words))
