@@ -11,40 +11,24 @@ import string
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import bloom
 from .shared import stored
 
-#: Filter bits for each row, and the largest filter: the broadcast bitmaps never exceed MAX_BITS / 8 = 32 MB.
-BITS_A_ROW, MAX_BITS = 16, 1 << 28
-PAGE_BITS = 32_768  # of one bitmap of bitmap_construct_agg
-
 
 def lower_ascii(text: Column) -> Column:
     """A-Z as a-z and nothing else. lower() does just that to pure ASCII and is much faster there."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
-def _bit(page: Column, position: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(page, (position % PAGE_BITS / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.call_function("getbit", byte, (position % 8).cast("int")) == 1, F.lit(False))
-
-
 def possibly_repeated(keys: DataFrame, key: str, rows: int) -> DataFrame:
     """keys with a column repeated, true for every key that occurs twice or more and for few others.
 
     Pass 1 sets two filter bits for each row and keeps those set at least twice (only bit numbers shuffle, summed before
-    they do). Pass 2 tests each row against the kept bits. At MAX_BITS the filter only lets more rows through.
+    they do). Pass 2 tests each row against the kept bits. At its largest size the filter only lets more rows through.
     """
-    bits = min(MAX_BITS, max(PAGE_BITS, 1 << (max(1, rows) * BITS_A_ROW - 1).bit_length()))
-    marked = keys.withColumns({f"_p{i}": F.pmod(F.xxhash64(F.lit(i), F.col(key)), F.lit(bits)) for i in (1, 2)})
-    twice = marked.select(F.explode(F.array("_p1", "_p2")).alias("p")).groupBy("p").count().where("count > 1")
-    pages = twice.groupBy(F.expr(f"p div {PAGE_BITS}").alias("page")).agg(F.bitmap_construct_agg((F.col("p") % PAGE_BITS)).alias("bits"))
-    pages = stored(pages, "bloom")
-    for i in (1, 2):
-        p = F.col(f"_p{i}")
-        marked = marked.withColumn(f"_g{i}", F.expr(f"_p{i} div {PAGE_BITS}"))
-        marked = marked.join(F.broadcast(pages.select(F.col("page").alias(f"_g{i}"), F.col("bits").alias(f"_b{i}"))), f"_g{i}", "left")
-        marked = marked.withColumn(f"_r{i}", _bit(F.col(f"_b{i}"), p)).drop(f"_b{i}", f"_g{i}")
-    return marked.withColumn("repeated", F.col("_r1") & F.col("_r2")).drop("_p1", "_p2", "_r1", "_r2")
+    bits = bloom.bits_for(rows)
+    twice = keys.select(F.explode(F.array(*bloom.places(key, bits))).alias("p")).groupBy("p").count().where("count > 1")
+    return bloom.tested(keys, key, bloom.pages(twice), bits, "repeated")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import bloom
 from .cells import compared, dealt, fixed_width
 from .components import components
 from .shared import mix, rolling, stored, text_buffers, word_hashes, word_spans
@@ -137,10 +138,12 @@ def _confirmed(threshold: int):
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold. Only texts of documents in a pair are shingled again."""
+    """The pairs (a, b) whose full sets reach the threshold. Texts never shuffle: a filter of the documents in a pair picks
+    those that are shingled again, and their sets move."""
     pairs = stored(pairs, "candidates")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, shingles binary")
+    near = bloom.among(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", wanted, 2 * pairs.count())
+    sets = near.select("doc_id", "text").mapInArrow(_sets, "doc_id long, shingles binary").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = stored(sets, "sets")
     for own, name in (("a", "left"), ("b", "right")):
         pairs = pairs.join(sets.select(F.col("doc_id").alias(own), F.col("shingles").alias(name)), own)
