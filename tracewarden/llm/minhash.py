@@ -6,8 +6,8 @@ that share a band key are candidates; the signatures' equal bit groups, correcte
 and candidates whose estimate is not far below the threshold are confirmed on their full sets by 100 * intersection >=
 threshold * union. A pair at 0.75 shares no band with probability 6e-6 and falls below the estimate's margin with 3e-6.
 
-Equal sets form one class, of which one document is compared. In every band bucket its members are first compared with the
-smallest doc_id; then, in buckets that still hold several components, all signatures of different components are compared
+Equal sets form one class, of which one document is compared. A document is first compared with a few of its band buckets'
+smallest doc_ids; then, in buckets that still hold several components, all signatures of different components are compared
 in blocks, so no link between components is lost and no bucket is expanded into pairs.
 
 Null and empty texts, and texts of white space only, have no set, n_shingles 0, and link with nothing; so do rows with a
@@ -29,6 +29,8 @@ from .shared import mix, rolling, stored, text_buffers, word_hashes, word_spans
 
 WORDS, THRESHOLD = 5, 75
 HASHES, BANDS, BITS = 128, 32, 4
+#: Bucket minima that a document is compared with first, each the smallest of BANDS / STARS buckets.
+STARS = 4
 #: Of the estimate: 4.5 standard deviations at the threshold.
 MARGIN = 0.18
 #: Text bytes whose shingles are worked on together.
@@ -170,11 +172,12 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     classes = stored(some.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = some.join(classes.withColumnRenamed("rep", "doc_id"), ["n", "d1", "d2", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
     reps = stored(reps.select("doc_id", "bands", "signature"), "reps")
-    keyed = reps.select("doc_id", F.explode("bands").alias("key"))
+    keyed = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("members")).where("members > 1")
     buckets = stored(keyed.join(shared, "key"), "buckets")
     signatures = reps.select("doc_id", "signature")
-    stars = buckets.where("low <> doc_id").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
+    lowest = buckets.where("low <> doc_id").groupBy("doc_id", F.floor(F.col("band") * STARS / BANDS)).agg(F.min("low").alias("low"))
+    stars = lowest.select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
     for own, name in (("a", "left"), ("b", "right")):
         stars = stars.join(signatures.select(F.col("doc_id").alias(own), F.col("signature").alias(name)), own)
     first = confirm(stars.select("a", "b", "left", "right").mapInArrow(_likely(least), "a long, b long"), docs, threshold)
