@@ -23,6 +23,8 @@ MAX_WORDS, MAX_GRAMS, MAX_LANGUAGES = 50_000, 50_000, 256
 ORDER, SMOOTH = 4, 0.5
 #: Words that a task counts, or whose scores a worker keeps, before it starts anew.
 CACHE_WORDS = 300_000
+#: Text that is looked at together.
+TEXT_BYTES = 2 << 20
 
 _COUNTS = pa.schema([("lang", pa.string()), ("token", pa.string()), ("n", pa.int64())])
 
@@ -30,6 +32,8 @@ _COUNTS = pa.schema([("lang", pa.string()), ("token", pa.string()), ("n", pa.int
 def normal(word: bytes) -> str:
     """Lower case without what surrounds the letters; empty if there is none."""
     text = word.decode().lower()
+    if text.isalpha():
+        return text
     a, b = 0, len(text)
     while a < b and not text[a].isalpha():
         a += 1
@@ -69,16 +73,24 @@ def _count_words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_grams(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    counts: dict[str, Counter] = {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lang, own in counts.items():
+            yield _emit(Counter({(lang, g): n for g, n in own.items()}))
+        counts.clear()
+
     for part in parts:
         for lang, word, n in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+            own = counts.get(lang)
+            if own is None:
+                own = counts[lang] = Counter()
             for order in range(1, ORDER + 1):
                 for g in grams(word, order):
-                    counts[lang, g] += n
-        if len(counts) > CACHE_WORDS:
-            yield _emit(counts)
-            counts.clear()
-    yield _emit(counts)
+                    own[g] += n
+        if sum(map(len, counts.values())) > CACHE_WORDS:
+            yield from flush()
+    yield from flush()
 
 
 class Model:
@@ -86,24 +98,41 @@ class Model:
 
     def __init__(self, languages: list[str], words: dict[str, np.ndarray], gram: dict[str, np.ndarray], totals: dict[int, np.ndarray]):
         self.languages = languages
-        self.words = self._logs(words, totals[0])
-        self.grams = {}
+        self.words, self.word_scores = self._logs(words, totals[0])
+        self.grams: dict[str, int] = {}
+        scores = []
         for order in range(1, ORDER + 1):
-            self.grams |= self._logs({g: c for g, c in gram.items() if len(g) == order}, totals[order])
-
-    @staticmethod
-    def _logs(counts: dict[str, np.ndarray], totals: np.ndarray) -> dict[str, np.ndarray]:
-        return {k: np.log((c + SMOOTH) / (totals + SMOOTH * (len(counts) + 1))) for k, c in counts.items()}
-
-    def word(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        for order in range(ORDER, 0, -1):
-            found = [s for g in grams(word, order) if (s := self.grams.get(g)) is not None]
-            if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.languages))
+            own, rows = self._logs({g: c for g, c in gram.items() if len(g) == order}, totals[order])
+            self.grams |= {g: i + len(self.grams) for g, i in own.items()}
+            scores.append(rows)
+        self.gram_scores = np.concatenate(scores)
+
+    def _logs(self, counts: dict[str, np.ndarray], totals: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
+        rows = np.array(list(counts.values()), float).reshape(len(counts), len(self.languages))
+        return {k: i for i, k in enumerate(counts)}, np.log((rows + SMOOTH) / (totals + SMOOTH * (len(counts) + 1))) if counts else rows
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word: its own, else the mean over its longest known n-grams, else zeros."""
+        out = np.zeros((len(words), len(self.languages)))
+        known = [(i, k) for i, w in enumerate(words) if (k := self.words.get(w)) is not None]
+        if known:
+            at, rows = np.array(known).T
+            out[at] = self.word_scores[rows]
+        get, flat, owners, sizes = self.grams.get, [], [], []
+        for i, w in enumerate(words):
+            if w in self.words:
+                continue
+            for order in range(ORDER, 0, -1):
+                found = [k for g in grams(w, order) if (k := get(g)) is not None]
+                if found:
+                    flat += found
+                    owners.append(i)
+                    sizes.append(len(found))
+                    break
+        if owners:
+            starts = np.cumsum([0, *sizes[:-1]])
+            out[owners] = np.add.reduceat(self.gram_scores[flat], starts) / np.array(sizes)[:, None]
+        return out
 
 
 def _table(counts: DataFrame, most: int, languages: list[str]) -> dict[str, np.ndarray]:
@@ -132,24 +161,24 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_w
     return Model(languages, _table(words, max_words, languages), _table(gram, max_grams, languages), totals)
 
 
-class _Rows(dict):
-    """The number of each raw word's row of scores; rows[0] is of words without a letter."""
+class _Rows:
+    """The number of each raw word's row of scores; row 0 is of words without a letter. Words are scored many at a time."""
 
     def __init__(self, model: Model):
-        self.model, self.scores = model, np.zeros((1 << 12, len(model.languages)))
-        self.used = 1
-
-    def __missing__(self, word: bytes) -> int:
-        text = normal(word)
-        at = 0
-        if text:
-            at, self.used = self.used, self.used + 1
-            if at == len(self.scores):
-                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.scores[at] = self.model.word(text)
-        if len(word) <= 64:
-            self[word] = at
-        return at
+        self.model, self.ids, self.scores, self.used = model, {}, np.zeros((1 << 12, len(model.languages))), 1
+
+    def add(self, words: list[bytes]) -> None:
+        texts = list(map(normal, words))
+        lettered = [t for t in texts if t]
+        end = self.used + len(lettered)
+        if end > len(self.scores):
+            self.scores = np.concatenate([self.scores[: self.used], np.zeros((2 * end - self.used, self.scores.shape[1]))])
+        self.scores[self.used : end] = self.model.score(lettered)
+        at = self.used
+        for word, text in zip(words, texts, strict=True):
+            self.ids[word] = at if text else 0
+            at += bool(text)
+        self.used = end
 
 
 def predict(docs: DataFrame, model: Model | None, *keep: Column | str, text_col: str = "text") -> DataFrame:
@@ -165,21 +194,30 @@ def predict(docs: DataFrame, model: Model | None, *keep: Column | str, text_col:
         rows = _Rows(model)
         for part in parts:
             lang, score = [], []
-            for text in part.column("_text").to_pylist():
-                ids = np.array(list(map(rows.__getitem__, (text or "").encode().split())), np.int64)
-                ids = ids[ids > 0]
-                if not len(ids):
-                    lang.append("und")
-                    score.append(0.0)
-                    continue
-                n, total = len(ids), np.zeros(len(model.languages))
-                for a in range(0, n, 1 << 16):
-                    total += rows.scores[ids[a : a + (1 << 16)]].sum(axis=0)
-                best = int(np.argmax(total))
-                lang.append(model.languages[best])
-                score.append(float(1 / np.exp((total - total[best]) / np.sqrt(n)).sum()))
-            if len(rows) > CACHE_WORDS or rows.used > CACHE_WORDS:
-                rows = _Rows(model)
+            texts = part.column("_text").to_pylist()
+            at = 0
+            while at < len(texts):
+                group, size = [], 0
+                while at < len(texts) and size < TEXT_BYTES:
+                    data = (texts[at] or "").encode()
+                    size, at = size + len(data) + 1, at + 1
+                    group.append(data.split())
+                if rows.used > CACHE_WORDS or len(rows.ids) > CACHE_WORDS:
+                    rows = _Rows(model)
+                rows.add(list(set().union(*group).difference(rows.ids)))
+                get = rows.ids.__getitem__
+                for words in group:
+                    ids = np.fromiter(map(get, words), np.int64, len(words))
+                    n = int(np.count_nonzero(ids))
+                    if not n:
+                        lang.append("und")
+                        score.append(0.0)
+                        continue
+                    # row 0 is zero, so words without a letter add nothing
+                    total = sum((rows.scores[ids[a : a + (1 << 16)]].sum(axis=0) for a in range(0, len(ids), 1 << 16)), np.zeros(len(model.languages)))
+                    best = int(np.argmax(total))
+                    lang.append(model.languages[best])
+                    score.append(float(1 / np.exp((total - total[best]) / np.sqrt(n)).sum()))
             yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*(f.name for f in fields), "lang_pred", "score"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
