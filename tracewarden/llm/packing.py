@@ -26,7 +26,7 @@ CAPACITY = 2048
 GROUPS, LARGE = 200, 1 / 3
 END = b"\0\0\0\0"
 #: Words whose ids a worker keeps, and the longest such word in bytes.
-CACHE_WORDS, CACHE_BYTES = 600_000, 64
+CACHE_WORDS, CACHE_BYTES = 900_000, 64
 #: Text that is looked at together.
 TEXT_BYTES = 4 << 20
 
@@ -45,6 +45,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.new, self.old = Tokenizer.from_file(path), {}, {}
+        self.long: list[bytes] = []  # words of the texts at hand that aren't kept
         self.ends = {m: self._ids([m])[0] for m in (b".", b",", self.MARK)}
         self.mark = int(np.frombuffer(self.ends[self.MARK], "<u4")[0])
 
@@ -73,18 +74,28 @@ class WordTokenizer:
         return low, b""
 
     def learn(self, missing: list[bytes]) -> None:
-        bases = {w: self.base(w) for w in missing}
-        wanted = {b for b, _ in bases.values()}
-        known = {b: x for b in wanted if (x := self.new.get(b) or self.old.get(b)) is not None}
-        rest = wanted.difference(known)
-        marked = [b for b in rest if self.MARK in b]
-        plain = list(rest.difference(marked))
-        known.update(zip(marked, self._ids(marked), strict=True))
+        """Ids of new words, and of their bases, which other forms share."""
+        new, old, bases, wanted = self.new, self.old, [], set()
+        for w in missing:
+            base = self.base(w)
+            bases.append(base)
+            b = base[0]
+            if b not in new:
+                if b in old:
+                    new[b] = old[b]
+                else:
+                    wanted.add(b)
+        marked = [b for b in wanted if self.MARK in b]
+        plain = list(wanted.difference(marked))
+        new.update(zip(marked, self._ids(marked), strict=True))
         for i in range(0, len(plain), 20_000):
             some = plain[i : i + 20_000]
-            known.update(zip(some, self.encode(some), strict=True))
-        for w, (b, end) in bases.items():
-            self.new[w] = known[b] + end
+            new.update(zip(some, self.encode(some), strict=True))
+        for w, (b, end) in zip(missing, bases, strict=True):
+            new[w] = new[b] + end
+        for w, (b, _) in zip(missing, bases, strict=True):
+            if len(w) > CACHE_BYTES:
+                self.long += [w, b]
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         at = 0
@@ -103,9 +114,9 @@ class WordTokenizer:
             get = self.new.__getitem__
             for words in group:
                 yield b"".join(map(get, words))
-            for w in missing:
-                if len(w) > CACHE_BYTES:
-                    del self.new[w]
+            for w in self.long:
+                self.new.pop(w, None)
+            self.long.clear()
             if len(self.new) > CACHE_WORDS:
                 self.new, self.old = {}, self.new
 
