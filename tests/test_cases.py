@@ -353,6 +353,19 @@ def test_files_and_writers(spark, tmp_path):
     assert report.where("n = 1").first()["section"].startswith("## [1/3] t")
 
 
+def test_sources_beyond_the_viewers_prefix(spark, tmp_path):
+    from tracewarden.operators import facts
+
+    body = "t = request.form['x']\n" + "# filler\n" * (files.MOST_BYTES // 9 + 1) + "post.title = t\n"
+    (tmp_path / "big.py").write_text(body)
+    found = files.sources(spark, str(tmp_path))
+    assert found.select("file", F.length("text")).collect() == [("big.py", len(body))]
+    n = body.count("\n")
+    assert files.lines(found).where("code like 'post%'").select("line", "code").collect() == [(n, "post.title = t")]
+    assert rows(facts.facts(found).select("role", "field", "line", "source_line")) == [("write", "title", n, 1)]
+    assert files.viewed(spark, str(tmp_path), "big.py").select("file", "size", "text", "truncated").collect() == [("big.py", len(body), body[: files.MOST_BYTES], True)]
+
+
 def test_streams_match_batches(spark, tmp_path):
     from datetime import datetime
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions import paths, text
 
-#: Bytes of a file that are read as source; the rest only sets `truncated`.
+#: Bytes of a file that the viewer shows; the rest only sets `truncated`. Scans read whole files.
 MOST_BYTES = 2 << 20
 
 
@@ -21,16 +21,24 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return rows.where(~paths.denied_dir(F.col("file")) & paths.included_file(F.col("file")))
 
 
-def sources(spark: SparkSession, root: str, target: str | None = None) -> DataFrame:
-    """file, ext, language, text, truncated of the scannable sources below root, within target."""
+def _contents(spark: SparkSession, root: str) -> DataFrame:
     at = root.rstrip("/") + "/"
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(at)
     base = F.lit(at.split("://")[-1].removeprefix("file:").rstrip("/") + "/")
     whole = F.regexp_replace(F.col("path"), r"^[a-z]+:(//[^/]*)?(?=/)", "")
-    file = F.substring(whole, F.instr(whole, base) + F.length(base), F.length(whole))
-    kept = found.withColumn("file", file).where(paths.is_source(F.col("file")) & paths.skip_reason(F.col("file")).isNull() & paths.in_scope(F.col("file"), target))
+    return found.withColumn("file", F.substring(whole, F.instr(whole, base) + F.length(base), F.length(whole)))
+
+
+def sources(spark: SparkSession, root: str, target: str | None = None) -> DataFrame:
+    """file, ext, language, text (the whole of it) of the scannable sources below root, within target."""
+    kept = _contents(spark, root).where(paths.is_source(F.col("file")) & paths.skip_reason(F.col("file")).isNull() & paths.in_scope(F.col("file"), target))
+    return kept.select("file", paths.extension(F.col("file")).alias("ext"), paths.scan_language(F.col("file")).alias("language"), F.decode("content", "UTF-8").alias("text"))
+
+
+def viewed(spark: SparkSession, root: str, file: str) -> DataFrame:
+    """file, size, modified, text, truncated of one file below root as the viewer shows it: its first MOST_BYTES bytes."""
     body = F.decode(F.substring(F.col("content"), F.lit(1), F.lit(MOST_BYTES)), "UTF-8")
-    return kept.select("file", paths.extension(F.col("file")).alias("ext"), paths.scan_language(F.col("file")).alias("language"), body.alias("text"), (F.col("length") > MOST_BYTES).alias("truncated"))
+    return _contents(spark, root).where(F.col("file") == file).select("file", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), body.alias("text"), (F.col("length") > MOST_BYTES).alias("truncated"))
 
 
 def lines(files: DataFrame, body: str = "text") -> DataFrame:
