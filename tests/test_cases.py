@@ -366,6 +366,15 @@ def test_sources_beyond_the_viewers_prefix(spark, tmp_path):
     assert files.viewed(spark, str(tmp_path), "big.py").select("file", "size", "text", "truncated").collect() == [("big.py", len(body), body[: files.MOST_BYTES], True)]
 
 
+def test_sources_that_are_not_utf8(spark, tmp_path):
+    bodies = {"a.py": b"A\xc3", "b.py": "x = 'caf\xe9'\ny = 1\n".encode("latin-1"), "c.py": "\ufeffé".encode(), "d.py": b"\xe2\x82 \xf0\x9f\x98x \xed\xa0\x80 \xc0\xaf \xff\xfe \xf4\x90\x80\x80"}
+    bodies["e.py"] = b"a" * (files.MOST_BYTES - 1) + "é".encode()
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    assert dict(files.sources(spark, str(tmp_path)).select("file", "text").collect()) == {k: v.decode(errors="replace") for k, v in bodies.items()}
+    assert files.viewed(spark, str(tmp_path), "e.py").first()["text"] == bodies["e.py"][: files.MOST_BYTES].decode(errors="replace")
+
+
 def test_streams_match_batches(spark, tmp_path):
     from datetime import datetime
 

@@ -29,15 +29,20 @@ def _contents(spark: SparkSession, root: str) -> DataFrame:
     return found.withColumn("file", F.substring(whole, F.instr(whole, base) + F.length(base), F.length(whole)))
 
 
+def _text(content: Column) -> Column:
+    """Bytes as UTF-8, with U+FFFD for what isn't."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def sources(spark: SparkSession, root: str, target: str | None = None) -> DataFrame:
     """file, ext, language, text (the whole of it) of the scannable sources below root, within target."""
     kept = _contents(spark, root).where(paths.is_source(F.col("file")) & paths.skip_reason(F.col("file")).isNull() & paths.in_scope(F.col("file"), target))
-    return kept.select("file", paths.extension(F.col("file")).alias("ext"), paths.scan_language(F.col("file")).alias("language"), F.decode("content", "UTF-8").alias("text"))
+    return kept.select("file", paths.extension(F.col("file")).alias("ext"), paths.scan_language(F.col("file")).alias("language"), _text(F.col("content")).alias("text"))
 
 
 def viewed(spark: SparkSession, root: str, file: str) -> DataFrame:
     """file, size, modified, text, truncated of one file below root as the viewer shows it: its first MOST_BYTES bytes."""
-    body = F.decode(F.substring(F.col("content"), F.lit(1), F.lit(MOST_BYTES)), "UTF-8")
+    body = _text(F.substring(F.col("content"), F.lit(1), F.lit(MOST_BYTES)))
     return _contents(spark, root).where(F.col("file") == file).select("file", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), body.alias("text"), (F.col("length") > MOST_BYTES).alias("truncated"))
 
 
