@@ -166,6 +166,22 @@ def test_embedding_dedup(spark):
     assert out[510][0] >= 4 and out[606] == (1, 606)
 
 
+def test_language_of_long_words(spark):
+    """Runs of a script without spaces: none is left out of the counts, and their language is learned."""
+    rng = random.Random(9)
+    run = lambda letters, n: "".join(rng.choices(letters, k=n))
+    han, kana, latin = "的一是不了人我在有他这中大来上国", "あいうえおかきくけこさしすせそ", "abcdefghij"
+    known = [run(han, 400), run(latin, 300), run(kana, 70_000)]
+    learned = [(known[0], "zh"), (f"{known[0]} {run(han, 86)}。 {run(han, 20)}", "zh"), (known[2], "ja"), (f"«{run(kana, 258)}» {run(kana, 256)}", "ja"), (f"{known[1]} {run(latin, 5)}", "en")]
+    asked = [*known, run(han, 900), run(kana, 300), run(latin, 500), run(han, 5), f"{run(latin, 900)} {known[0]} {run(kana, 86)}", run("xyz", 300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "doc_id long, text string")
+    model = language_id.learn(spark.createDataFrame(learned, "text string, lang string").repartition(3))
+    assert model.languages == ["en", "ja", "zh"]
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(docs, model, "doc_id").collect()}
+    for i, (lang, score) in enumerate(brute.language(learned, asked)):
+        assert found[i] == (lang, pytest.approx(score, abs=1e-9))
+
+
 def test_warc(spark):
     pages = [(1, None), (2, ""), (3, "<p>é</p>"), (4, "<p>é</p>"), (5, "x\r\n\r\ny"), (6, "<P>é</P>"), (7, "z" * 5_000_000), (8, "z" * 5_000_000)]
     df = spark.createDataFrame([(i, f"http://a/{i}?q=é b\r\n" if i % 2 else None, h, 0) for i, h in pages], "page_id long, url string, html string, payload int").repartition(3)

@@ -6,10 +6,15 @@ largest sum; score is the softmax of the mean word score times the square root o
 where the words agree and near an even split where they don't. Ties go to the first language in code point order. A null
 text, or one without a letter, is `und` with score 0. With no labelled rows every text is `und`. Repeated rows are
 classified alike; other columns are ignored; an empty table gives no rows.
+
+Words of any length count. One of more than LONG characters, as in scripts without spaces, is known by its digest, and its
+n-grams are counted where its text is read, so that no long text is a key. A word starts with a letter; a counted token
+that starts with DIGEST or GRAM is a long word or an n-gram of one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,10 +26,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 MAX_WORDS, MAX_GRAMS, MAX_LANGUAGES = 50_000, 50_000, 256
 #: Longest n-gram, and the count that smoothing adds.
 ORDER, SMOOTH = 4, 0.5
+LONG, DIGEST, GRAM = 256, "#", "+"
 #: Words that a task counts, or whose scores a worker keeps, before it starts anew.
 CACHE_WORDS = 300_000
-#: Text that is looked at together.
-TEXT_BYTES = 2 << 20
+#: Text that is looked at together, text whose words a task counts before it starts anew, characters cut up at a time.
+TEXT_BYTES, COUNT_BYTES, PIECE = 2 << 20, 64 << 20, 1 << 16
 
 _COUNTS = pa.schema([("lang", pa.string()), ("token", pa.string()), ("n", pa.int64())])
 
@@ -47,6 +53,17 @@ def grams(word: str, order: int) -> list[str]:
     return [padded[i : i + order] for i in range(len(padded) - order + 1)]
 
 
+def gram_pieces(word: str) -> Iterator[Iterator[str]]:
+    """The n-grams of all orders, those that start within PIECE characters at a time."""
+    padded = f" {word} "
+    for at in range(0, len(padded), PIECE):
+        yield (padded[i : i + order] for order in range(1, ORDER + 1) for i in range(at, min(at + PIECE, len(padded) - order + 1)))
+
+
+def known_as(word: str) -> str:
+    return word if len(word) <= LONG else DIGEST + hashlib.sha256(word.encode()).hexdigest()
+
+
 def _emit(counts: Counter) -> pa.RecordBatch:
     columns = [[k[0] for k in counts], [k[1] for k in counts], list(counts.values())]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _COUNTS, strict=True)], schema=_COUNTS)
@@ -54,21 +71,32 @@ def _emit(counts: Counter) -> pa.RecordBatch:
 
 def _count_words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     raw: dict[str, Counter] = {}
+    size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         for lang, counts in raw.items():
             words: Counter = Counter()
             for w, n in counts.items():
-                if len(w) <= 256 and (x := normal(w)):
-                    words[lang, x] += n
+                if x := normal(w):
+                    words[lang, known_as(x)] += n
+                    if len(x) > LONG:
+                        for piece in gram_pieces(x):
+                            for g in piece:
+                                words[lang, GRAM + g] += n
+                            if len(words) > CACHE_WORDS:
+                                yield _emit(words)
+                                words = Counter()
             yield _emit(words)
         raw.clear()
 
     for part in parts:
         for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-            raw.setdefault(lang, Counter()).update(text.encode().split())
-        if sum(map(len, raw.values())) > CACHE_WORDS:
+            data = text.encode()
+            size += len(data)
+            raw.setdefault(lang, Counter()).update(data.split())
+        if size > COUNT_BYTES or sum(map(len, raw.values())) > CACHE_WORDS:
             yield from flush()
+            size = 0
     yield from flush()
 
 
@@ -85,6 +113,11 @@ def _count_grams(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = counts.get(lang)
             if own is None:
                 own = counts[lang] = Counter()
+            if word[0] == GRAM:
+                own[word[1:]] += n
+                continue
+            if word[0] == DIGEST:
+                continue
             for order in range(1, ORDER + 1):
                 for g in grams(word, order):
                     own[g] += n
@@ -114,13 +147,14 @@ class Model:
     def score(self, words: list[str]) -> np.ndarray:
         """A row of scores for each word: its own, else the mean over its longest known n-grams, else zeros."""
         out = np.zeros((len(words), len(self.languages)))
-        known = [(i, k) for i, w in enumerate(words) if (k := self.words.get(w)) is not None]
+        known = [(i, k) for i, w in enumerate(words) if (k := self.words.get(known_as(w))) is not None]
         if known:
             at, rows = np.array(known).T
             out[at] = self.word_scores[rows]
         get, flat, owners, sizes = self.grams.get, [], [], []
+        done = {i for i, _ in known}
         for i, w in enumerate(words):
-            if w in self.words:
+            if i in done:
                 continue
             for order in range(ORDER, 0, -1):
                 found = [k for g in grams(w, order) if (k := get(g)) is not None]
@@ -147,12 +181,13 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_w
 
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     schema = "lang string, token string, n long"
-    words = stored(rows.mapInArrow(_count_words, schema).groupBy("lang", "token").agg(F.sum("n").alias("n")), "words")
+    counted = stored(rows.mapInArrow(_count_words, schema).groupBy("lang", "token").agg(F.sum("n").alias("n")), "words")
+    words = counted.where(F.left("token", F.lit(1)) != GRAM)
     languages = sorted((r["lang"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()), key=lambda x: x.encode())
     if not languages:
         return None
-    words = words.where(F.col("lang").isin(languages))
-    gram = stored(words.select("lang", "token", "n").mapInArrow(_count_grams, schema).groupBy("lang", "token").agg(F.sum("n").alias("n")), "grams")
+    counted, words = (x.where(F.col("lang").isin(languages)) for x in (counted, words))
+    gram = stored(counted.select("lang", "token", "n").mapInArrow(_count_grams, schema).groupBy("lang", "token").agg(F.sum("n").alias("n")), "grams")
     sums = {0: words.groupBy("lang").agg(F.sum("n")).collect()}
     for r in gram.groupBy(F.length("token").alias("order"), "lang").agg(F.sum("n").alias("n")).collect():
         sums.setdefault(r["order"], []).append((r["lang"], r["n"]))
