@@ -182,6 +182,24 @@ def test_language_of_long_words(spark):
         assert found[i] == (lang, pytest.approx(score, abs=1e-9))
 
 
+def test_language_places_are_shared(spark):
+    """A hot language leaves a rare one its words and n-grams where the bounds bind."""
+    rng = random.Random(3)
+    few = sorted({"".join(rng.choices("uvwxyz", k=5)) for _ in range(40)})
+    many = sorted({"".join(rng.choices("abcdefgh", k=6)) for _ in range(1_000)})
+    learned = [(" ".join(many[: 1 + i * 10]), "en") for i in range(100)] * 2 + [(" ".join(few), "es")]
+    df = spark.createDataFrame(learned, "text string, lang string")
+    model = language_id.learn(df, max_words=200, max_grams=300)
+    assert len(model.words) == 200 and set(few) <= set(model.words) and set(many[:100]) <= set(model.words)
+    assert len(model.grams) == 300 and min(sum(bool(set(g) & set(x)) for g in model.grams) for x in ("uvwxyz", "abcdefgh")) > 120
+    asked = spark.createDataFrame([(1, few[0]), (2, "uvwxyuz"), (3, many[0])], "doc_id long, text string")
+    assert by_id(language_id.predict(asked, model, "doc_id"), "lang_pred") == {1: ("es",), 2: ("es",), 3: ("en",)}
+    langs = spark.range(language_id.MAX_LANGUAGES + 1).select(F.lit("word").alias("text"), F.col("id").cast("string").alias("lang"))
+    with pytest.raises(ValueError):
+        language_id.learn(langs)
+    assert len(language_id.learn(langs.where("id > 0")).languages) == language_id.MAX_LANGUAGES
+
+
 def test_warc(spark):
     pages = [(1, None), (2, ""), (3, "<p>é</p>"), (4, "<p>é</p>"), (5, "x\r\n\r\ny"), (6, "<P>é</P>"), (7, "z" * 5_000_000), (8, "z" * 5_000_000)]
     df = spark.createDataFrame([(i, f"http://a/{i}?q=é b\r\n" if i % 2 else None, h, 0) for i, h in pages], "page_id long, url string, html string, payload int").repartition(3)

@@ -22,7 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Bounds of the model that is broadcast, whatever the corpus: words, n-grams and languages kept, the commonest first.
+#: Bounds of the model that is broadcast, whatever the corpus: words and n-grams kept, whose places the languages share, and
+#: languages, beyond which learn() raises an error.
 MAX_WORDS, MAX_GRAMS, MAX_LANGUAGES = 50_000, 50_000, 256
 #: Longest n-gram, and the count that smoothing adds.
 ORDER, SMOOTH = 4, 0.5
@@ -127,22 +128,23 @@ def _count_grams(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Log frequencies by language: a matrix row for each known word and n-gram."""
+    """Log frequencies by language: a matrix row for each known word and n-gram. totals and distinct are of all words (0) and
+    n-grams (by order), known or not."""
 
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], gram: dict[str, np.ndarray], totals: dict[int, np.ndarray]):
+    def __init__(self, languages: list[str], words: dict[str, np.ndarray], gram: dict[str, np.ndarray], totals: dict[int, np.ndarray], distinct: dict[int, int]):
         self.languages = languages
-        self.words, self.word_scores = self._logs(words, totals[0])
+        self.words, self.word_scores = self._logs(words, totals[0], distinct.get(0, 0))
         self.grams: dict[str, int] = {}
         scores = []
         for order in range(1, ORDER + 1):
-            own, rows = self._logs({g: c for g, c in gram.items() if len(g) == order}, totals[order])
+            own, rows = self._logs({g: c for g, c in gram.items() if len(g) == order}, totals[order], distinct.get(order, 0))
             self.grams |= {g: i + len(self.grams) for g, i in own.items()}
             scores.append(rows)
         self.gram_scores = np.concatenate(scores)
 
-    def _logs(self, counts: dict[str, np.ndarray], totals: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
+    def _logs(self, counts: dict[str, np.ndarray], totals: np.ndarray, distinct: int) -> tuple[dict[str, int], np.ndarray]:
         rows = np.array(list(counts.values()), float).reshape(len(counts), len(self.languages))
-        return {k: i for i, k in enumerate(counts)}, np.log((rows + SMOOTH) / (totals + SMOOTH * (len(counts) + 1))) if counts else rows
+        return {k: i for i, k in enumerate(counts)}, np.log((rows + SMOOTH) / (totals + SMOOTH * (distinct + 1))) if counts else rows
 
     def score(self, words: list[str]) -> np.ndarray:
         """A row of scores for each word: its own, else the mean over its longest known n-grams, else zeros."""
@@ -169,31 +171,58 @@ class Model:
         return out
 
 
+def _own_places(counts: DataFrame, most: int) -> Column:
+    """2 for the commonest tokens of a language, 1 for those of the next level that fit by their hash, which may be a few
+    too many, else 0. All languages have equally many places, and what one has no tokens for goes to the others. Counts
+    within 5 % are one level."""
+    level = F.floor(F.log2("n") * 16)
+    levels: dict[str, list[tuple[int, int]]] = {}
+    for r in counts.groupBy("lang", level.alias("level")).count().collect():
+        levels.setdefault(r["lang"], []).append((r["level"], r["count"]))
+    left, cuts = most, {}
+    by_size = sorted(levels, key=lambda x: (sum(n for _, n in levels[x]), x))
+    for i, lang in enumerate(by_size):
+        places = room = min(sum(n for _, n in levels[lang]), left // (len(by_size) - i))
+        left -= places
+        for at, n in sorted(levels[lang], reverse=True):
+            cuts[lang] = (at - 1, 0.0) if room >= n else (at, room / n)
+            room -= n
+            if room <= 0:
+                break
+    least, part = (F.element_at(F.create_map(*(F.lit(v) for k, c in cuts.items() for v in (k, c[i]))), F.col("lang")) for i in (0, 1))
+    fits = (level == least) & (F.pmod(F.xxhash64("token"), F.lit(1 << 20)) < part * (1 << 20))
+    return F.when(level > least, 2).when(fits, 1).otherwise(0)
+
+
 def _table(counts: DataFrame, most: int, languages: list[str]) -> dict[str, np.ndarray]:
-    """The commonest tokens with their counts by language: at most `most` rows come to the driver."""
-    top = counts.groupBy("token").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    return {r["token"]: np.array([r["by"].get(x, 0) for x in languages], float) for r in top.orderBy(F.desc("total"), "token").limit(most).collect()}
+    """The commonest tokens of each language, then the commonest of all, with their counts by language: at most `most` rows
+    come to the driver."""
+    own = F.max(_own_places(counts, most)).alias("own")
+    top = counts.groupBy("token").agg(own, F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+    return {r["token"]: np.array([r["by"].get(x, 0) for x in languages], float) for r in top.orderBy(F.desc("own"), F.desc("total"), "token").limit(most).collect()}
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model | None:
-    """Counts all given rows with a text and a language; None if there are none."""
+    """Counts all given rows with a text and a language; None if there are none. More than MAX_LANGUAGES are an error."""
     from .shared import stored
 
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     schema = "lang string, token string, n long"
     counted = stored(rows.mapInArrow(_count_words, schema).groupBy("lang", "token").agg(F.sum("n").alias("n")), "words")
     words = counted.where(F.left("token", F.lit(1)) != GRAM)
-    languages = sorted((r["lang"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()), key=lambda x: x.encode())
+    languages = sorted((r["lang"] for r in words.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()), key=lambda x: x.encode())
     if not languages:
         return None
-    counted, words = (x.where(F.col("lang").isin(languages)) for x in (counted, words))
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     gram = stored(counted.select("lang", "token", "n").mapInArrow(_count_grams, schema).groupBy("lang", "token").agg(F.sum("n").alias("n")), "grams")
     sums = {0: words.groupBy("lang").agg(F.sum("n")).collect()}
     for r in gram.groupBy(F.length("token").alias("order"), "lang").agg(F.sum("n").alias("n")).collect():
         sums.setdefault(r["order"], []).append((r["lang"], r["n"]))
     totals = {k: np.array([dict(tuple(x) for x in v).get(y, 0) for y in languages], float) for k, v in sums.items()}
     totals |= {k: np.zeros(len(languages)) for k in range(ORDER + 1) if k not in totals}
-    return Model(languages, _table(words, max_words, languages), _table(gram, max_grams, languages), totals)
+    distinct = {0: words.select("token").distinct().count()} | {r[0]: r[1] for r in gram.select("token").distinct().groupBy(F.length("token")).count().collect()}
+    return Model(languages, _table(words, max_words, languages), _table(gram, max_grams, languages), totals, distinct)
 
 
 class _Rows:
