@@ -262,6 +262,15 @@ def test_null_ids_and_repeated_rows(spark):
     assert sorted((str(r["vec_id"]), r["n_links"], r["kept"]) for r in embedding_dedup.embedding_duplicates(vectors).collect()) == [("3", 1, True), ("3", 1, True), ("None", 0, True)]
 
 
+def test_minhash_of_repeated_ids(spark):
+    """Each text of a doc_id brings its links."""
+    x, y, z = ([f"{c}{i}" for i in range(60)] for c in "xyz")
+    texts = [(1, x), (1, y), (2, x[:59]), (3, y[1:]), (4, z), (4, y[:59]), (5, z[2:]), (6, ["alone"])]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string").repartition(3)
+    found = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(df).collect()}
+    assert found == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 6)}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     path = queries.vocabulary("word_bpe_49k.json")

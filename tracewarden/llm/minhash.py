@@ -7,11 +7,11 @@ and candidates whose estimate is not far below the threshold are confirmed on th
 threshold * union. A pair at 0.75 shares no band with probability 6e-6 and falls below the estimate's margin with 3e-6.
 
 Equal sets form one class, of which one document is compared. A document is first compared with a few of its band buckets'
-smallest doc_ids; then, in buckets that still hold several components, all signatures of different components are compared
+smallest classes; then, in buckets that still hold several components, all signatures of different components are compared
 in blocks, so no link between components is lost and no bucket is expanded into pairs.
 
 Null and empty texts, and texts of white space only, have no set, n_shingles 0, and link with nothing; so do rows with a
-null doc_id. Rows of one doc_id are one document to components. Other columns are ignored; an empty table gives no rows.
+null doc_id. Rows of one doc_id are one document to components, and each of its texts brings its own links. Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -81,6 +81,11 @@ def sketch(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys, (low[:, 0::2] << 4) | low[:, 1::2]
 
 
+def digests(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums over each non-empty set, which with its size tell it from others."""
+    return np.add.reduceat(mix(values), starts), np.add.reduceat(mix(values ^ np.uint64(0x5851F42D4C957F2D)), starts)
+
+
 def _sketches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         for at, values, bounds in shingle_sets(part.column("text")):
@@ -90,8 +95,7 @@ def _sketches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands, signatures = [None] * len(n), [None] * len(n)
             if len(some):
                 starts = bounds[:-1][some]
-                digest[0, some] = np.add.reduceat(mix(values), starts)
-                digest[1, some] = np.add.reduceat(mix(values ^ np.uint64(0x5851F42D4C957F2D)), starts)
+                digest[:, some] = digests(values, starts)
                 keys, packed = sketch(values, np.append(starts, bounds[-1]))
                 for i, k, s in zip(some.tolist(), keys.view(np.int64), packed, strict=True):
                     bands[i], signatures[i] = k, s.tobytes()
@@ -102,8 +106,14 @@ def _sketches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         for at, values, bounds in shingle_sets(part.column("text")):
-            blobs = [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(at, len(blobs)), pa.array(blobs, pa.binary())], names=["doc_id", "shingles"])
+            n = np.diff(bounds)
+            some = np.flatnonzero(n)
+            if not len(some):
+                continue
+            d1, d2 = digests(values, bounds[:-1][some])
+            blobs = [values[bounds[i] : bounds[i + 1]].tobytes() for i in some.tolist()]
+            ids = part.column("doc_id").slice(at, len(n)).take(pa.array(some))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n[some], pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(blobs, pa.binary())], names=["doc_id", "n", "d1", "d2", "shingles"])
 
 
 def likeness(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -139,16 +149,18 @@ def _confirmed(threshold: int):
     return run
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold. Texts never shuffle: a filter of the documents in a pair picks
-    those that are shingled again, and their sets move."""
+def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """The pairs of classes (a, b) whose full sets reach the threshold. Texts never shuffle: a filter of the documents of a
+    pair picks those that are shingled again, and their sets move."""
     pairs = stored(pairs, "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    near = bloom.among(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", wanted, 2 * pairs.count())
-    sets = near.select("doc_id", "text").mapInArrow(_sets, "doc_id long, shingles binary").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    wanted = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class", "left_semi")
+    wanted = stored(wanted.withColumnRenamed("rep", "doc_id"), "wanted")
+    near = bloom.among(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", wanted.select("doc_id"), 2 * pairs.count())
+    sets = near.select("doc_id", "text").mapInArrow(_sets, "doc_id long, n long, d1 long, d2 long, shingles binary")
+    sets = sets.join(wanted, ["doc_id", "n", "d1", "d2"]).dropDuplicates(["class"]).select("class", "shingles")
     sets = stored(sets, "sets")
     for own, name in (("a", "left"), ("b", "right")):
-        pairs = pairs.join(sets.select(F.col("doc_id").alias(own), F.col("shingles").alias(name)), own)
+        pairs = pairs.join(sets.select(F.col("class").alias(own), F.col("shingles").alias(name)), own)
     return stored(pairs.select("a", "b", "left", "right").mapInArrow(_confirmed(threshold), "a long, b long"), "confirmed")
 
 
@@ -169,32 +181,35 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     least = threshold / 100 - MARGIN
     rows = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketches, "doc_id long, n long, d1 long, d2 long, bands array<long>, signature binary"), "sketches")
     some = rows.where("n > 0 and doc_id is not null")
-    classes = stored(some.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = some.join(classes.withColumnRenamed("rep", "doc_id"), ["n", "d1", "d2", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    reps = stored(reps.select("doc_id", "bands", "signature"), "reps")
-    keyed = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("members")).where("members > 1")
+    classes = stored(some.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")).withColumn("class", F.monotonically_increasing_id()), "classes")
+    reps = some.join(classes.withColumnRenamed("rep", "doc_id"), ["n", "d1", "d2", "doc_id"]).dropDuplicates(["class"])
+    reps = stored(reps.select("class", "bands", "signature"), "reps")
+    keyed = reps.select("class", F.posexplode("bands").alias("band", "key"))
+    shared = keyed.groupBy("key").agg(F.min("class").alias("low"), F.count("*").alias("members")).where("members > 1")
     buckets = stored(keyed.join(shared, "key"), "buckets")
-    signatures = reps.select("doc_id", "signature")
-    lowest = buckets.where("low <> doc_id").groupBy("doc_id", F.floor(F.col("band") * STARS / BANDS)).agg(F.min("low").alias("low"))
-    stars = lowest.select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
+    signatures = reps.select("class", "signature")
+    lowest = buckets.where("low <> class").groupBy("class", F.floor(F.col("band") * STARS / BANDS)).agg(F.min("low").alias("low"))
+    stars = lowest.select(F.col("low").alias("a"), F.col("class").alias("b")).distinct()
     for own, name in (("a", "left"), ("b", "right")):
-        stars = stars.join(signatures.select(F.col("doc_id").alias(own), F.col("signature").alias(name)), own)
-    first = confirm(stars.select("a", "b", "left", "right").mapInArrow(_likely(least), "a long, b long"), docs, threshold)
+        stars = stars.join(signatures.select(F.col("class").alias(own), F.col("signature").alias(name)), own)
+    first = confirm(stars.select("a", "b", "left", "right").mapInArrow(_likely(least), "a long, b long"), classes, docs, threshold)
     known = components(first)
     # buckets that still hold several components
-    held = buckets.select("key", "doc_id", "members").join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    held = stored(held.withColumn("component", F.coalesce("component", "doc_id")), "held")
+    held = buckets.select("key", "class", "members").join(known.withColumnRenamed("node", "class"), "class", "left")
+    held = stored(held.withColumn("component", F.coalesce("component", "class")), "held")
     mixed = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    cells = stored(held.join(mixed, "key", "left_semi").join(signatures, "doc_id"), "mixed")
-    own, visits = dealt(F.col("members"), F.col("doc_id"))
-    columns = ["key", "doc_id", "component", "signature"]
+    cells = stored(held.join(mixed, "key", "left_semi").join(signatures, "class"), "mixed")
+    own, visits = dealt(F.col("members"), F.col("class"))
+    columns = ["key", "class", "component", "signature"]
     both = cells.select(*columns, F.lit(0).alias("side"), own.alias("chunk")).unionByName(cells.select(*columns, F.lit(1).alias("side"), visits.alias("chunk")))
-    arrays = lambda part: [part.column("doc_id").to_numpy(), part.column("component").to_numpy(), fixed_width(part.column("signature"), "uint64")]
+    arrays = lambda part: [part.column("class").to_numpy(), part.column("component").to_numpy(), fixed_width(part.column("signature"), "uint64")]
     pairs = compared(both, ["key", "chunk"], arrays, lambda d, q: across(d, q, least))
-    second = confirm(pairs, docs, threshold)
+    second = confirm(pairs, classes, docs, threshold)
     same = some.join(classes, ["n", "d1", "d2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    found = components(first.unionByName(second).unionByName(same))
+    linked = first.unionByName(second)
+    for own in "ab":
+        linked = linked.join(classes.select(F.col("class").alias(own), F.col("rep").alias(f"rep_{own}")), own)
+    found = components(linked.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).unionByName(same))
     out = rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
