@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .shared import stored
+from .shared import stored, unused
 
 #: Sources that a line must occur in to be boilerplate.
 MIN_SITES = 10
@@ -61,13 +61,15 @@ def _without(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFr
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """docs (doc_id, text, source and any others) with text cleaned, and n_lines and n_removed (lines, not empty, before)."""
+    """docs (doc_id, text, source and any others) with text cleaned, and n_lines and n_removed (lines, not empty, before), which
+    take the place of input columns of these names."""
     lines = stored(occurrences(docs), "lines")
     common = stored(boilerplate(lines, min_sites), "boilerplate")
     gone = lines.join(common, "line").where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("first")))
     gone = gone.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("gone"))
-    gone = gone.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("text_key").alias("_key"), F.col("gone").alias("_gone"))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_key": F.xxhash64("text")})
-    joined = keyed.join(gone, ["_id", "_key"], "left").withColumn("_out", _without("text", "_gone"))
+    own_id, own_key, own_gone, own_out = (unused(docs.columns, x) for x in ("id", "key", "gone", "out"))
+    gone = gone.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias(own_id), F.col("text_key").alias(own_key), F.col("gone").alias(own_gone))
+    keyed = docs.withColumns({own_id: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), own_key: F.xxhash64("text")})
+    joined = keyed.join(gone, [own_id, own_key], "left").withColumn(own_out, _without("text", own_gone))
     names = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    return joined.select(*names, "_out.text", "_out.n_lines", "_out.n_removed")
+    return joined.select(*names, *(f"{own_out}.{c}" for c in ("text", "n_lines", "n_removed")))

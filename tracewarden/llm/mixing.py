@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .order import bucketed_total, running_total
-from .shared import SPACES, stored
+from .shared import SPACES, stored, unused
 
 WEIGHTS = (5, 2, 1)
 #: No source and no document is taken more often than this.
@@ -64,9 +64,12 @@ def _mixed(rows: DataFrame, weights: tuple[int, ...], epochs: int) -> DataFrame:
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """docs as mixed: a document that is taken twice comes twice, one that is not taken goes. docs has documents' columns."""
-    docs = stored(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    """docs (doc_id, text, source and any others) as mixed: a document that is taken twice comes twice, one that is not taken
+    goes."""
+    own_row, own_copies, own_copy = (unused(docs.columns, x) for x in ("row", "copies", "copy"))
+    columns = docs.columns
+    docs = stored(docs.withColumn(own_row, F.monotonically_increasing_id()), "numbered")
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(f"[^{SPACES}]+")), F.lit(0)).cast("long")
-    rows = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), "row"), "sizes")
-    copies = _mixed(rows, weights, epochs).where("copies > 0").select("row", "copies")
-    return docs.join(copies, "row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("row", "copies", "_copy")
+    rows = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.col(own_row).alias("row")), "sizes")
+    copies = _mixed(rows, weights, epochs).where("copies > 0").select(F.col("row").alias(own_row), F.col("copies").alias(own_copies))
+    return docs.join(copies, own_row).withColumn(own_copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(own_copies)))).select(*columns)
