@@ -9,7 +9,8 @@ buckets of edge hashes, so what moves is small beside the texts, and texts thems
    its occurrences are followed by the same word, to the left if all are preceded by the same word.
 3. Consecutive repeated edges compact into one path where every link is nonbranching on both sides. So all occurrences of a
    path are whole, and the first occurrence of the path is the first one of each of its edges. Paths meet in a Spark join;
-   the digest of all words of the span at the source coordinate and at each other one must agree.
+   a digest of the bytes of all words of the span at the source coordinate and at each other one, by another hash than
+   that of edges, must agree.
 
 Words covered by an occurrence other than the first (smallest doc_id, then start; a null doc_id is below all others, and
 of rows repeated with one doc_id the one stored first) are removed. Windows are judged on the input. Null and empty texts
@@ -32,6 +33,8 @@ from .shared import fresh_path, mix, rolling, stored, text_buffers, word_hashes,
 WIDTH = 20
 #: Text of a block, of a table bucket of blocks, and edges of a hash bucket.
 BLOCK_BYTES, TABLE_BYTES, BUCKET_EDGES = 4 << 20, 16 << 20, 2_000_000
+#: Spark refuses more than 100,000 table buckets; beyond this many they grow instead.
+MOST_BUCKETS = 50_000
 #: Rows of a block are numbered below 2 ** ROW_BITS.
 ROW_BITS = 24
 NULL_ID = -(1 << 63)
@@ -74,7 +77,7 @@ class Edges:
         self.bounds = np.array(row["bounds"], np.int64)
         data = np.frombuffer(row["data"], np.uint8)
         self.starts, self.ends, self.first = word_spans(data, self.bounds)
-        self.words = word_hashes(data, self.starts, self.ends)
+        self.data, self.words = data, word_hashes(data, self.starts, self.ends)
         rolled = rolling(self.words, width)
         # starts of windows that end in the same document
         counts = np.diff(self.first)
@@ -244,10 +247,10 @@ def _paths(width: int, bits: int):
             linked = (np.diff(at) == 1) & (np.diff(doc) == 0) & right[edge[:-1]] & left[edge[1:]]
             begins = np.flatnonzero(np.concatenate([[True], ~linked]))
             n = np.diff(np.append(begins, len(at)))
-            # a second hash of each word, summed with powers, so that a span's digest comes from two sums
+            # another hash of each word's bytes, summed with powers, so that a span's digest comes from two sums
             power = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(edges.words), 0x2545F4914F6CDD1D, np.uint64)]))
             back = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(edges.words), pow(0x2545F4914F6CDD1D, -1, 1 << 64), np.uint64)]))
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(edges.words ^ np.uint64(0xA0761D6478BD642F)) * power[:-1])])
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word_hashes(edges.data, edges.starts, edges.ends, other=True) * power[:-1])])
             start = at[begins]
             digest = mix((sums[start + n + width - 1] - sums[start]) * back[start])
             ids = np.array([NULL_ID if x is None else x for x in row["doc_ids"]], np.int64)[doc[begins]]
@@ -308,8 +311,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     # bucketed by block, so that no join with what blocks learn ever shuffles a text
     name = f"blocks_{uuid.uuid4().hex}"
     writer = packed.write.format("parquet").option("compression", "zstd").option("path", fresh_path(spark, "blocks"))
-    writer.bucketBy(max(1, -(-size // TABLE_BYTES)), "block").sortBy("block").saveAsTable(name)
+    writer.bucketBy(min(MOST_BUCKETS, max(1, -(-size // TABLE_BYTES))), "block").sortBy("block").saveAsTable(name)
     blocks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # of the catalogue's entry only; the plan and the files stay
     spans = repeated_spans(blocks, size // 4, width)
     spans = stored(spans.groupBy("block").agg(F.collect_list(F.struct("row", "start", "edges")).alias("spans")), "spans")
     final = blocks.select("block", "doc_ids", "bounds", "data").join(spans.hint("merge"), "block", "left")
