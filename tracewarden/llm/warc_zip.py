@@ -1,7 +1,7 @@
 """WARC records in ZIP packages: written by tasks into the shared folder, read back by byte ranges.
 
-Each package holds two stored (uncompressed) members: archive/data.warc.gz, one gzip member per record, and
-indexes/index.cdx, a line "offset length" per record. Of pages with equal payloads of at least `least_bytes` bytes the one
+Each package holds stored (uncompressed) members: archives below archive/, with one gzip member per record, and indexes below
+indexes/, with a line "offset length name" per record, name being the archive's below archive/. The writer makes one of each. Of pages with equal payloads of at least `least_bytes` bytes the one
 with the largest page_id is a response and the others are revisits of it. A null html is the empty payload; a null page_id
 is never the response of a group that has another, and is one where all are null; rows repeated with one page_id are all
 responses or all revisits; other columns are ignored; an empty table gives no packages and no records.
@@ -27,9 +27,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .shared import fresh_path, stored
 
-DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
+ARCHIVES, INDEXES = "archive/", "indexes/"
+DATA, INDEX = f"{ARCHIVES}data.warc.gz", f"{INDEXES}index.cdx"
 #: A task begins a new package beyond this many bytes; neighbouring records are read together, RECORDS at a time, large ones alone.
 PACKAGE_BYTES, RECORDS, READ_BYTES = 32 << 20, 256, 4 << 20
+#: Bytes of compressed records that a task reads.
+TASK_BYTES = 8 << 20
 DATE = "2000-01-01T00:00:00Z"
 URN = "urn:x-page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -66,22 +69,24 @@ def package(records: bytes, index: list[tuple[int, int]]) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
         z.writestr(zipfile.ZipInfo(DATA), records)
-        z.writestr(zipfile.ZipInfo(INDEX), "".join(f"{a} {n}\n" for a, n in index))
+        z.writestr(zipfile.ZipInfo(INDEX), "".join(f"{a} {n} {DATA[len(ARCHIVES) :]}\n" for a, n in index))
     return out.getvalue()
 
 
 def with_originals(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload and refers_to (null for a response). Digests are summed before they shuffle; a hot payload's
-    rows are dealt by the join, which adaptive execution splits."""
+    """page_id, url, payload and refers_to (null for a response). Only ids and digests meet by digest, where adaptive execution
+    splits a hot one; payloads meet what they refer to by page and digest."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
-    best = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("original"))
-    joined = rows.join(best, "digest", "left")
-    return joined.select("page_id", "url", "payload", F.when(~F.col("original").eqNullSafe(F.col("page_id")), F.col("original")).alias("refers_to"))
+    rows = rows.withColumn("key", F.coalesce("page_id", F.lit(-(1 << 63))))
+    keys = stored(rows.where(F.octet_length("payload") >= least_bytes).select("key", "page_id", "digest"), "digests")
+    best = stored(keys.groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n"), "originals")
+    refers = stored(keys.join(best, "digest").where("original is not null and original <> key").select("key", "digest", F.col("original").alias("refers_to")).distinct(), "revisits")
+    return rows.join(refers, ["key", "digest"], "left").select("page_id", "url", "payload", "refers_to")
 
 
 def write_packages(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
-    """Writes packages under folder and returns their paths. A task names its packages afresh, and only those of tasks that
+    """Writes packages under folder and returns path, records and bytes of each. A task names its packages afresh, and only those of tasks that
     succeeded are in the result, so a task run twice does no harm."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +98,7 @@ def write_packages(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
             name = f"{uuid.uuid4().hex}.zip"
             with storage.open_output_stream(f"{root}/{name}") as f:
                 f.write(package(data.getvalue(), index))
-            return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": pa.array([len(index)], pa.int64())})
+            return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": pa.array([len(index)], pa.int64()), "bytes": pa.array([data.tell()], pa.int64())})
 
         for part in parts:
             columns = [part.column(n) for n in ("page_id", "url", "payload", "refers_to")]
@@ -107,7 +112,7 @@ def write_packages(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
         if index:
             yield close()
 
-    return stored(with_originals(pages, least_bytes).mapInArrow(run, "path string, records long"), "packages")
+    return stored(with_originals(pages, least_bytes).mapInArrow(run, "path string, records long, bytes long"), "packages")
 
 
 def members(f) -> dict[str, tuple[int, int]]:
@@ -155,13 +160,15 @@ def _ranges(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             storage, at = open_storage(path)
             with storage.open_input_file(at) as f:
                 found = members(f)
-                base = found[DATA][0]
-                lines = f.read_at(found[INDEX][1], found[INDEX][0]).decode().split("\n")
+                lines = [x for name, (start, size) in sorted(found.items()) if name.startswith(INDEXES) for x in f.read_at(size, start).decode().split("\n") if x]
             rows: list[tuple[str, int, list[int]]] = []
-            for a, n in (map(int, x.split()) for x in lines if x):
-                if not rows or rows[-1][1] + sum(rows[-1][2]) != base + a or len(rows[-1][2]) >= RECORDS or n >= READ_BYTES:
-                    rows.append((path, base + a, []))
+            end = -1
+            for offset, size, name in (x.split(" ", 2) for x in lines):
+                start, n = found[ARCHIVES + name][0] + int(offset), int(size)
+                if start != end or len(rows[-1][2]) >= RECORDS or n >= READ_BYTES:
+                    rows.append((path, start, []))
                 rows[-1][2].append(n)
+                end = start + n
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, _RANGES, strict=True)], schema=_RANGES)
 
 
@@ -195,10 +202,11 @@ def _records(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_packages(packages: DataFrame) -> DataFrame:
-    """Every record of the packages whose paths are given: page_id, url, record_type, refers_to, payload_bytes,
+    """Every record of packages(path, bytes): page_id, url, record_type, refers_to, payload_bytes,
     payload_digest, payload (null for a revisit)."""
     ranges = packages.select("path").mapInArrow(_ranges, "path string, start long, sizes array<long>")
-    spread = ranges.repartition("path", "start")
+    size = packages.agg(F.sum("bytes")).first()[0] or 0
+    spread = ranges.repartition(max(1, -(-size // TASK_BYTES)), "path", "start")
     return spread.mapInArrow(_records, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
