@@ -19,24 +19,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .order import bucketed_total
-from .shared import stored
+from .shared import WordTable, slices, stored, text_groups, word_hashes, word_spans
 
 CAPACITY = 2048
 #: Sizes that large lengths are rounded to, and the least share of a sequence that makes a length large.
 GROUPS, LARGE = 200, 1 / 3
 END = b"\0\0\0\0"
-#: Words whose ids a worker keeps, and the longest such word in bytes.
-CACHE_WORDS, CACHE_BYTES = 900_000, 64
+#: Words whose ids a worker keeps, some 30 bytes each, and the longest such word in bytes.
+CACHE_WORDS, CACHE_BYTES = 1_000_000, 64
 #: Text that is looked at together.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 class WordTokenizer:
     """Token ids of texts, word by word. The vocabulary drops white space and case and no token spans white space, so a
-    text's ids are its words' ids one after the other; words repeat, so most are looked up. New words are encoded many in
-    one text, with a mark between them that is always a token of its own."""
+    text's ids are its words' ids one after the other; words repeat, so most are looked up. Words that differ by A-Z or by
+    a last stop or comma share a base. New bases are encoded many in one text, with a mark between them that is always a
+    token of its own."""
 
     MARK, TOGETHER = b"|", 250
 
@@ -44,100 +45,107 @@ class WordTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.new, self.old = Tokenizer.from_file(path), {}, {}
-        self.long: list[bytes] = []  # words of the texts at hand that aren't kept
-        self.ends = {m: self._ids([m])[0] for m in (b".", b",", self.MARK)}
-        self.mark = int(np.frombuffer(self.ends[self.MARK], "<u4")[0])
+        self.tokenizer = Tokenizer.from_file(path)
+        stop, comma, mark = (self._ids([m])[0] for m in (b".", b",", self.MARK))
+        self.mark, self.last = int(mark[0]), {ord("."): int(stop[0]), ord(","): int(comma[0])}
+        self.forget()
 
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words without the mark."""
-        between = b" " + self.MARK + b" "
-        chunks = [words[i : i + self.TOGETHER] for i in range(0, len(words), self.TOGETHER)]
-        found = self.tokenizer.encode_batch_fast([between.join(c).decode() for c in chunks], add_special_tokens=False)
-        out = []
-        for chunk, x in zip(chunks, found, strict=True):
-            ids = np.array(x.ids, "<u4")
-            data, cuts = ids.tobytes(), (np.flatnonzero(ids == self.mark) * 4).tolist()
-            own = [data[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)]
-            out += own if len(own) == len(chunk) else self._ids(chunk)
-        return out
-
-    def base(self, word: bytes) -> tuple[bytes, bytes]:
-        """A word in lower case without a last stop or comma, and the ids of that; both make the word's ids."""
-        low = word.lower()
-        if low[-1:] in (b".", b",") and low[-2:-1].isalnum():
-            return low[:-1], self.ends[low[-1:]]
-        return low, b""
-
-    def learn(self, missing: list[bytes]) -> None:
-        """Ids of new words, and of their bases, which other forms share."""
-        new, old, bases, wanted = self.new, self.old, [], set()
-        for w in missing:
-            base = self.base(w)
-            bases.append(base)
-            b = base[0]
-            if b not in new:
-                if b in old:
-                    new[b] = old[b]
-                else:
-                    wanted.add(b)
-        marked = [b for b in wanted if self.MARK in b]
-        plain = list(wanted.difference(marked))
-        new.update(zip(marked, self._ids(marked), strict=True))
-        for i in range(0, len(plain), 20_000):
-            some = plain[i : i + 20_000]
-            new.update(zip(some, self.encode(some), strict=True))
-        for w, (b, end) in zip(missing, bases, strict=True):
-            new[w] = new[b] + end
-        for w, (b, _) in zip(missing, bases, strict=True):
-            if len(w) > CACHE_BYTES:
-                self.long += [w, b]
-
-    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
-        at = 0
-        while at < len(texts):
-            group, size = [], 0
-            while at < len(texts) and size < TEXT_BYTES:
-                data = (texts[at] or "").encode()
-                size, at = size + len(data) + 1, at + 1
-                group.append(data.split())
-            missing = set().union(*group).difference(self.new)
-            if self.old:
-                again = missing.intersection(self.old)
-                self.new.update((w, self.old[w]) for w in again)
-                missing -= again
-            self.learn(list(missing))
-            get = self.new.__getitem__
-            for words in group:
-                yield b"".join(map(get, words))
-            for w in self.long:
-                self.new.pop(w, None)
-            self.long.clear()
-            if len(self.new) > CACHE_WORDS:
-                self.new, self.old = {}, self.new
+    def forget(self) -> None:
+        self.table, self.flat, self.offsets = WordTable(), np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
+    def _ids(self, words: list[bytes]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and how many each has."""
+        ids, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        between = b" " + self.MARK + b" "
+        for at in range(0, len(words), self.TOGETHER):
+            some = words[at : at + self.TOGETHER]
+            own = self._ids([between.join(some)])[0]
+            cuts = np.flatnonzero(own == self.mark)
+            if len(cuts) == len(some) - 1:
+                ids.append(np.delete(own, cuts))
+                sizes.append(np.diff(cuts, prepend=-1, append=len(own)) - 1)
+            else:  # a word has the mark itself
+                each = self._ids(some)
+                ids += each
+                sizes.append(np.array(list(map(len, each))))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def keep(self, words: list[bytes]) -> None:
+        ids, sizes = self.encode(words)
+        self.flat, self.offsets = np.concatenate([self.flat, ids]), np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
+
+    def ids(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+        """Row and ids, in order; a very long text comes in several parts."""
+        for rows, data, bounds in text_groups(column, TEXT_BYTES):
+            starts, ends, first = word_spans(data, bounds)
+            # bases end before a last stop or comma that follows A-Z, a-z or 0-9
+            tail = data[ends - 1]
+            bare = ((tail == ord(".")) | (tail == ord(","))) & _ALNUM[data[ends - 2]] & (ends - starts > 1)
+            last = np.where(bare, np.where(tail == ord("."), self.last[ord(".")], self.last[ord(",")]), 0).astype("<u4")
+            ends = ends - bare
+            if self.table.size > CACHE_WORDS:
+                self.forget()
+            short = ends - starts <= CACHE_BYTES
+            own = np.empty(len(starts), np.int64)
+            own[short], new = self.table.find(word_hashes(data, starts[short], ends[short], lower=True))
+            self.keep(slices(data, starts[short][new], ends[short][new]))
+            flat, offsets = self.flat, self.offsets
+            if not short.all():
+                ids, sizes = self.encode(slices(data, starts[~short], ends[~short]))
+                own[~short] = np.arange(len(offsets) - 1, len(offsets) - 1 + len(sizes))
+                flat, offsets = np.concatenate([flat, ids]), np.concatenate([offsets, offsets[-1] + np.cumsum(sizes)])
+            sizes = offsets[own + 1] - offsets[own]
+            to = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes + bare)])
+            out = np.empty(to[-1], "<u4")
+            out[to[1:][bare] - 1] = last[bare]
+            place = np.repeat(to[:-1], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            out[place] = flat[np.repeat(offsets[own] - to[:-1], sizes) + place]
+            for row, a, b in zip(rows.tolist(), to[first[:-1]].tolist(), to[first[1:]].tolist(), strict=True):
+                yield row, out[a:b]
+
+
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
 def _pieces(path: str, capacity: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _TOKENIZERS.setdefault(path, None) or WordTokenizer(path)
-        _TOKENIZERS[path] = tokenizer
+        tokenizer = _TOKENIZERS.get(path) or _TOKENIZERS.setdefault(path, WordTokenizer(path))
         for part in parts:
-            doc_ids, rows = part.column(0).to_pylist(), part.column(1).to_pylist()
-            out: list[tuple] = []
-            for doc_id, row, ids in zip(doc_ids, rows, tokenizer.ids(part.column(2).to_pylist()), strict=True):
-                ids += END
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    cut = ids[at : at + 4 * capacity]
-                    out.append((doc_id, row, k, at // 4, len(cut) // 4, zlib.crc32(cut)))
-            columns = list(zip(*out, strict=True)) or [[]] * len(_PIECES)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PIECES, strict=True)], schema=_PIECES)
+            rows, pieces, starts, lengths, checks = [], [], [], [], []
+            now, held, piece = -1, b"", 0
+
+            def cut(end: bool) -> None:
+                nonlocal held, piece
+                at = 0
+                while len(held) - at >= 4 * capacity or (end and at < len(held)):
+                    own = held[at : at + 4 * capacity]
+                    rows.append(now)
+                    pieces.append(piece)
+                    starts.append(piece * capacity)
+                    lengths.append(len(own) // 4)
+                    checks.append(zlib.crc32(own))
+                    at, piece = at + len(own), piece + 1
+                held = held[at:]
+
+            for row, ids in tokenizer.ids(part.column(2)):
+                if row != now and now >= 0:
+                    held += END
+                    cut(True)
+                if row != now:
+                    now, held, piece = row, b"", 0
+                held += ids.tobytes()
+                cut(False)
+            if now >= 0:
+                held += END
+                cut(True)
+            by = pa.array(rows, pa.int64())
+            columns = [part.column(0).take(by), part.column(1).take(by), pieces, starts, lengths, checks]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _PIECES, strict=True)], schema=_PIECES)
 
     return run
 
