@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import bloom
-from .cells import compared, dealt, fixed_width
+from .cells import HELD, HELD_BYTES, Joined, both_sides, compared, fixed_width
 from .components import components
 from .shared import mix, rolling, stored, text_buffers, word_hashes, word_spans
 
@@ -140,8 +140,8 @@ def _confirmed(threshold: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             ok = []
-            for x, y in zip(part.column("left").to_pylist(), part.column("right").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(part.column("left"), part.column("right"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= threshold * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -149,31 +149,131 @@ def _confirmed(threshold: int):
     return run
 
 
+def class_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """class, shingles of the wanted classes. Texts never shuffle: a filter of the documents that stand for the classes
+    picks those that are shingled again, and their sets move."""
+    wanted = stored(classes.join(wanted, "class", "left_semi").withColumnRenamed("rep", "doc_id"), "wanted")
+    near = bloom.among(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", wanted.select("doc_id"), wanted.count())
+    sets = near.select("doc_id", "text").mapInArrow(_sets, "doc_id long, n long, d1 long, d2 long, shingles binary")
+    return stored(sets.join(wanted, ["doc_id", "n", "d1", "d2"]).dropDuplicates(["class"]).select("class", "shingles"), "sets")
+
+
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
-    """The pairs of classes (a, b) whose full sets reach the threshold. Texts never shuffle: a filter of the documents of a
-    pair picks those that are shingled again, and their sets move."""
+    """The pairs of classes (a, b) whose full sets reach the threshold."""
     pairs = stored(pairs, "candidates")
-    wanted = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class", "left_semi")
-    wanted = stored(wanted.withColumnRenamed("rep", "doc_id"), "wanted")
-    near = bloom.among(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", wanted.select("doc_id"), 2 * pairs.count())
-    sets = near.select("doc_id", "text").mapInArrow(_sets, "doc_id long, n long, d1 long, d2 long, shingles binary")
-    sets = sets.join(wanted, ["doc_id", "n", "d1", "d2"]).dropDuplicates(["class"]).select("class", "shingles")
-    sets = stored(sets, "sets")
+    sets = class_sets(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), classes, docs)
     for own, name in (("a", "left"), ("b", "right")):
         pairs = pairs.join(sets.select(F.col("class").alias(own), F.col("shingles").alias(name)), own)
     return stored(pairs.select("a", "b", "left", "right").mapInArrow(_confirmed(threshold), "a long, b long"), "confirmed")
 
 
-def across(data: list[np.ndarray], queries: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a cell that are in different components and have signatures alike enough."""
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in range(len(queries[0])):
-        other = np.flatnonzero((data[1] != queries[1][i]) & (data[0] > queries[0][i]))
-        if len(other):
-            hit = other[likeness(data[2][other], queries[2][i]) >= least]
-            a.append(np.full(len(hit), queries[0][i]))
-            b.append(data[0][hit])
-    return np.concatenate(a), np.concatenate(b)
+class _Bucket:
+    """Classes of one bucket: queries are compared with the classes held. A pair is looked at if the classes are in different
+    components, their set sizes allow the threshold, their signatures are alike enough, and no earlier band has both."""
+
+    def __init__(self, threshold: int):
+        self.threshold, self.data = threshold, None
+
+    def hold(self, own: list[np.ndarray]) -> None:
+        self.data = [np.concatenate(x) for x in zip(self.data, own, strict=True)] if self.data else [np.array(x) for x in own]
+
+    def candidates(self, own: list[np.ndarray], i: int, component: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the data that query i is to be compared with, likest first, and their estimates."""
+        classes, components, n, band, signatures, bands = self.data[:6]
+        a = self.threshold
+        other = np.flatnonzero((components != component) & (classes > own[0][i]) & (100 * n >= a * own[2][i]) & (a * n <= 100 * own[2][i]))
+        if not len(other):
+            return other, np.zeros(0)
+        alike = likeness(signatures[other], own[4][i])
+        keep = alike >= a / 100 - MARGIN
+        other, alike = other[keep], alike[keep]
+        before = int(own[3][i])
+        if before and len(other):
+            keep = ~(bands[other, :before] == own[5][i, :before]).any(axis=1)
+            other, alike = other[keep], alike[keep]
+        order = np.argsort(-alike, kind="stable")
+        return other[order], alike[order]
+
+
+class _Open(_Bucket):
+    """Which classes of a bucket have a candidate there."""
+
+    def __init__(self, threshold: int):
+        super().__init__(threshold)
+        self.found = set()
+
+    def ask(self, own: list[np.ndarray]) -> list[np.ndarray]:
+        asked = []
+        for i in range(len(own[0])):
+            found, _ = self.candidates(own, i, int(own[1][i]))
+            if len(found):
+                asked.append(int(own[0][i]))
+                self.found.update(self.data[0][found].tolist())
+        return [np.array(asked, np.int64)]
+
+    def close(self) -> list[np.ndarray]:
+        return [np.array(sorted(self.found), np.int64)]
+
+
+class _Confirm(_Bucket):
+    """Links of a bucket, confirmed on full sets. Components that a link joins are one from then on, so of the links between
+    two components only one is looked for."""
+
+    joined: Joined | None = None
+
+    def ask(self, own: list[np.ndarray]) -> list[np.ndarray]:
+        self.joined = self.joined or Joined(self.data[1])
+        a, b = [], []
+        for i in range(len(own[0])):
+            component = self.joined.of(int(own[1][i]))
+            left, _ = self.candidates(own, i, component)
+            step, mine = 16, np.frombuffer(own[6][i], np.uint64)
+            while len(left):
+                some, left = left[:step], left[step:]
+                both = self.shared(mine, some)
+                hits = some[100 * both >= self.threshold * (len(mine) + self.data[2][some] - both)]
+                for j in self.joined.join(component, hits).tolist():
+                    a.append(int(own[0][i]))
+                    b.append(int(self.data[0][j]))
+                component = self.joined.of(component)
+                left, step = left[self.data[1][left] != component], step * 2
+        return [np.array(a, np.int64), np.array(b, np.int64)]
+
+    def shared(self, mine: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """How many shingles each of some classes shares with one set."""
+        sets = [np.frombuffer(self.data[6][j], np.uint64) for j in some.tolist()]
+        flat = np.concatenate(sets)
+        at = np.searchsorted(mine, flat)
+        at[at == len(mine)] = 0
+        return np.add.reduceat((mine[at] == flat).astype(np.int64), np.cumsum([0, *map(len, sets[:-1])]))
+
+    def close(self) -> list[np.ndarray]:
+        return [np.zeros(0, np.int64)] * 2
+
+
+_COMPARED = ["class", "component", "n", "band", "signature", "bands"]
+
+
+def _arrays(part: pa.RecordBatch) -> list[np.ndarray]:
+    return [*(part.column(c).to_numpy() for c in _COMPARED[:4]), fixed_width(part.column("signature"), "uint64"), part.column("bands").flatten().to_numpy().reshape(-1, BANDS)]
+
+
+def links_across(buckets: DataFrame, reps: DataFrame, known: DataFrame, classes: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """a, b: links that join what is still apart. buckets: key, band, class, members; reps: class, n, bands, signature; known:
+    node, component. Buckets that hold several components are compared by signatures first. Only classes with a candidate
+    then come with their sets, so what moves is a row for each class and bucket, not for each pair."""
+    held = buckets.join(known.withColumnRenamed("node", "class"), "class", "left")
+    held = stored(held.withColumn("component", F.coalesce("component", "class")), "held")
+    mixed = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    cells = stored(held.join(mixed, "key", "left_semi").join(reps, "class"), "mixed")
+    found = compared(both_sides(cells, ["key", *_COMPARED], F.col("members"), F.col("class")), ["key", "chunk"], _arrays, lambda: _Open(threshold), "class long", ["key"])
+    found = stored(found.distinct(), "open")
+    sets = class_sets(found.select("class").distinct(), classes, docs)
+    rows = cells.join(found, ["key", "class"]).join(sets, "class")
+    size = found.join(reps.select("class", "n"), "class").groupBy("key").agg(F.greatest(F.count("*"), F.sum("n") * 8 / HELD_BYTES * HELD).cast("long").alias("size"))
+    rows = both_sides(rows.join(size, "key"), ["key", *_COMPARED, "shingles"], F.col("size"), F.col("class"))
+    arrays = lambda part: [*_arrays(part), np.array(part.column("shingles").to_pylist(), object)]
+    return stored(compared(rows, ["key", "chunk"], arrays, lambda: _Confirm(threshold), "a long, b long"), "across")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -183,7 +283,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     some = rows.where("n > 0 and doc_id is not null")
     classes = stored(some.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")).withColumn("class", F.monotonically_increasing_id()), "classes")
     reps = some.join(classes.withColumnRenamed("rep", "doc_id"), ["n", "d1", "d2", "doc_id"]).dropDuplicates(["class"])
-    reps = stored(reps.select("class", "bands", "signature"), "reps")
+    reps = stored(reps.select("class", "n", "bands", "signature"), "reps")
     keyed = reps.select("class", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.min("class").alias("low"), F.count("*").alias("members")).where("members > 1")
     buckets = stored(keyed.join(shared, "key"), "buckets")
@@ -194,17 +294,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         stars = stars.join(signatures.select(F.col("class").alias(own), F.col("signature").alias(name)), own)
     first = confirm(stars.select("a", "b", "left", "right").mapInArrow(_likely(least), "a long, b long"), classes, docs, threshold)
     known = components(first)
-    # buckets that still hold several components
-    held = buckets.select("key", "class", "members").join(known.withColumnRenamed("node", "class"), "class", "left")
-    held = stored(held.withColumn("component", F.coalesce("component", "class")), "held")
-    mixed = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    cells = stored(held.join(mixed, "key", "left_semi").join(signatures, "class"), "mixed")
-    own, visits = dealt(F.col("members"), F.col("class"))
-    columns = ["key", "class", "component", "signature"]
-    both = cells.select(*columns, F.lit(0).alias("side"), own.alias("chunk")).unionByName(cells.select(*columns, F.lit(1).alias("side"), visits.alias("chunk")))
-    arrays = lambda part: [part.column("class").to_numpy(), part.column("component").to_numpy(), fixed_width(part.column("signature"), "uint64")]
-    pairs = compared(both, ["key", "chunk"], arrays, lambda d, q: across(d, q, least))
-    second = confirm(pairs, classes, docs, threshold)
+    second = links_across(buckets, reps, known, classes, docs, threshold)
     same = some.join(classes, ["n", "d1", "d2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     linked = first.unionByName(second)
     for own in "ab":
