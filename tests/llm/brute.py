@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import re
 import zlib
@@ -173,10 +174,22 @@ def packed_ids(docs, path, capacity=2048):
     return out
 
 
-def token_count(text, vocabulary, mark="▁"):
-    """(pre-tokens, tokens) of a text, one pre-token at a time."""
+def sequences(lengths, capacity=2048):
+    """How many sequences plain best fit makes of lengths, large to small."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(rooms, n)
+        bisect.insort(rooms, (rooms.pop(at) if at < len(rooms) else capacity) - n)
+    return len(rooms)
+
+
+def token_count(text, vocabulary, mark="▁", known={}):  # noqa: B006
+    """(pre-tokens, tokens) of a text, one distinct pre-token at a time."""
     total, own = 0, words(text)
     for w in own:
+        if w in known:
+            total += known[w]
+            continue
         t = mark + w
         score, count = [0.0], [0]
         for at in range(1, len(t) + 1):
@@ -188,6 +201,7 @@ def token_count(text, vocabulary, mark="▁"):
                     best = max(best, (score[start] + piece, at - start, count[start] + 1))
             score.append(best[0])
             count.append(best[2])
+        known[w] = count[-1]
         total += count[-1]
     return len(own), total
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import math
 import random
@@ -11,10 +12,11 @@ from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tracewarden.llm import embedding_dedup, exact_dedup, language_id, line_dedup, minhash, mixing, packing, queries, substring_dedup, token_counts, warc_zip
+from tracewarden.llm import cells, embedding_dedup, exact_dedup, language_id, line_dedup, minhash, mixing, packing, queries, shared, substring_dedup, token_counts, warc_zip
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use for columns of their own.
@@ -73,6 +75,29 @@ def test_substring_dedup(spark, docs):
     assert out == brute.substring_dedup([(d[0], d[1]) for d in docs])
 
 
+def test_line_dedup_leaves_other_columns(spark):
+    rows = [(i, f"common\nown {i}", None, f"s{i}", None) for i in range(6)]
+    own = {"_id": 99, "_key": 98, "_gone": 97, "_out": 96, "_id0": 95, "_KEY0": 94, "line": 93}
+    out = line_dedup.remove_boilerplate(spark.createDataFrame(rows, SCHEMA).withColumns({k: F.lit(v) for k, v in own.items()}), 3).collect()
+    assert len(out) == 6 and all(r[k] == v for r in out for k, v in own.items())
+    assert sorted(r["n_removed"] for r in out) == [0, 1, 1, 1, 1, 1]
+
+
+def test_mixture_keeps_other_columns(spark):
+    rows = [(i, "a b c", None, f"s{i % 2}", None) for i in range(8)]
+    own = {"row": 9, "copies": 8, "_copy": 7, "_row0": 6, "size": 5}
+    out = mixing.mixture(spark.createDataFrame(rows, SCHEMA).withColumns({k: F.lit(v) for k, v in own.items()}))
+    assert out.columns == [f.split()[0] for f in SCHEMA.split(", ")] + list(own)
+    found = out.collect()
+    assert found and all(r[k] == v for r in found for k, v in own.items())
+
+
+def test_predict_keeps_a_column_named_text(spark):
+    df = spark.createDataFrame([(1, "the cat", "en", "kept")], "doc_id long, text string, lang string, _text string")
+    for model in (language_id.learn(df), None):
+        assert language_id.predict(df, model, "doc_id", "_text").first()["_text"] == "kept"
+
+
 def test_mixing(spark, docs):
     out = by_id(mixing.mix_sources(frame(spark, docs)), "size", "source_size", "target", "taken")
     expected = brute.mixing([(d[0], d[1], d[3]) for d in docs])
@@ -113,6 +138,23 @@ def test_minhash_keeps_links_between_different_texts(spark):
     assert out == brute.near_duplicates([(d[0], d[1]) for d in rows])
 
 
+def test_minhash_hot_bucket(spark, monkeypatch):
+    """Copies changed so much that many are linked with none: buckets hold many components, dealt over several chunks."""
+    monkeypatch.setattr(cells, "HELD", 16)
+    monkeypatch.setattr(minhash, "HELD", 16)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(220):
+        own = list(base)
+        for k in range(rng.choice([1, 1, 2, 3, 4])):
+            own[rng.randrange(90)] = f"c{i}x{k}"
+        rows.append((i, " ".join(own), None, None, None))
+    out = by_id(minhash.near_duplicates(frame(spark, rows)), "n_shingles", "component_id")
+    assert out == brute.near_duplicates([(d[0], d[1]) for d in rows])
+    assert len({c for _, c in out.values()}) > 10
+
+
 def test_exact_dedup(spark, docs):
     rows = docs + docs[:5]
     out = exact_dedup.exact_duplicates(frame(spark, rows)).collect()
@@ -166,6 +208,34 @@ def test_embedding_dedup(spark):
     assert out[510][0] >= 4 and out[606] == (1, 606)
 
 
+def test_embedding_labels_are_told_from_values(spark):
+    rows = [(1, [2.0], "x,1.0"), (2, [1.0, 2.0], "x"), (3, [2.0, 4.0], "x"), (4, [1.0, 2.0], "1,x")]
+    out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert out == {1: (0, 1), 2: (1, 2), 3: (1, 2), 4: (0, 4)}
+
+
+def test_embedding_clusters(spark, monkeypatch):
+    """Clusters of near copies, dealt over several chunks of a cell: links, counted with copies, and components are whole."""
+    monkeypatch.setattr(cells, "HELD", 16)
+    monkeypatch.setattr(embedding_dedup, "HELD", 16)
+    rng = np.random.default_rng(4)
+    base, rows = rng.standard_normal((3, 24)), []
+    for i in range(360):
+        v = base[i % 3] + rng.choice([0.02, 0.1, 0.16]) * rng.standard_normal(24)
+        rows.append((i, [float(x) for x in v], i % 3 // 2))
+    rows += [(1_000 + i, rows[i][1], rows[i][2]) for i in range(0, 60, 7)]
+    out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert out == brute.embedding_dedup(rows)
+    assert len({c for _, c in out.values()}) > 3
+
+
+def test_embedding_vectors_of_one_id(spark):
+    """Rows of one vec_id are one vector to components, whatever their values."""
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [-1.0, 0.0])]
+    out = embedding_dedup.embedding_duplicates(spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, label int"))
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in out.collect()) == [(1, 1, 1), (2, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)]
+
+
 def test_language_of_long_words(spark):
     """Runs of a script without spaces: none is left out of the counts, and their language is learned."""
     rng = random.Random(9)
@@ -245,6 +315,56 @@ def test_zip_directories():
         warc_zip.members(Bytes(b"no archive"))
 
 
+def test_packages_of_several_archives(spark, tmp_path):
+    """The reader goes by the members it finds, and by the index's names."""
+    parts, index = {}, {"a": [], "b": []}
+    for i in range(6):
+        name = f"{'xy'[i % 2]} part.warc.gz"
+        data = parts.setdefault(name, bytearray())
+        zipped = gzip.compress(warc_zip.record(i, None, f"<p>{i}</p>".encode(), None))
+        index["ab"[i // 3]].append(f"{len(data)} {len(zipped)} {name}\n")
+        data += zipped
+    with zipfile.ZipFile(tmp_path / "p.zip", "w") as z:
+        for name, data in parts.items():
+            z.writestr(zipfile.ZipInfo(f"archive/{name}"), bytes(data))
+        for name, lines in index.items():
+            z.writestr(zipfile.ZipInfo(f"indexes/{name}.cdx"), "".join(lines))
+    packages = spark.createDataFrame([(f"file://{tmp_path}/p.zip", 999)], "path string, bytes long")
+    assert {r["page_id"]: bytes(r["payload"]).decode() for r in warc_zip.read_packages(packages).collect()} == {i: f"<p>{i}</p>" for i in range(6)}
+
+
+def test_substring_dedup_with_few_buckets(spark, docs, monkeypatch):
+    """More text than the table's buckets were meant for."""
+    monkeypatch.setattr(substring_dedup, "TABLE_BYTES", 1)
+    monkeypatch.setattr(substring_dedup, "MOST_BUCKETS", 3)
+    out = by_id(substring_dedup.remove_repeats(frame(spark, docs)), "n_words", "n_removed", "text")
+    assert out == brute.substring_dedup([(d[0], d[1]) for d in docs])
+
+
+@pytest.mark.parametrize("size", [1, 16, 64, 100_000])
+def test_long_texts_come_in_parts(docs, monkeypatch, size):
+    """Texts cut into runs, and tables of words that start anew, change nothing."""
+    texts = [d[1] for d in docs]
+    rows = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "row": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    for module, words in ((packing, 50), (token_counts, 50)):
+        monkeypatch.setattr(module, "TEXT_BYTES", size)
+        monkeypatch.setattr(module, "CACHE_WORDS", words)
+    path, pieces = queries.vocabulary("word_bpe_49k.json"), {}
+    for out in packing._pieces(path, 64)(iter([rows])):
+        pieces |= {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in out.to_pylist()}
+    assert pieces == brute.packed_ids(enumerate(texts), path, 64)
+    path = queries.vocabulary("piece_bpe_32k.model")
+    vocabulary = token_counts.Vocabulary.load(path)
+    counted = [r for out in token_counts._count(path)(iter([rows.select(["doc_id", "text"])])) for r in out.to_pylist()]
+    assert {r["doc_id"]: (r["n_pretokens"], r["n_tokens"]) for r in counted} == {i: brute.token_count(t, vocabulary) for i, t in enumerate(texts)}
+    runs = [(r.tolist(), bytes(data), b.tolist()) for r, data, b in shared.text_groups(rows.column("text"), size)]
+    whole = defaultdict(bytes)
+    for own, data, bounds in runs:
+        for i, a, b in zip(own, bounds[:-1], bounds[1:], strict=True):
+            whole[i] += data[a:b]
+    assert dict(whole) == {i: (t or "").encode() for i, t in enumerate(texts)}
+
+
 def test_null_ids_and_repeated_rows(spark):
     """Every row gives a row; what a null id means is in each docstring."""
     long = " ".join(f"w{i}" for i in range(40))

@@ -105,7 +105,7 @@ def _cut(data: np.ndarray, a: int, at: int, b: int) -> int:
     if len(before):
         return a + int(before[-1]) + 1
     while at < b:
-        behind = np.flatnonzero(IS_SPACE[data[at : at + PIECE_BYTES]])
+        behind = np.flatnonzero(IS_SPACE[data[at : min(b, at + PIECE_BYTES)]])
         if len(behind):
             return at + int(behind[0]) + 1
         at += PIECE_BYTES
