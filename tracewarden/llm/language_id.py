@@ -20,27 +20,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .shared import WordTable, mix, slices, stored, text_groups, unused, word_hashes, word_spans
+
 #: Bounds of the model that is broadcast, whatever the corpus: words and n-grams kept, whose places the languages share, and
 #: languages, beyond which learn() raises an error.
 MAX_WORDS, MAX_GRAMS, MAX_LANGUAGES = 50_000, 50_000, 256
 #: Longest n-gram, and the count that smoothing adds.
 ORDER, SMOOTH = 4, 0.5
 LONG, DIGEST, GRAM = 256, "#", "+"
-#: Words that a task counts, or whose scores a worker keeps, before it starts anew.
-CACHE_WORDS = 300_000
-#: Text that is looked at together, text whose words a task counts before it starts anew, characters cut up at a time.
-TEXT_BYTES, COUNT_BYTES, PIECE = 2 << 20, 64 << 20, 1 << 16
+#: Words that a task counts before it starts anew, words whose n-grams it counts together, scores that it keeps.
+COUNT_WORDS, GRAM_WORDS, CACHE_CELLS = 300_000, 100_000, 4_000_000
+#: Text that is looked at together, and characters of a long word that are cut up at a time.
+TEXT_BYTES, PIECE = 2 << 20, 1 << 16
 
 _COUNTS = pa.schema([("lang", pa.string()), ("token", pa.string()), ("n", pa.int64())])
 
 
-def normal(word: bytes) -> str:
-    """Lower case without what surrounds the letters; empty if there is none."""
-    text = word.decode().lower()
-    if text.isalpha():
-        return text
+def normals(words: list[bytes]) -> list[str]:
+    """Words in lower case without what surrounds the letters; empty if there is none. No word holds a line end."""
+    return [w if w.isalpha() else _trimmed(w) for w in b"\n".join(words).decode().lower().split("\n")] if words else []
+
+
+def _trimmed(text: str) -> str:
     a, b = 0, len(text)
     while a < b and not text[a].isalpha():
         a += 1
@@ -49,125 +53,163 @@ def normal(word: bytes) -> str:
     return text[a:b]
 
 
-def grams(word: str, order: int) -> list[str]:
-    padded = f" {word} "
-    return [padded[i : i + order] for i in range(len(padded) - order + 1)]
+def known_as(word: str) -> str:
+    return word if len(word) <= LONG else DIGEST + hashlib.sha256(word.encode()).hexdigest()
 
 
-def gram_pieces(word: str) -> Iterator[Iterator[str]]:
-    """The n-grams of all orders, those that start within PIECE characters at a time."""
-    padded = f" {word} "
-    for at in range(0, len(padded), PIECE):
-        yield (padded[i : i + order] for order in range(1, ORDER + 1) for i in range(at, min(at + PIECE, len(padded) - order + 1)))
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
 
 
-def known_as(word: str) -> str:
-    return word if len(word) <= LONG else DIGEST + hashlib.sha256(word.encode()).hexdigest()
+def gram_keys(points: np.ndarray, order: int) -> np.ndarray:
+    """A 64-bit key of the n-gram at each place: up to three characters as they are, a fourth mixed in."""
+    n = max(0, len(points) - order + 1)
+    key = np.zeros(n, np.uint64)
+    for k in range(min(order, 3)):
+        key = key << np.uint64(21) | points[k : k + n]
+    return mix(key) + points[3 : 3 + n] * np.uint64(0x9E3779B97F4A7C15) if order > 3 else key
 
 
-def _emit(counts: Counter) -> pa.RecordBatch:
-    columns = [[k[0] for k in counts], [k[1] for k in counts], list(counts.values())]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _COUNTS, strict=True)], schema=_COUNTS)
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words' characters, a space around each word, the word of each, and where each word ends."""
+    points = code_points("".join([f" {w} " for w in words]))
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    return points, np.repeat(np.arange(len(words)), sizes), np.cumsum(sizes)
 
 
-def _count_words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    raw: dict[str, Counter] = {}
-    size = 0
+def _rows(lang: str, tokens: list[str], counts) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.repeat(lang, len(tokens)), pa.array(tokens, pa.string()), pa.array(counts, pa.int64())], schema=_COUNTS)
+
+
+class _Words:
+    """The words of a language that a task has seen, and how often each."""
+
+    def __init__(self):
+        self.table, self.words, self.counts = WordTable(), [], np.zeros(0, np.int64)
+
+    def add(self, texts: pa.Array) -> None:
+        for _, data, bounds in text_groups(texts, TEXT_BYTES):
+            starts, ends, _ = word_spans(data, bounds)
+            own, new = self.table.find(word_hashes(data, starts, ends))
+            self.words += slices(data, starts[new], ends[new])
+            self.counts = np.bincount(own, minlength=self.table.size) + np.concatenate([self.counts, np.zeros(len(new), np.int64)])
+
+    def totals(self, lang: str) -> Iterator[pa.RecordBatch]:
+        """Counts of normal forms; of long words also those of their n-grams."""
+        found: Counter = Counter()
+        for word, n in zip(normals(self.words), self.counts.tolist(), strict=True):
+            if word:
+                found[known_as(word)] += n
+                if len(word) > LONG:
+                    padded = f" {word} "
+                    for at in range(0, len(padded), PIECE):
+                        piece = padded[at : at + PIECE + ORDER - 1]
+                        for order in range(1, ORDER + 1):
+                            size = min(PIECE, len(piece) - order + 1)
+                            tokens, counts = _summed(code_points(piece), np.arange(max(0, size)), np.full(max(0, size), n), order)
+                            yield _rows(lang, [GRAM + t for t in tokens], counts)
+        yield _rows(lang, list(found), list(found.values()))
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        for lang, counts in raw.items():
-            words: Counter = Counter()
-            for w, n in counts.items():
-                if x := normal(w):
-                    words[lang, known_as(x)] += n
-                    if len(x) > LONG:
-                        for piece in gram_pieces(x):
-                            for g in piece:
-                                words[lang, GRAM + g] += n
-                            if len(words) > CACHE_WORDS:
-                                yield _emit(words)
-                                words = Counter()
-            yield _emit(words)
-        raw.clear()
 
+def _count_words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: dict[str, _Words] = {}
     for part in parts:
-        for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-            data = text.encode()
-            size += len(data)
-            raw.setdefault(lang, Counter()).update(data.split())
-        if size > COUNT_BYTES or sum(map(len, raw.values())) > CACHE_WORDS:
-            yield from flush()
-            size = 0
-    yield from flush()
+        for lang in part.column(0).unique().to_pylist():
+            seen.setdefault(lang, _Words()).add(part.column(1).filter(pa.compute.equal(part.column(0), lang)))
+        if sum(len(x.words) for x in seen.values()) > COUNT_WORDS:
+            for lang, own in seen.items():
+                yield from own.totals(lang)
+            seen.clear()
+    for lang, own in seen.items():
+        yield from own.totals(lang)
+
+
+def _summed(points: np.ndarray, at: np.ndarray, counts: np.ndarray, order: int) -> tuple[list[str], np.ndarray]:
+    """The distinct n-grams that start at the given places, and their counts' sums."""
+    if not len(at):
+        return [], counts[:0]
+    keys = gram_keys(points, order)[at]
+    by = np.argsort(keys)
+    ranked = keys[by]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    text = points[at[by[first]][:, None] + np.arange(order)].astype("<u4").tobytes().decode("utf-32-le")
+    return [text[i : i + order] for i in range(0, len(text), order)], np.add.reduceat(counts[by], first)
 
 
 def _count_grams(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, Counter] = {}
+    held: dict[str, list[pa.RecordBatch]] = {}
+    size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for lang, own in counts.items():
-            yield _emit(Counter({(lang, g): n for g, n in own.items()}))
-        counts.clear()
+        for lang, own in held.items():
+            points, word, end = grams([w for x in own for w in x.column(1).to_numpy(zero_copy_only=False)])
+            counts = np.concatenate([x.column(2).to_numpy() for x in own])[word]
+            left = end[word] - np.arange(len(word))
+            for order in range(1, ORDER + 1):
+                at = np.flatnonzero(left >= order)
+                yield _rows(lang, *_summed(points, at, counts[at], order))
+        held.clear()
 
+    compute = pa.compute
     for part in parts:
-        for lang, word, n in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-            own = counts.get(lang)
-            if own is None:
-                own = counts[lang] = Counter()
-            if word[0] == GRAM:
-                own[word[1:]] += n
-                continue
-            if word[0] == DIGEST:
-                continue
-            for order in range(1, ORDER + 1):
-                for g in grams(word, order):
-                    own[g] += n
-        if sum(map(len, counts.values())) > CACHE_WORDS:
+        ready, digest = compute.starts_with(part.column(1), GRAM), compute.starts_with(part.column(1), DIGEST)
+        own = part.filter(ready)
+        if own.num_rows:
+            yield pa.RecordBatch.from_arrays([own.column(0), compute.utf8_slice_codeunits(own.column(1), 1), own.column(2)], schema=_COUNTS)
+        words = part.filter(compute.invert(compute.or_(ready, digest)))
+        for lang in words.column(0).unique().to_pylist():
+            held.setdefault(lang, []).append(words.filter(compute.equal(words.column(0), lang)))
+        size += words.num_rows
+        if size > GRAM_WORDS:
             yield from flush()
+            size = 0
     yield from flush()
 
 
 class Model:
-    """Log frequencies by language: a matrix row for each known word and n-gram. totals and distinct are of all words (0) and
+    """Log frequencies by language: a column for each known word and n-gram. totals and distinct are of all words (0) and
     n-grams (by order), known or not."""
 
     def __init__(self, languages: list[str], words: dict[str, np.ndarray], gram: dict[str, np.ndarray], totals: dict[int, np.ndarray], distinct: dict[int, int]):
         self.languages = languages
-        self.words, self.word_scores = self._logs(words, totals[0], distinct.get(0, 0))
-        self.grams: dict[str, int] = {}
-        scores = []
+        self.words = {w: i for i, w in enumerate(words)}
+        self.grams = list(gram)
+        self.word_scores = self._logs(words, totals[0], distinct.get(0, 0))
+        self.gram_keys, self.gram_scores = {}, {}
         for order in range(1, ORDER + 1):
-            own, rows = self._logs({g: c for g, c in gram.items() if len(g) == order}, totals[order], distinct.get(order, 0))
-            self.grams |= {g: i + len(self.grams) for g, i in own.items()}
-            scores.append(rows)
-        self.gram_scores = np.concatenate(scores)
+            own = {g: c for g, c in gram.items() if len(g) == order}
+            keys = gram_keys(code_points("".join(own)), order)[::order]
+            by = np.argsort(keys)
+            self.gram_keys[order], self.gram_scores[order] = keys[by], self._logs(own, totals[order], distinct.get(order, 0))[:, by]
 
-    def _logs(self, counts: dict[str, np.ndarray], totals: np.ndarray, distinct: int) -> tuple[dict[str, int], np.ndarray]:
+    def _logs(self, counts: dict[str, np.ndarray], totals: np.ndarray, distinct: int) -> np.ndarray:
         rows = np.array(list(counts.values()), float).reshape(len(counts), len(self.languages))
-        return {k: i for i, k in enumerate(counts)}, np.log((rows + SMOOTH) / (totals + SMOOTH * (distinct + 1))) if counts else rows
+        return np.ascontiguousarray(np.log((rows + SMOOTH) / (totals + SMOOTH * (distinct + 1))).T) if counts else rows.T
 
     def score(self, words: list[str]) -> np.ndarray:
-        """A row of scores for each word: its own, else the mean over its longest known n-grams, else zeros."""
-        out = np.zeros((len(words), len(self.languages)))
-        known = [(i, k) for i, w in enumerate(words) if (k := self.words.get(known_as(w))) is not None]
-        if known:
-            at, rows = np.array(known).T
-            out[at] = self.word_scores[rows]
-        get, flat, owners, sizes = self.grams.get, [], [], []
-        done = {i for i, _ in known}
-        for i, w in enumerate(words):
-            if i in done:
+        """A column of scores for each word: its own, else the mean over its longest known n-grams, else zeros."""
+        out = np.zeros((len(self.languages), len(words)))
+        rows = np.fromiter((self.words.get(known_as(w), -1) for w in words), np.int64, len(words))
+        known = np.flatnonzero(rows >= 0)
+        out[:, known] = self.word_scores[:, rows[known]]
+        left = np.flatnonzero(rows < 0)
+        points, word, end = grams([words[i] for i in left])
+        room, open_ = end[word] - np.arange(len(word)), np.ones(len(left), bool)
+        for order in range(ORDER, 0, -1):
+            keys = self.gram_keys[order]
+            at = np.flatnonzero((room >= order) & open_[word])
+            if not len(keys) or not len(at):
                 continue
-            for order in range(ORDER, 0, -1):
-                found = [k for g in grams(w, order) if (k := get(g)) is not None]
-                if found:
-                    flat += found
-                    owners.append(i)
-                    sizes.append(len(found))
-                    break
-        if owners:
-            starts = np.cumsum([0, *sizes[:-1]])
-            out[owners] = np.add.reduceat(self.gram_scores[flat], starts) / np.array(sizes)[:, None]
+            own = gram_keys(points, order)[at]
+            place = np.searchsorted(keys, own)
+            place[place == len(keys)] = 0
+            hit = keys[place] == own
+            of, place = word[at[hit]], place[hit]
+            sizes = np.bincount(of, minlength=len(left))
+            done = np.flatnonzero(sizes)
+            for i, scores in enumerate(self.gram_scores[order]):
+                out[i, left[done]] = np.bincount(of, scores[place], len(left))[done] / sizes[done]
+            open_[done] = False
         return out
 
 
@@ -204,8 +246,6 @@ def _table(counts: DataFrame, most: int, languages: list[str]) -> dict[str, np.n
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model | None:
     """Counts all given rows with a text and a language; None if there are none. More than MAX_LANGUAGES are an error."""
-    from .shared import stored
-
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     schema = "lang string, token string, n long"
     counted = stored(rows.mapInArrow(_count_words, schema).groupBy("lang", "token").agg(F.sum("n").alias("n")), "words")
@@ -225,64 +265,44 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_w
     return Model(languages, _table(words, max_words, languages), _table(gram, max_grams, languages), totals, distinct)
 
 
-class _Rows:
-    """The number of each raw word's row of scores; row 0 is of words without a letter. Words are scored many at a time."""
-
-    def __init__(self, model: Model):
-        self.model, self.ids, self.scores, self.used = model, {}, np.zeros((1 << 12, len(model.languages))), 1
-
-    def add(self, words: list[bytes]) -> None:
-        texts = list(map(normal, words))
-        lettered = [t for t in texts if t]
-        end = self.used + len(lettered)
-        if end > len(self.scores):
-            self.scores = np.concatenate([self.scores[: self.used], np.zeros((2 * end - self.used, self.scores.shape[1]))])
-        self.scores[self.used : end] = self.model.score(lettered)
-        at = self.used
-        for word, text in zip(words, texts, strict=True):
-            self.ids[word] = at if text else 0
-            at += bool(text)
-        self.used = end
-
-
 def predict(docs: DataFrame, model: Model | None, *keep: Column | str, text_col: str = "text") -> DataFrame:
-    """keep's columns, lang_pred and score for each row."""
-    kept = docs.select(*keep, F.col(text_col).alias("_text"))
+    """keep's columns, lang_pred and score for each row. Of keep's columns none may be called lang_pred or score."""
+    kept = docs.select(*keep)
+    names = kept.columns
+    own = unused(names, "text")
+    kept = docs.select(*keep, F.col(text_col).alias(own))
     fields = kept.schema.fields[:-1]
     if model is None:
-        return kept.select(*(f.name for f in fields), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return kept.select(*(F.col(f"`{n}`") for n in names), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     held = docs.sparkSession.sparkContext.broadcast(model)
+    most = max(1, CACHE_CELLS // len(model.languages))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        rows = _Rows(model)
+        none = np.zeros((len(model.languages), 0))
+        table, scores, lettered = WordTable(), none, np.zeros(0, bool)
         for part in parts:
-            lang, score = [], []
-            texts = part.column("_text").to_pylist()
-            at = 0
-            while at < len(texts):
-                group, size = [], 0
-                while at < len(texts) and size < TEXT_BYTES:
-                    data = (texts[at] or "").encode()
-                    size, at = size + len(data) + 1, at + 1
-                    group.append(data.split())
-                if rows.used > CACHE_WORDS or len(rows.ids) > CACHE_WORDS:
-                    rows = _Rows(model)
-                rows.add(list(set().union(*group).difference(rows.ids)))
-                get = rows.ids.__getitem__
-                for words in group:
-                    ids = np.fromiter(map(get, words), np.int64, len(words))
-                    n = int(np.count_nonzero(ids))
-                    if not n:
-                        lang.append("und")
-                        score.append(0.0)
-                        continue
-                    # row 0 is zero, so words without a letter add nothing
-                    total = sum((rows.scores[ids[a : a + (1 << 16)]].sum(axis=0) for a in range(0, len(ids), 1 << 16)), np.zeros(len(model.languages)))
-                    best = int(np.argmax(total))
-                    lang.append(model.languages[best])
-                    score.append(float(1 / np.exp((total - total[best]) / np.sqrt(n)).sum()))
-            yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*(f.name for f in fields), "lang_pred", "score"])
+            total, n = np.zeros((len(model.languages), part.num_rows)), np.zeros(part.num_rows, np.int64)
+            for rows, data, bounds in text_groups(part.column(len(fields)), TEXT_BYTES):
+                if table.size > most:
+                    table, scores, lettered = WordTable(), none, lettered[:0]
+                starts, ends, first = word_spans(data, bounds)
+                own, new = table.find(word_hashes(data, starts, ends))
+                texts = normals(slices(data, starts[new], ends[new]))
+                has = np.fromiter(map(bool, texts), bool, len(texts))
+                fresh = np.zeros((len(model.languages), len(texts)))
+                fresh[:, has] = model.score([t for t in texts if t])
+                scores, lettered = np.concatenate([scores, fresh], axis=1), np.concatenate([lettered, has])
+                doc = np.repeat(np.arange(len(rows)), np.diff(first))
+                n[rows] += np.bincount(doc, lettered[own], len(rows)).astype(np.int64)
+                for i, of in enumerate(scores):
+                    total[i, rows] += np.bincount(doc, of[own], len(rows))
+            best = total.argmax(axis=0)
+            with np.errstate(invalid="ignore"):
+                score = 1 / np.exp((total - total.max(axis=0)) / np.sqrt(np.maximum(n, 1))).sum(axis=0)
+            lang = [model.languages[i] if k else "und" for i, k in zip(best.tolist(), n.tolist(), strict=True)]
+            columns = [*(part.column(i) for i in range(len(fields))), pa.array(lang, pa.string()), pa.array(np.where(n > 0, score, 0.0))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "lang_pred", "score"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
     return kept.mapInArrow(run, schema)
