@@ -410,7 +410,7 @@ def test_packs_can_be_read_back(spark):
 
     out = dict(rows(packs.packs(heads, nodes, pool)))
     assert "1. run -> show\n2. show" in out["c"] and out["c"].count("### show (a.js:5-9)") == 1 and out["d"] == "# alone"
-    assert code.body_of(out["c"], "show") == "el.innerHTML = x"
+    assert code.sections(out["c"])["show"] == "el.innerHTML = x"
     asked = spark.createDataFrame([(0, []), (1, ["all"]), (2, ["poc", "zz"])], "i int, s array<string>")
     known = {"all": ("poc", "fix"), "code": ("fix",)}
     assert rows(asked.orderBy("i").select(F.array_join(catalog.chosen_sections(F.col("s"), known), ","))) == [("fix,poc",), ("fix,poc",), ("poc",)]
