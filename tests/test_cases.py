@@ -104,6 +104,14 @@ def test_rule_funnel_and_dedupe(spark):
     assert rules.load(rules.table(spark, own).withColumn("endings", F.array().cast("array<string>")))[1].severity == "high"
 
 
+def test_column_is_the_match_s_own(spark):
+    """The place of the match, not the first place of its text."""
+    own = [rules.Rule("word", "foo", r"\bfoo", "any", "xss", "low"), rules.Rule("ahead", "bar", r"bar(?=\()", "any", "xss", "low"), rules.Rule("letters", "é", r"é\b", "any", "xss", "low")]
+    lines = spark.createDataFrame([("a.js", 1, "xfoo foo"), ("a.js", 2, "bar bar( foo"), ("a.js", 3, "éa é 🙂 foo")], "file string, line int, code string")
+    found = {(r["line"], r["rule_id"]): r["column"] for r in rules.matched(lines, own).collect()}
+    assert found == {(1, "word"): 5, (2, "ahead"): 4, (2, "word"): 9, (3, "letters"): 3, (3, "word"): 7}
+
+
 def test_comments_and_strings():
     source = "<?php\n/* f() */ f();\n$a = 'f() \\' f()'; f(); // f()\n# f()\n$b = \"\n f()\n\"; f();"
     at = lambda line, n: source.split("\n")[line - 1].find("f()", 0 if not n else source.split("\n")[line - 1].find("f()") + 1) if n < 2 else source.split("\n")[line - 1].rfind("f()")

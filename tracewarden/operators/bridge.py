@@ -8,7 +8,7 @@ and is aggregated per sink first, and only then are writes joined. A pair is a c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed, flow, verdicts
 from ..functions.text import lookup
@@ -22,32 +22,41 @@ def best_reads(sinks: DataFrame, reads: DataFrame, template_quirk: bool = True)
     ends = F.call_function("endswith", F.col("template"), F.coalesce(F.col("r.template"), F.lit("" if template_quirk else "\0")))
     fits = (F.coalesce(F.col("template"), F.lit("")) != "") & ends
     rank = F.struct(F.when(fits, 0).otherwise(1), F.when(F.col("r.template_var") == F.col("field"), 0).otherwise(1), F.abs(F.col("r.line") - F.col("line")), F.col("r.file"), F.col("r.line"))
-    sides = reads.where("field <> ''").select("field", F.struct("file", "line", "kind", "template", "template_var", "evidence").alias("r"))
+    own = [c for c in ("trace", "identity") if c in reads.columns]
+    sides = reads.where("field <> ''").select("field", F.struct("file", "line", "kind", "template", "template_var", "evidence", *own).alias("r"))
     pairs = sinks.where("field <> ''").join(sides, "field")
     best = pairs.groupBy("sink_id").agg(F.min_by("r", rank).alias("read"))
     return sinks.join(best, "sink_id", "left")
 
 
+def _judged(facts: DataFrame, type_: Column) -> DataFrame:
+    """facts with their sanitizer trace, storage identity and danger, so that no pattern runs on pairs."""
+    evidence = F.coalesce("evidence", F.lit(""))
+    trace = F.transform(flow.sanitizers(evidence, type_), lambda x: F.struct(x["kind"].alias("kind"), x["strength"].alias("strength"), F.col("file").alias("file"), F.col("line").alias("line")))
+    identity = F.when(F.col("kind").isNotNull(), flow.storage_identity(F.col("kind"), F.col("field"), evidence))
+    return facts.withColumns({"trace": trace.cast(TRACE), "identity": identity, "danger": flow.dangerous(type_, F.col("evidence"))})
+
+
 def chains(writes: DataFrame, reads: DataFrame, sinks: DataFrame, template_quirk: bool = True) -> DataFrame:
     """One row per chain id, scored. writes need write_id and sinks sink_id, orders of facts without repeats."""
-    best = best_reads(sinks, reads, template_quirk)
+    writes, sinks = (_judged(x, F.col("vulnerability_type")) for x in (writes, sinks))
+    best = best_reads(sinks, _judged(reads, F.lit("xss")), template_quirk)
     w = writes.where("field <> ''").select("field", F.struct(*(c for c in writes.columns if c != "field")).alias("w"))
     s = best.where("field <> ''").select("field", F.struct(*(c for c in sinks.columns if c != "field")).alias("s"), F.col("read").alias("r"))
     pairs = w.join(s, "field")
     has_read = F.col("r").isNotNull()
     kind = F.coalesce(F.col("s.vulnerability_type"), F.col("w.vulnerability_type"), F.lit("unknown"))
     quality = flow.match_quality(F.col("w.kind"), F.col("r.kind"), F.col("s.kind"), F.col("r.template_var"))
-    at = lambda side, type_: F.transform(flow.sanitizers(F.coalesce(F.col(f"{side}.evidence"), F.lit("")), type_), lambda x: F.struct(x["kind"].alias("kind"), x["strength"].alias("strength"), F.col(f"{side}.file").alias("file"), F.col(f"{side}.line").alias("line")))
     none = F.array().cast(TRACE)
-    trace = F.array_distinct(F.concat(at("w", F.col("w.vulnerability_type")).cast(TRACE), F.when(has_read, at("r", F.lit("xss")).cast(TRACE)).otherwise(none), at("s", F.col("s.vulnerability_type")).cast(TRACE)))
+    trace = F.array_distinct(F.concat(*(F.coalesce(F.col(f"{x}.trace"), none) for x in "wrs")))
     rows = pairs.withColumns({"match_quality": quality, "sanitizer_trace": trace, "vulnerability_type": kind})
     strong, weak = (F.size(F.filter("sanitizer_trace", lambda x: x["strength"] == name)) for name in ("strong", "weak"))
-    positive = F.when(flow.dangerous(F.col("s.vulnerability_type"), F.col("s.evidence")), 1).otherwise(0) + F.when(F.col("s.kind") == "file_slot", 1).otherwise(0) + F.when(F.coalesce(F.col("r.template_var"), F.lit("")) != "", 1).otherwise(0)
+    positive = F.when(F.col("s.danger"), 1).otherwise(0) + F.when(F.col("s.kind") == "file_slot", 1).otherwise(0) + F.when(F.coalesce(F.col("r.template_var"), F.lit("")) != "", 1).otherwise(0)
     rows = rows.withColumns({"n_strong": strong, "n_weak": weak, "n_positive": positive, "breakpoints": flow.breakpoints(F.col("match_quality"), F.col("w.kind"), has_read, F.col("s.kind"), F.col("w.evidence"))})
     rows = rows.withColumn("noise_tags", flow.noise_tags(F.col("match_quality"), has_read, F.col("s.kind"), F.col("n_strong")))
     rows = rows.withColumn("evidence_score", flow.score(F.col("match_quality"), F.col("w.source_expr").isNotNull(), has_read, F.col("s.sink_function").isNotNull(), F.col("n_positive"), F.col("n_strong"), F.col("n_weak"), F.size("breakpoints")))
     rows = rows.withColumn("evidence_quality", flow.evidence_quality(F.col("evidence_score"), has_read, F.col("n_strong"), F.col("match_quality")))
-    identities = F.array_compact(F.array(*(F.when(F.col(f"{x}.kind").isNotNull(), flow.storage_identity(F.col(f"{x}.kind"), F.col("field"), F.coalesce(F.col(f"{x}.evidence"), F.lit("")))) for x in "wrs")))
+    identities = F.array_compact(F.array(*(F.col(f"{x}.identity") for x in "wrs")))
     best_of = F.array_max(F.transform(identities, lambda x, i: F.struct(lookup(x["confidence"], fixed.CONFIDENCE_RANK).alias("rank"), (-i).alias("place"), x["identity"].alias("identity"), x["confidence"].alias("confidence"))))
     out = rows.select(
         flow.stable_id("DF-", 12, F.col("w.file"), F.col("w.line").cast("string"), flow.field_key(F.col("field")), F.col("s.file"), F.col("s.line").cast("string")).alias("chain_id"),
@@ -78,7 +87,7 @@ def without_repeats(found: DataFrame) -> DataFrame:
     tagged. A chain without an identity is never a repeat. The best is aggregated and joined back, not ranked in a window."""
     key = ["storage_identity", "sink_file", "sink_line", "vulnerability_type"]
     named = found.where(F.coalesce("storage_identity", F.lit("")) != "")
-    best = named.groupBy(*key).agg(F.max_by("chain_id", F.struct("evidence_score", (-F.col("write_id")).alias("w"), (-F.col("sink_id")).alias("s"))).alias("_best"))
+    best = named.groupBy(*key).agg(F.min_by("chain_id", F.struct((-F.col("evidence_score")).alias("score"), "write_id", "sink_id")).alias("_best"))
     joined = found.join(best, key, "left")
     again = F.col("_best").isNotNull() & (F.col("_best") != F.col("chain_id"))
     out = joined.withColumns({"suppressed": F.col("suppressed") | again, "noise_tags": F.when(again, F.array_append("noise_tags", F.lit("duplicate_storage_sink"))).otherwise(F.col("noise_tags"))})

@@ -77,7 +77,9 @@ def matched(lines: DataFrame, rules: list[Rule]) -> DataFrame:
     spread = lines.withColumn("rule_ord", F.explode(F.concat(*parts) if parts else F.array().cast("array<int>")))
     hits = spread.join(F.broadcast(table(lines.sparkSession, rules)), "rule_ord")
     text = F.call_function("regexp_extract", F.col("code"), F.concat(F.lit("(?U)"), F.col("pattern")), F.lit(0))
-    return hits.withColumn("matched_text", text).withColumn("column", F.instr(F.col("code"), F.col("matched_text")) - 1)
+    # what a lazy prefix takes before the first match; the lookahead leaves the match its own context
+    before = F.call_function("regexp_extract", F.col("code"), F.concat(F.lit("(?sU)^(.*?)(?="), F.col("pattern"), F.lit(")")), F.lit(1))
+    return hits.withColumn("matched_text", text).withColumn("column", F.char_length(before))
 
 
 def is_dynamic(code: Column) -> Column:

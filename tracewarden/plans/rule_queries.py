@@ -44,7 +44,7 @@ def _staged(spark, sf_dir, target=None):
     return rules.staged(rules.matched(S.lines(spark, sf_dir).drop("lang", "source"), RULES), target)
 
 
-@query(f"WITH {STAGED_SQL} SELECT rule_id, severity, file, line, CAST(instr(code, matched_text) - 1 AS INT) AS col, matched_text FROM staged WHERE stage = 'kept'")
+@query(f"WITH {STAGED_SQL} SELECT rule_id, severity, file, line, CAST(instr(regexp_replace(code, pattern, chr(1)), chr(1)) - 1 AS INT) AS col, matched_text FROM staged WHERE stage = 'kept'")
 def rule_scan_hits(spark, sf_dir):
     return _staged(spark, sf_dir).where("stage = 'kept'").select("rule_id", "severity", "file", "line", F.col("column").alias("col"), "matched_text")
 

@@ -197,6 +197,12 @@ def _scratch(spark, name):
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _last_batch(spark, out):
+    """In complete mode the last micro-batch holds the whole result."""
+    batches = spark.read.option("basePath", out).parquet(out)
+    return batches.where(F.col("batch") == batches.agg(F.max("batch")).first()[0]).drop("batch")
+
+
 def _event_stream(spark, sf_dir):
     schema = S.table(spark, sf_dir, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
@@ -208,14 +214,14 @@ def stream_agent_state(spark, sf_dir):
     stream = _event_stream(spark, sf_dir).selectExpr("log AS agent", "line", "CASE type WHEN 'llm_error' THEN 'agent_error' ELSE type END AS type", "elapsed")
     out = _scratch(spark, "states")
     streams.to_table(streams.agent_states(stream), out, _scratch(spark, "states-log"), "complete").awaitTermination()
-    return spark.read.option("recursiveFileLookup", True).parquet(f"{out}/batch=0").select("agent", "status", "requests")
+    return _last_batch(spark, out).select("agent", "status", "requests")
 
 
 @query("SELECT CAST(ts AS DATE) AS day, CASE event_type WHEN 'signup' THEN 'llm_request' WHEN 'view' THEN 'llm_response' WHEN 'error' THEN 'llm_error' WHEN 'click' THEN 'agent_start' ELSE 'agent_end' END AS type, count(*) AS n FROM events GROUP BY ALL")
 def stream_daily(spark, sf_dir):
     out = _scratch(spark, "days")
     streams.to_table(streams.daily(_event_stream(spark, sf_dir)), out, _scratch(spark, "days-log"), "complete").awaitTermination()
-    return spark.read.option("recursiveFileLookup", True).parquet(f"{out}/batch=0").select("day", "type", "n")
+    return _last_batch(spark, out).select("day", "type", "n")
 
 
 _PYTHON = S.pick(
