@@ -32,9 +32,9 @@ MAX_WORDS, MAX_GRAMS, MAX_LANGUAGES = 50_000, 50_000, 256
 ORDER, SMOOTH = 4, 0.5
 LONG, DIGEST, GRAM = 256, "#", "+"
 #: Words that a task counts before it starts anew, words whose n-grams it counts together, scores that it keeps.
-COUNT_WORDS, GRAM_WORDS, CACHE_CELLS = 300_000, 100_000, 4_000_000
-#: Text that is looked at together, and characters of a long word that are cut up at a time.
-TEXT_BYTES, PIECE = 2 << 20, 1 << 16
+COUNT_WORDS, GRAM_WORDS, CACHE_CELLS = 200_000, 40_000, 2_000_000
+#: Text that is looked at together, rows that are sorted by language, characters of a long word that are cut up at a time.
+TEXT_BYTES, ROWS, PIECE = 2 << 20, 1_000, 1 << 16
 
 _COUNTS = pa.schema([("lang", pa.string()), ("token", pa.string()), ("n", pa.int64())])
 
@@ -114,8 +114,10 @@ class _Words:
 def _count_words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[str, _Words] = {}
     for part in parts:
-        for lang in part.column(0).unique().to_pylist():
-            seen.setdefault(lang, _Words()).add(part.column(1).filter(pa.compute.equal(part.column(0), lang)))
+        for at in range(0, part.num_rows, ROWS):
+            some = part.slice(at, ROWS)
+            for lang in some.column(0).unique().to_pylist():
+                seen.setdefault(lang, _Words()).add(some.column(1).filter(pa.compute.equal(some.column(0), lang)))
         if sum(len(x.words) for x in seen.values()) > COUNT_WORDS:
             for lang, own in seen.items():
                 yield from own.totals(lang)

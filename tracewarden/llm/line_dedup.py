@@ -60,6 +60,10 @@ def _without(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFr
         yield pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
 
 
+#: So that a filter on its counts doesn't make the optimizer evaluate it once more, in a second worker.
+_without = _without.asNondeterministic()
+
+
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """docs (doc_id, text, source and any others) with text cleaned, and n_lines and n_removed (lines, not empty, before), which
     take the place of input columns of these names."""
