@@ -428,3 +428,41 @@ def test_packs_can_be_read_back(spark):
     assert catalog.confirmed_only(spark.createDataFrame([("weak", False), ("probable", True), ("probable", False)], "evidence_quality string, suppressed boolean")).count() == 1
     assert rows(packs.public_rules(rules.table(spark, [rules.Rule("a", "f", "p", "php", "xss", level="l9", semantic_tags=(" t", "t", ""))])).select("level", F.array_join("semantic_tags", ","))) == [("L0", "t")]
     assert packs.compact(heads.withColumn("index", F.lit(1))).columns == ["chain_id", "index"]
+
+
+def test_scan_checks(spark):
+    from tracewarden.operators import code, rules
+    from tracewarden.sources.files import lines
+
+    files = spark.createDataFrame(
+        [("a.php", "<?php\n// eval($a);\neval($b); $s = 'eval(';\n$t = 'x\neval($c);'; eval($d);"), ("b.py", "client.execute('query { user }')\ndb.execute('select 1')\nq = input()\ncur.execute(q)"), ("c.js", "eval(x)"), ("d.py", "broken(\nclient.execute('query')"), ("e.php", None)],
+        "file string, text string",
+    )
+    own = [rules.Rule("php-eval", "eval", r"eval\(", "php", "code_execution", endings=("php", "js")), rules.Rule("py-graphql-gql-client", "execute", r"client\.execute\(", "python", "graphql_injection", endings=("py",), needs_dynamic=True), rules.Rule("py-sql", "execute", r"(db|cur)\.execute\(", "python", "sql_injection", endings=("py",), needs_dynamic=True)]
+    hits = code.judged_hits(rules.matched(lines(files), own), files)
+    staged = rules.staged(hits, None, F.col("in_code"), F.col("override")).select("file", "line", "in_code", "override", "stage")
+    assert sorted(map(tuple, staged.collect()), key=str) == sorted([
+        ("a.php", 2, False, None, "filtered_by_comment"), ("a.php", 3, True, None, "kept"), ("a.php", 5, False, None, "filtered_by_comment"),
+        ("b.py", 1, True, True, "kept"), ("b.py", 2, True, False, "filtered_by_dynamic"), ("b.py", 4, True, True, "kept"),
+        ("c.js", 1, True, None, "kept"), ("d.py", 2, True, None, "filtered_by_dynamic"),
+    ], key=str)
+    assert code.judged_hits(rules.matched(lines(files.limit(0)), own), files).count() == 0
+
+
+def test_logs(spark, tmp_path):
+    from tracewarden.sources import files
+
+    for name in ("b.log", "a.log", "c.txt"):
+        (tmp_path / name).write_text(name)
+    assert [(r.name, r.size) for r in files.logs(spark, str(tmp_path)).collect()] == [("b.log", 5), ("a.log", 5)]
+
+
+def test_graph_keeps_one_node_of_a_field(spark):
+    from tracewarden.operators import graph
+
+    schema = "role string, file string, line int, kind string, field string, evidence string, sink_function string"
+    facts = spark.createDataFrame([("write", "a.py", 1, "sql_field", "t", "x", None), ("write", "b.py", 2, "sql_field", "t", "y", None), ("write", "b.py", 2, "sql_field", "t", "y", None), ("sink", "c.py", 3, "sql_field", "t", None, "f"), ("read", "d.py", 4, "sql_field", "t", "", None)], schema)
+    nodes, edges = graph.nodes(facts), graph.edges(facts)
+    assert sorted((r.kind, r.file, r.line) for r in nodes.collect()) == [("request_source", "a.py", 1), ("request_source", "b.py", 2), ("sink", "c.py", 3), ("storage_field", "c.py", 3)]
+    assert sorted((r.file, r.line) for r in edges.collect()) == [("a.py", 1), ("b.py", 2)]
+    assert {(r.measure, r.key): r.n for r in graph.summary(nodes, edges, facts).collect()}[("storage", "sql_field")] == 3

@@ -90,3 +90,36 @@ def chosen_sections(asked: Column, known: dict[str, tuple[str, ...]]) -> Column:
 def file_groups(locations: DataFrame) -> DataFrame:
     """file, n, and its lines in order, of findings(file, line)."""
     return locations.groupBy("file").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("line")), ",").alias("lines"))
+
+
+def vulnerability_summary(rows: DataFrame) -> DataFrame:
+    """The fields of a curated vulnerability that lists show; a missing name is its id, missing tags and links are none."""
+    none = F.array().cast("array<string>")
+    return rows.select("vulnerability_id", "project_key", F.coalesce(F.nullif("name", F.lit("")), F.col("vulnerability_id")).alias("name"), "severity", "status", "source", F.coalesce("tags", none).alias("tags"), "created_at", "updated_at", F.coalesce("links", none).alias("links"))
+
+
+def audit_head(audits: DataFrame) -> DataFrame:
+    """An audit without its findings: they are not read."""
+    return audits.drop("findings")
+
+
+def shown_profile(profile: Column) -> Column:
+    """A project profile (map) without the keys that aren't shown."""
+    return F.map_filter(profile, lambda k, _: ~k.isin("project_name", "confidence", "limits"))
+
+
+def project_order(by_name: bool = False) -> list[Column]:
+    """Projects by name (in binary order) or the newest first."""
+    return [F.col("name")] if by_name else [F.col("updated_at").desc_nulls_last(), F.col("name")]
+
+
+def first_source(full: DataFrame, legacy: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of the full file of each key, of the legacy file where there is no full one."""
+    return full.unionByName(legacy.join(full.select(*key).distinct(), key, "left_anti"))
+
+
+def all_scans(own: DataFrame, root: DataFrame, specific: DataFrame) -> DataFrame:
+    """project_path, scan_id, created_at, legacy: own scans, those of old root folders, and old specific ones, whose ids get a prefix."""
+    columns = ["project_path", "scan_id", "created_at"]
+    old = root.select("project_path", F.lit("legacy-root").alias("scan_id"), "created_at").unionByName(specific.select("project_path", F.concat(F.lit("legacy-"), F.col("scan_id")).alias("scan_id"), "created_at"))
+    return own.select(*columns, F.lit(False).alias("legacy")).unionByName(old.select(*columns, F.lit(True).alias("legacy")))

@@ -101,6 +101,18 @@ def progress(rows: DataFrame, key: str = "chain_id", order: str = "line") -> Dat
     return last.select(key, "x.*")
 
 
+def with_chains(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """findings with `chain`, the last of the rows(chain_id, line, type, …) of type chain that has their id, or null."""
+    last = progress(rows.where("type = 'chain'").withColumn("chain_id", text.stripped(F.col("chain_id"))))
+    return found.join(last.select("chain_id", F.struct(*(c for c in last.columns if c != "chain_id")).alias("chain")), "chain_id", "left")
+
+
+def audit_order(*ties: Column) -> list[Column]:
+    """Chains to audit: cross-request ones first, then severe ones, then those with a call chain; then as they came (ties)."""
+    kind = F.when(F.col("chain_kind") == "cross_request", 2).otherwise(1)
+    return [kind.desc(), F.coalesce(verdicts.severity_rank(F.col("severity")), F.lit(0)).desc(), F.coalesce("has_call_chain", F.lit(False)).desc(), *ties]
+
+
 def pending(chains: DataFrame, done: DataFrame, key: str = "chain_id") -> DataFrame:
     return chains.join(done.select(key), key, "left_anti")
 

@@ -15,7 +15,8 @@ RATES = {
     "vuln_per_audit": ("vulnerable", "audited"),
     "vuln_per_candidate": ("vulnerable", "candidate_chains"),
 }
-MEASURES = ("files", "rg_raw", "sink_hits", "candidate_chains", "with_call_chain", "audited", "vulnerable", "uncertain", "safe")
+MEASURES = ("files", "rg_raw", "sink_hits", "candidate_chains", "with_call_chain", "audited", "vulnerable", "uncertain", "safe", "filtered_by_comment", "filtered_by_dynamic", "filtered_by_extra", "kept", "dedup_dropped")
+SCAN = ["project_path", "scan_id"]
 
 
 def latest(scans: DataFrame) -> DataFrame:
@@ -96,3 +97,37 @@ def status_counts(rows: DataFrame, statuses: list[str], column: str = "status")
     """A row for each status, zero where none has it."""
     known = rows.sparkSession.createDataFrame([(s,) for s in statuses], f"{column} string")
     return known.join(rows.groupBy(column).agg(F.count("*").alias("n")), column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def scan_records(scans: DataFrame, trees: DataFrame, tree_agents: DataFrame, call_agents: DataFrame, audits: DataFrame) -> DataFrame:
+    """One row for each of scans(project_path, scan_id, …) with what its five files say, none of which must be there. trees(files),
+    tree_agents(project_type, backend, frontend, runtime: arrays), call_agents(sink_hits, candidate_chains, with_call_chain, languages),
+    audits(audited, vulnerable, uncertain, safe, llm_failed), each with project_path and scan_id, at most once a scan. All joins
+    have one key, so that each side shuffles once. languages: those of the stack, then others of the call agent."""
+    none = F.array().cast("array<string>")
+    named = lambda c: F.filter(F.transform(F.coalesce(c, none), lambda x: F.lower(F.btrim(x))), lambda x: x != "")
+    sides = [("tree", trees, ("files",)), ("treescan", tree_agents, ("project_type", "backend", "frontend", "runtime")), ("callscan", call_agents, ("sink_hits", "candidate_chains", "with_call_chain", "languages")), ("audit", audits, ("audited", "vulnerable", "uncertain", "safe", "llm_failed"))]
+    rows = scans
+    for name, side, columns in sides:
+        rows = rows.join(side.select(*SCAN, F.struct(*columns).alias(f"_{name}")), SCAN, "left")
+    numbers = {c: F.coalesce(F.col(f"_{name}.{c}"), F.lit(0)).cast("long") for name, _, columns in sides if name != "treescan" for c in columns if c != "languages"}
+    stack = [named(F.col(f"_treescan.{c}")) for c in ("backend", "frontend", "runtime")]
+    has = {f"has_{name}": F.col(f"_{name}").isNotNull() for name, _, _ in sides if name != "tree"}
+    languages = F.array_distinct(F.concat(*stack, named(F.col("_callscan.languages"))))
+    primary = F.nullif(F.lower(F.btrim(F.get("_treescan.backend", F.lit(0)))), F.lit(""))
+    return rows.select(*scans.columns, *(c.alias(n) for n, c in (has | numbers).items()), F.col("_treescan.project_type").alias("project_type"), languages.alias("languages"), primary.alias("primary_language"))
+
+
+def call_status(chains: Column, skipped: Column) -> Column:
+    """Of the call scan: whether it found chains or, if not, skipped rules."""
+    return F.when(chains > 0, "ok").when(skipped > 0, "no_sinks").otherwise("partial")
+
+
+def flow_status(bridged: Column, recovered: Column) -> Column:
+    """Of the data-flow scan, by its cross-request chains and its partial ones."""
+    return F.when(bridged > 0, "ok").when(recovered > 0, "partial_only").otherwise("no_cross_request_chains")
+
+
+def audit_status(findings: Column, partial: Column) -> Column:
+    """Of the audit, by its findings and whether it was cut short."""
+    return F.when(findings == 0, "no_auditable_chains").when(partial, "partial").otherwise("ok")

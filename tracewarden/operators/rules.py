@@ -6,10 +6,12 @@ projection of foldable predicates, so lines are read once, nothing is joined, an
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..functions import fixed, paths, verdicts
 
@@ -53,12 +55,29 @@ def load(rules: DataFrame) -> list[Rule]:
     return [Rule(r["rule_id"], r["function"], r["pattern"], r["language"], r["vulnerability_type"], r["severity"], tuple(r["endings"]), r["needs_dynamic"], tuple(r["extra"]), r["level"], tuple(r["semantic_tags"]), tuple(r["required_evidence"]), tuple(r["repair_hints"])) for r in rows]
 
 
+@F.pandas_udf(T.BooleanType())
+def compiles(patterns: pd.Series) -> pd.Series:
+    """Whether each pattern is a regular expression; for rule tables only, never for lines."""
+
+    def fits(pattern: str) -> bool:
+        try:
+            re.compile(pattern)
+        except re.error:
+            return False
+        return True
+
+    return patterns.fillna("").map(fits).astype(bool)
+
+
 def violations(rules: DataFrame) -> DataFrame:
-    """rule_id and problem of each rule that may not be saved: no id, repeated id, no function, no pattern, bad severity."""
+    """rule_id and problem of each rule that may not be saved: no id, repeated id, no function, no pattern, bad severity, a
+    pattern or an extra pattern that doesn't compile."""
     blank = lambda c: F.btrim(F.coalesce(F.col(c), F.lit(""))) == ""
     again = rules.groupBy("rule_id").count().where("count > 1").select("rule_id", F.lit("repeated id").alias("problem"))
     cases = [(blank("rule_id"), "no id"), (blank("function"), "no function"), (blank("pattern"), "no pattern"), (~F.coalesce(F.col("severity").isin(*fixed.SEVERITIES), F.lit(False)), "bad severity")]
-    return rules.select("rule_id", F.explode(F.array_compact(F.array(*(F.when(c, w) for c, w in cases)))).alias("problem")).unionByName(again)
+    patterns = rules.select("rule_id", F.explode(F.concat(F.array(F.struct(F.lit("bad pattern").alias("problem"), "pattern")), F.transform(F.coalesce("extra", F.array().cast("array<string>")), lambda x: F.struct(F.lit("bad extra pattern").alias("problem"), x.alias("pattern"))))).alias("p"))
+    broken = patterns.where(~compiles("p.pattern")).select("rule_id", "p.problem").distinct()
+    return rules.select("rule_id", F.explode(F.array_compact(F.array(*(F.when(c, w) for c, w in cases)))).alias("problem")).unionByName(again).unionByName(broken)
 
 
 def matched(lines: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -128,6 +147,18 @@ def work_order() -> list[Column]:
     return [verdicts.severity_rank(F.col("severity")).desc(), F.size(F.split("file", "/")).asc(), F.col("file").desc(), F.col("line").asc()]
 
 
+def output_order(*ties: Column) -> list[Column]:
+    """Chains as they are written: by level, severity and whether they have a call chain, all falling; then as they came (ties)."""
+    return [verdicts.level_rank(F.col("level")).desc(), F.coalesce(verdicts.severity_rank(F.col("severity")), F.lit(0)).desc(), F.coalesce("has_call_chain", F.lit(False)).desc(), *ties]
+
+
+def model_needed(impact: Column, enabled: Column | bool = True) -> Column:
+    """Whether a model has to look for callers: if it may, and no target in impact (JSON text) has any."""
+    targets = F.map_values(F.coalesce(F.from_json(impact, "targets map<string, struct<callers: array<string>>>")["targets"], F.create_map().cast("map<string, struct<callers: array<string>>>")))
+    has = F.exists(targets, lambda x: F.coalesce(F.size(x["callers"]) > 0, F.lit(False)))
+    return (F.lit(enabled) if isinstance(enabled, bool) else enabled) & ~F.coalesce(has, F.lit(False))
+
+
 def chain_id(hits: DataFrame) -> Column:
     return F.concat(F.lit("C-"), F.left(F.sha1(F.concat_ws(":", "language", "vulnerability_type", "rule_id", "file", F.col("line").cast("string"), "code")), F.lit(12)))
 

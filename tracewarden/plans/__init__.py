@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog_queries, finding_queries, flow_queries, rule_queries, run_queries
+from . import catalog_queries, finding_queries, flow_queries, program_queries, record_queries, rule_queries, run_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalog_queries", "finding_queries", "flow_queries", "rule_queries", "run_queries"]
+__all__ = ["ORACLES", "QUERIES", "catalog_queries", "finding_queries", "flow_queries", "program_queries", "record_queries", "rule_queries", "run_queries"]

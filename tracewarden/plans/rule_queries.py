@@ -260,9 +260,9 @@ def slugs_and_masks(spark, sf_dir):
     return rows.groupBy("path", text.slug(F.col("path")).alias("slug"), text.masked(F.col("path")).alias("masked")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {RULES_SQL}, bad AS (SELECT * FROM rules UNION ALL SELECT 90, 'never-called', '', '', 'x', 'xss', 'urgent', false, [], []) SELECT rule_id, 'repeated id' AS problem FROM bad GROUP BY rule_id HAVING count(*) > 1 UNION ALL SELECT rule_id, 'no function' FROM bad WHERE trim(function) = '' UNION ALL SELECT rule_id, 'no pattern' FROM bad WHERE trim(pattern) = '' UNION ALL SELECT rule_id, 'bad severity' FROM bad WHERE severity NOT IN ({listed(fixed.SEVERITIES)})")
+@query(f"WITH {RULES_SQL}, bad AS (SELECT * FROM rules UNION ALL SELECT 90, 'never-called', '', '', 'x', 'xss', 'urgent', false, [], [] UNION ALL SELECT 91, 'broken', 'f', '(a', 'x', 'xss', 'low', false, ['b', '[c'], []) SELECT rule_id, 'repeated id' AS problem FROM bad GROUP BY rule_id HAVING count(*) > 1 UNION ALL SELECT rule_id, 'no function' FROM bad WHERE trim(function) = '' UNION ALL SELECT rule_id, 'no pattern' FROM bad WHERE trim(pattern) = '' UNION ALL SELECT rule_id, 'bad severity' FROM bad WHERE severity NOT IN ({listed(fixed.SEVERITIES)}) UNION ALL SELECT rule_id, unnest(['bad pattern', 'bad extra pattern']) FROM bad WHERE rule_ord = 91")
 def rule_violations(spark, sf_dir):
-    return rules.violations(rules.table(spark, [*RULES, rules.Rule("never-called", "", "", "x", "xss", "urgent")]))
+    return rules.violations(rules.table(spark, [*RULES, rules.Rule("never-called", "", "", "x", "xss", "urgent"), rules.Rule("broken", "f", "(a", "x", "xss", "low", extra=("b", "[c"))]))
 
 
 @query(f"SELECT vulnerability_type, {mapped('vulnerability_type', fixed.CWES, quoted(fixed.UNKNOWN_CWE))} AS cwe, count(*) AS n FROM (SELECT {S.FINDINGS['vulnerability_type']} AS vulnerability_type FROM documents) GROUP BY ALL")

@@ -1,4 +1,4 @@
-"""Queries of telemetry and metrics, over events as run logs and orders as scans; streams; checks that need a grammar."""
+"""Queries of telemetry and metrics, over events as run logs and orders as scans; streams."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from ..operators import code, facts, metrics, review, telemetry
+from ..operators import metrics, review, telemetry
 from ..streaming import events as streams
 from . import standins as S
 from .finding_queries import FULL_SQL, MARKS_SQL, _findings, _marks
@@ -189,7 +189,7 @@ def extra_sessions(spark, sf_dir):
     return rows.select("user_id", F.col("w.start").alias("began"), "n")
 
 
-# --- Streams and grammars: rows only, held against batch forms and cases in tests -------------------------------------
+# --- Streams -------------------------------------
 
 
 def _scratch(spark, name):
@@ -222,59 +222,3 @@ def stream_daily(spark, sf_dir):
     out = _scratch(spark, "days")
     streams.to_table(streams.daily(_event_stream(spark, sf_dir)), out, _scratch(spark, "days-log"), "complete").awaitTermination()
     return _last_batch(spark, out).select("day", "type", "n")
-
-
-_PYTHON = S.pick(
-    "doc_id",
-    "concat('def find(name):', chr(10), '    q = \"select * from t where n = \" + request.args.get(\"', lang, '\")', chr(10), '    cur.execute(q)', chr(10))",
-    "concat('ORDER = {\"a\": \"name\", \"b\": \"age\"}', chr(10), 'q = \"select 1 order by \" + ORDER.get(key, \"id\")', chr(10), 'cur.execute(q)', chr(10))",
-    "concat('parts = [\"select\"]', chr(10), 'parts.append(input())', chr(10), 'cur.execute(\" \".join(parts))', chr(10))",
-    "concat('x = 1', chr(10), 'y = helper(x)', chr(10), 'cur.execute(y)', chr(10))",
-)
-
-
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS dynamic FROM documents")
-def python_sql_ast(spark, sf_dir):
-    rows = S.table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_PYTHON} AS text")
-    return rows.select("doc_id", F.get(code.python_calls(F.col("text"), F.array(F.lit(3)), F.array(F.lit("sql"))), F.lit(0)).alias("dynamic"))
-
-
-@query("WITH d AS (SELECT doc_id, instr(text, ' ') AS n FROM documents) SELECT doc_id, true AS first, false AS second, true AS third FROM d")
-def php_comment_filter(spark, sf_dir):
-    rows = S.table(spark, sf_dir, "documents").selectExpr("doc_id", "concat('<?php /* ', translate(source, '*/', ''), chr(10), ' eval( */ eval($x);', chr(10), '$s = \"', lang, ' eval(\"; eval($s); // eval(') AS text")
-    flags = code.in_code(F.col("text"), F.array(F.lit(2), F.lit(2), F.lit(3)), F.array(F.lit(9), F.lit(1), F.lit(17)))
-    return rows.withColumn("f", flags).select("doc_id", F.get("f", F.lit(0)).alias("first"), F.get("f", F.lit(1)).alias("second"), F.get("f", F.lit(2)).alias("third"))
-
-
-@query("SELECT doc_id, doc_id % 2 = 0 AS refuted FROM documents")
-def js_template_refutation(spark, sf_dir):
-    body = "concat('### show (a.js:1-9)', chr(10), '```js', chr(10), 'box.innerHTML = `<b>${', CASE doc_id % 2 WHEN 0 THEN 'escapeHtml(u.name)' ELSE 'u.name' END, '}</b><i>${escapeHtml(x)} ${list.length}</i>`;', chr(10), '```')"
-    rows = S.table(spark, sf_dir, "documents").selectExpr("doc_id", f"{body} AS pack")
-    return rows.select("doc_id", code.template_refuted("pack", F.lit("show"), F.lit("vulnerable")).alias("refuted"))
-
-
-_APP = "concat('t = request.form[\"', lang, '\"]', chr(10), 'clean = escape(t)', chr(10), 'post.title = t', chr(10), 'post.safe = clean', chr(10), 'Post(body=t, n=1)', chr(10), 'render_template(\"a.html\", head=post.title)', chr(10), 'db.run(\"insert into posts (title, body) values (\" + t + \")\")')"
-
-
-@query("WITH f AS (SELECT * FROM (VALUES ('write', 'orm_field', 'title', 3), ('write', 'orm_field', 'body', 5), ('read', 'template_field', 'title', 6), ('write', 'sql_field', 'title', 7), ('write', 'sql_field', 'body', 7)) t(role, kind, field, line)) SELECT role, kind, field, CAST(line AS INT) AS line, count(*) AS n FROM f, documents GROUP BY ALL")
-def taint_extract(spark, sf_dir):
-    rows = S.table(spark, sf_dir, "documents").selectExpr("concat('app/f', CAST(doc_id AS STRING), '.py') AS file", "'python' AS language", f"{_APP} AS text")
-    return facts.facts(rows).groupBy("role", "kind", "field", "line").agg(F.count("*").alias("n"))
-
-
-@query("WITH w AS (SELECT doc_id FROM documents) SELECT 'title' AS field, 'template_binding' AS match_quality, 'confirmed' AS evidence_quality, count(*) * 2 AS n FROM w")
-def taint_to_template(spark, sf_dir):
-    """Facts of one application a document, bridged: its write reaches its template's raw output through the render call."""
-    from ..operators import bridge
-
-    docs = S.table(spark, sf_dir, "documents")
-    base = docs.selectExpr("concat('f', CAST(doc_id AS STRING)) AS name", f"{_APP} AS app")
-    pages = base.select(F.concat("name", F.lit("/a.html")).alias("file"), F.lit("template").alias("language"), F.lit("<h1>{{ post.title | safe }}</h1>").alias("text"))
-    apps = base.select(F.concat("name", F.lit("/app.py")).alias("file"), F.lit("python").alias("language"), F.col("app").alias("text"))
-    found = facts.facts(apps.unionByName(pages)).withColumn("field", F.concat_ws("@", "field", F.substring_index("file", "/", 1)))
-    columns = ["field", "kind", "file", "line", "evidence", "vulnerability_type", "severity", "template", "template_var", "source_expr", "sink_function"]
-    side = lambda role, number: found.where(F.col("role") == role).select(F.col("fact_id").alias(number), *columns)
-    rows = bridge.chains(side("write", "write_id"), side("read", "read_id"), side("sink", "sink_id"))
-    return rows.groupBy(F.regexp_replace("field", "_?@?f[0-9]+$", "").alias("field"), "match_quality", "evidence_quality").agg(F.count("*").alias("n"))
-
-

@@ -65,7 +65,7 @@ TURNS = {
 CALLS = {"caller": "p_partkey", "callee": "CAST(floor(p_partkey / 2) AS BIGINT)", "child_ord": "CAST(p_partkey % 2 AS INT)", "ends": "p_partkey % 11 = 0"}
 
 #: Scans for orders: the project is a customer's place, measures come from its lines.
-MEASURES = {"files": "1=1", "rg_raw": "l_quantity > 5", "sink_hits": "l_quantity > 10", "candidate_chains": "l_quantity > 20", "with_call_chain": "l_quantity > 25", "audited": "l_quantity > 30", "vulnerable": "l_returnflag = 'R' AND l_quantity > 30", "uncertain": "l_returnflag = 'A' AND l_quantity > 30", "safe": "l_returnflag = 'N' AND l_quantity > 30"}
+MEASURES = {"files": "1=1", "rg_raw": "l_quantity > 5", "sink_hits": "l_quantity > 10", "candidate_chains": "l_quantity > 20", "with_call_chain": "l_quantity > 25", "audited": "l_quantity > 30", "vulnerable": "l_returnflag = 'R' AND l_quantity > 30", "uncertain": "l_returnflag = 'A' AND l_quantity > 30", "safe": "l_returnflag = 'N' AND l_quantity > 30", "filtered_by_comment": "l_quantity < 3", "filtered_by_dynamic": "l_quantity = 3", "filtered_by_extra": "l_quantity = 4", "kept": "l_quantity > 9", "dedup_dropped": "l_quantity = 10"}
 SCANS_SQL = (
     "measures AS (SELECT l_orderkey, " + ", ".join(f"CAST(sum(CASE WHEN {c} THEN 1 ELSE 0 END) AS BIGINT) AS {n}" for n, c in MEASURES.items()) + " FROM lineitem GROUP BY l_orderkey), "
     "scans AS (SELECT concat(r_name, '/', n_name, '/', c_name, '/', c_mktsegment) AS project_path, r_name AS source, n_name AS owner, c_name AS repo, c_mktsegment AS version, lpad(CAST(o_orderkey AS STRING), 12, '0') AS scan_id, o_orderkey AS ord, o_orderstatus = 'F' AS has_audit, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'pending' ELSE 'running' END AS status, "

@@ -99,3 +99,9 @@ def scans(spark: SparkSession, root: str, schema: T.StructType | str, name: str
     at = lambda n: F.element_at(parts, n)
     known = [c for c in rows.columns if c not in ("project_path", "scan_id")]
     return rows.select(F.concat_ws("/", at(-8), at(-7), at(-6), at(-5)).alias("project_path"), F.element_at(parts, -2).alias("scan_id"), *known)
+
+
+def logs(spark: SparkSession, folder: str) -> DataFrame:
+    """name, size, modified of the log files of a folder, last name first; contents are not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(folder)
+    return found.select(F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")).orderBy(F.col("name").desc())
