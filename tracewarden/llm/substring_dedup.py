@@ -299,6 +299,7 @@ def repeated_spans(blocks: DataFrame, words: int, width: int = WIDTH) -> DataFra
     paths = stored(paths, "paths")
     key = ["first_edge", "digest", "edges"]
     sources = paths.groupBy(*key).agg(F.min(F.struct("doc_id", "row", "start")).alias("source"), F.count("*").alias("occurrences")).where("occurrences > 1")
+    sources = stored(sources, "sources")  # read anew, it is small enough to broadcast or a hot path's rows are split
     again = paths.join(sources, key).where((F.col("row") != F.col("source.row")) | (F.col("start") != F.col("source.start")))
     return again.select("block", "row", "start", "edges", F.col("source.row").alias("source_row"), F.col("source.start").alias("source_start"))
 
