@@ -122,19 +122,20 @@ def _pages(spark, sf_dir):
     return _files(spark, sf_dir, "/a.html", _program(forms, 9)).where("text is not null").withColumn("language", F.lit("template"))
 
 
-_DOC = F.regexp_extract("file", "^src/f([0-9]+)/", 1).cast("long").alias("doc_id")
+def _doc(file: str) -> Column:
+    return F.regexp_extract(file, "^src/f([0-9]+)/", 1)
 
 
 @query(f"WITH {TAINT_SQL} SELECT doc_id, kind, field, CAST(n AS INT) AS line FROM writes")
 def taint_extract(spark, sf_dir):
-    return facts.facts(_apps(spark, sf_dir)).where("role = 'write'").select(_DOC, "kind", "field", "line")
+    return facts.facts(_apps(spark, sf_dir)).where("role = 'write'").select(_doc("file").cast("long").alias("doc_id"), "kind", "field", "line")
 
 
 @query(f"WITH {TAINT_SQL}, s AS (SELECT doc_id, count(*) AS sinks FROM raw WHERE length(raw) % 9 = 0 GROUP BY doc_id), w AS (SELECT doc_id, count(*) AS writes FROM writes WHERE field = 'title' GROUP BY doc_id) SELECT doc_id, 'template_binding' AS match_quality, 'confirmed' AS evidence_quality, CAST(writes * sinks AS BIGINT) AS n FROM w JOIN s USING (doc_id)")
 def taint_to_template(spark, sf_dir):
     """Facts of one application a document, bridged: its writes reach its template's raw output through the render call."""
-    found = facts.facts(_apps(spark, sf_dir).unionByName(_pages(spark, sf_dir))).withColumn("field", F.concat(F.col("field"), F.lit("_f"), F.regexp_extract("file", "^src/f([0-9]+)/", 1)))
+    found = facts.facts(_apps(spark, sf_dir).unionByName(_pages(spark, sf_dir))).withColumn("field", F.concat(F.col("field"), F.lit("_f"), _doc("file")))
     columns = ["field", "kind", "file", "line", "evidence", "vulnerability_type", "severity", "template", "template_var", "source_expr", "sink_function"]
     side = lambda role, number: found.where(F.col("role") == role).select(F.col("fact_id").alias(number), *columns)
     rows = bridge.chains(side("write", "write_id"), side("read", "read_id"), side("sink", "sink_id"))
-    return rows.groupBy(F.regexp_extract("sink_file", "^src/f([0-9]+)/", 1).cast("long").alias("doc_id"), "match_quality", "evidence_quality").agg(F.count("*").alias("n"))
+    return rows.groupBy(_doc("sink_file").cast("long").alias("doc_id"), "match_quality", "evidence_quality").agg(F.count("*").alias("n"))
