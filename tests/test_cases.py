@@ -449,6 +449,19 @@ def test_scan_checks(spark):
     assert code.judged_hits(rules.matched(lines(files.limit(0)), own), files).count() == 0
 
 
+def test_paths_with_signs(spark, tmp_path):
+    from tracewarden.plans.scratch import write_tree
+
+    place = "s/o wner/r#1+2/v%201"
+    body = '{"status": "done"}'
+    given = spark.createDataFrame([(f"{place}/artifacts/scans/7/scan.json", body), (f"{place}/é+ä.md", "x\n## y"), ("empty", None)], "file string, body string")
+    assert write_tree(given, f"file://{tmp_path}") == 3
+    assert files.scans(spark, f"file://{tmp_path}", "status string").collect() == [(place, "7", "done")]
+    found = files.markdown(spark, f"file://{tmp_path}/s/o wner/*/*/*.md").select("path", "number").collect()
+    assert sorted((r.path.split("/", 3)[-1][-len(f"{place}/é+ä.md") :], r.number) for r in found) == [(f"{place}/é+ä.md", 0), (f"{place}/é+ä.md", 1)]
+    assert (tmp_path / "empty").read_bytes() == b""
+
+
 def test_logs(spark, tmp_path):
     from tracewarden.sources import files
 

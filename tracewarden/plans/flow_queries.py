@@ -148,8 +148,13 @@ def dataflow_summary(spark, sf_dir):
 
 _STATEMENTS = {"event_id": "event_id", "statement": S.pick("event_id", "concat('INSERT INTO t', CAST(user_id AS STRING), ' (A.id, `na me` as nm, x) VALUES (1)')", "concat('update users set a.b = 1, c=2 where id = ', CAST(user_id AS STRING))", "'select u.name, max(v) as top from `logs` l'", "'select * from t'", "'x = obj.field[\"key\"]'", "'$name . $other'", "'request.form.args'")}
 
+_WRITTEN = S.pick("event_id", "'id,nm,x'", "'b,c'", "''", "''", "''", "''", "''")
+_SELECTED = S.pick("event_id", "''", "''", "'name,top'", "''", "''", "''", "''")
+_TABLE = S.pick("event_id", "concat('t', CAST(user_id AS STRING))", "'users'", "'logs'", "'t'", "NULL", "NULL", "NULL")
+_FIELD = S.pick("event_id", "'id'", "'b'", "'name'", "'t'", "'field'", "'other'", "''")
 
-@query(None)
+
+@query(f"SELECT event_id, {_WRITTEN} AS written, {_SELECTED} AS selected, {_TABLE} AS sql_table, {_FIELD} AS field FROM events")
 def sql_fields(spark, sf_dir):
     rows = S.table(spark, sf_dir, "events").selectExpr(*(f"{e} AS {n}" for n, e in _STATEMENTS.items()))
     s = F.col("statement")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
@@ -13,6 +10,7 @@ from ..streaming import events as streams
 from . import standins as S
 from .finding_queries import FULL_SQL, MARKS_SQL, _findings, _marks
 from .registry import mapped, query
+from .scratch import scratch
 
 _ROUNDS_SQL = f"{S.RUN_SQL}, l AS (SELECT * FROM run WHERE type IN ('llm_request', 'llm_response', 'llm_error')), n AS (SELECT *, sum(CASE WHEN type = 'llm_request' THEN 1 ELSE 0 END) OVER (PARTITION BY log ORDER BY line) AS round FROM l)"
 
@@ -189,12 +187,7 @@ def extra_sessions(spark, sf_dir):
     return rows.select("user_id", F.col("w.start").alias("began"), "n")
 
 
-# --- Streams -------------------------------------
-
-
-def _scratch(spark, name):
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tracewarden-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+# --- Streams ---------------------------------------------------------------------------------------------------------
 
 
 def _last_batch(spark, out):
@@ -212,13 +205,13 @@ def _event_stream(spark, sf_dir):
 @query(f"WITH {S.RUN_SQL}, t AS (SELECT log AS agent, line, CASE type WHEN 'llm_error' THEN 'agent_error' ELSE type END AS type, elapsed FROM run), a AS (SELECT agent, max(line) FILTER (type = 'agent_start') AS started, max(line) FILTER (type = 'agent_end') AS ended, max(line) FILTER (type = 'agent_error') AS failed, count(*) FILTER (type = 'llm_request') AS requests FROM t GROUP BY agent) SELECT agent, CASE WHEN failed IS NOT NULL AND (started IS NULL OR failed > started) THEN 'error' WHEN ended IS NOT NULL AND (started IS NULL OR ended > started) THEN 'done' WHEN started IS NOT NULL THEN 'running' ELSE 'pending' END AS status, requests FROM a")
 def stream_agent_state(spark, sf_dir):
     stream = _event_stream(spark, sf_dir).selectExpr("log AS agent", "line", "CASE type WHEN 'llm_error' THEN 'agent_error' ELSE type END AS type", "elapsed")
-    out = _scratch(spark, "states")
-    streams.to_table(streams.agent_states(stream), out, _scratch(spark, "states-log"), "complete").awaitTermination()
+    out = scratch(spark, "states")
+    streams.to_table(streams.agent_states(stream), out, scratch(spark, "states-log"), "complete").awaitTermination()
     return _last_batch(spark, out).select("agent", "status", "requests")
 
 
 @query("SELECT CAST(ts AS DATE) AS day, CASE event_type WHEN 'signup' THEN 'llm_request' WHEN 'view' THEN 'llm_response' WHEN 'error' THEN 'llm_error' WHEN 'click' THEN 'agent_start' ELSE 'agent_end' END AS type, count(*) AS n FROM events GROUP BY ALL")
 def stream_daily(spark, sf_dir):
-    out = _scratch(spark, "days")
-    streams.to_table(streams.daily(_event_stream(spark, sf_dir)), out, _scratch(spark, "days-log"), "complete").awaitTermination()
+    out = scratch(spark, "days")
+    streams.to_table(streams.daily(_event_stream(spark, sf_dir)), out, scratch(spark, "days-log"), "complete").awaitTermination()
     return _last_batch(spark, out).select("day", "type", "n")

@@ -29,6 +29,11 @@ def _contents(spark: SparkSession, root: str) -> DataFrame:
     return found.withColumn("file", F.substring(whole, F.instr(whole, base) + F.length(base), F.length(whole)))
 
 
+def _path() -> Column:
+    """The path of a row's file as it is named: Spark tells it with % codes, in which a + stands for itself."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def _text(content: Column) -> Column:
     """Bytes as UTF-8, with U+FFFD for what isn't."""
     return F.make_valid_utf8(content.cast("string"))
@@ -57,8 +62,8 @@ def whole_json(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
-def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Rows of a JSON-lines file with the given columns; lines that aren't objects are skipped, meta lines too."""
+def json_lines(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
+    """Rows of JSON-lines files with the given columns; lines that aren't objects are skipped, meta lines too."""
     rows = spark.read.text(path).where(F.btrim("value") != "")
     parsed = rows.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("row"), F.get_json_object("value", "$.type").alias("_type"), F.try_parse_json("value").isNotNull().alias("_fit"))
     return parsed.where("_fit and coalesce(_type, '') <> 'meta'").select("row.*")
@@ -72,7 +77,7 @@ def meta_line(spark: SparkSession, path: str) -> DataFrame:
 
 def markdown(spark: SparkSession, path: str, heading: str = "## ") -> DataFrame:
     """number (0: what stands before the first heading) and section of each Markdown file."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    whole = spark.read.text(path, wholetext=True).select(_path().alias("path"), "value")
     return whole.select("path", F.posexplode(text.sections(F.col("value"), heading)).alias("number", "section"))
 
 
@@ -95,7 +100,7 @@ def git_refs(refs: DataFrame, line: str = "value") -> DataFrame:
 def scans(spark: SparkSession, root: str, schema: T.StructType | str, name: str = "scan.json", artifacts: str = "*") -> DataFrame:
     """Every scan record below root/source/owner/repo/version/<artifacts>/scans/<scan_id>/, with project_path and scan_id."""
     rows = spark.read.schema(schema).json(f"{root.rstrip('/')}/*/*/*/*/{artifacts}/scans/*/{name}", multiLine=True)
-    parts = F.split(F.col("_metadata.file_path"), "/")
+    parts = F.split(_path(), "/")
     at = lambda n: F.element_at(parts, n)
     known = [c for c in rows.columns if c not in ("project_path", "scan_id")]
     return rows.select(F.concat_ws("/", at(-8), at(-7), at(-6), at(-5)).alias("project_path"), F.element_at(parts, -2).alias("scan_id"), *known)
