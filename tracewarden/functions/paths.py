@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from . import fixed
@@ -100,3 +102,23 @@ def project_part(path: Column, part: int) -> Column:
     parts = F.split(path, "/")
     fit = (F.size(parts) == 4) & F.forall(parts, lambda x: ~x.isin("", ".", ".."))
     return F.when(fit, F.get(parts, F.lit(part - 1)))
+
+
+def glob(path: Column, pattern: str) -> Column:
+    """Whether path fits a glob: ** any path, * and ? within a name, {a,b} either; without a slash it is about the name at any depth."""
+    out, depth = "", 0
+    for part in re.split(r"(\*\*/?|[*?{},])", pattern):
+        if part == "{":
+            out, depth = out + "(?:", depth + 1
+        elif part == "}" and depth:
+            out, depth = out + ")", depth - 1
+        elif part == "," and depth:
+            out += "|"
+        else:
+            out += {"**": ".*", "**/": "(?:.*/)?", "*": "[^/]*", "?": "[^/]"}.get(part, re.escape(part))
+    return F.rlike(path, F.lit(("^" if "/" in pattern else "(?:^|/)") + out + "$"))
+
+
+def visible(path: Column) -> Column:
+    """False below a hidden or reserved folder of the project hierarchy."""
+    return F.forall(F.split(path, "/"), lambda x: ~F.startswith(x, F.lit(".")) & ~x.isin(*fixed.RESERVED_CHILDREN))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import verdicts
 from ..functions.text import any_contains
+from . import browse
 
 STATUSES = ("pending", "running", "done", "error", "stopped")
 
@@ -123,3 +124,13 @@ def all_scans(own: DataFrame, root: DataFrame, specific: DataFrame) -> DataFrame
     columns = ["project_path", "scan_id", "created_at"]
     old = root.select("project_path", F.lit("legacy-root").alias("scan_id"), "created_at").unionByName(specific.select("project_path", F.concat(F.lit("legacy-"), F.col("scan_id")).alias("scan_id"), "created_at"))
     return own.select(*columns, F.lit(False).alias("legacy")).unionByName(old.select(*columns, F.lit(True).alias("legacy")))
+
+
+def by_status(rows: DataFrame, status: str) -> DataFrame:
+    """Rows of a queue with the status; `all` keeps every row."""
+    return rows if status == "all" else rows.where(F.col("status") == status)
+
+
+def any_field(rows: DataFrame, columns: list[str], word: str) -> DataFrame:
+    """Rows of which one of the columns contains the word in lower case; an empty word keeps all."""
+    return rows.where(browse.keyword(columns, word.strip().lower() or None))

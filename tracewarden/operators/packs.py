@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions import verdicts
+from ..functions import fixed, verdicts
 
 COMPACT = ("chain_id", "index", "language", "vulnerability_type", "severity", "sink_file", "sink_line", "sink_function", "has_call_chain", "call_chains", "evidence", "limits", "audit_pack")
 
@@ -20,6 +20,42 @@ def compact(chains: DataFrame) -> DataFrame:
     return chains.select(*(c for c in COMPACT if c in chains.columns))
 
 
+def chain_records(candidates: DataFrame, order: list[Column], folder: str) -> DataFrame:
+    """The twenty fields of a chain record, with its index by ascending order (see ranks); missing texts are empty or unknown, missing lists are empty.
+
+    candidates(id, severity, vulnerability_type, language, file, line, function, rule_id, level, semantic_tags,
+    required_evidence, repair_hints, call_chains (arrays of names), summary, limits, audit_pack)."""
+    ranked = ranks(candidates, order, "index", folder)
+    told = lambda c, otherwise="": F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(otherwise))
+    listed = lambda c: F.coalesce(F.col(c), F.array().cast(candidates.schema[c].dataType))
+    return ranked.select(
+        F.lit("chain").alias("type"), "index", F.coalesce(F.nullif(F.col("id"), F.lit("")), F.concat(F.lit("C-"), F.lpad(F.col("index").cast("string"), 6, "0"))).alias("chain_id"),
+        F.lower(told("severity", "unknown")).alias("severity"), told("vulnerability_type", "unknown").alias("vulnerability_type"), told("language", "unknown").alias("language"),
+        told("file").alias("sink_file"), F.coalesce("line", F.lit(0)).alias("sink_line"), told("function").alias("sink_function"), F.col("rule_id").alias("sink_rule_id"), told("level", "L0").alias("sink_level"),
+        *(listed(c).alias(c) for c in ("semantic_tags", "required_evidence", "repair_hints")), (F.size(listed("call_chains")) > 0).alias("has_call_chain"), F.size(listed("call_chains")).alias("call_chain_count"),
+        listed("call_chains").alias("call_chains"), told("summary").alias("summary"), listed("limits").alias("limits"), told("audit_pack").alias("audit_pack"),
+    )
+
+
+def ranks(rows: DataFrame, order: list[Column], out: str, folder: str) -> DataFrame:
+    """rows with their place by ascending order, from 1. They are written to folder in sorted ranges, a file each, and numbered
+    by the rows of the files before, so that no task holds all and a rerun task finds the same files."""
+    placed = rows.withColumn("_key", F.struct(*order)).repartitionByRange("_key").sortWithinPartitions("_key")
+    placed.write.mode("overwrite").parquet(folder)
+    parts = rows.sparkSession.read.schema(placed.schema).parquet(folder).withColumn("_part", F.col("_metadata.file_name"))
+    sizes = parts.groupBy("_part").count()
+    before = sizes.select("_part", (F.sum("count").over(W.orderBy("_part")) - F.col("count")).alias("_before"))  # one row a file
+    at = F.row_number().over(W.partitionBy("_part").orderBy("_key"))
+    return parts.withColumn("_at", at).join(before, "_part").withColumn(out, F.col("_before") + F.col("_at")).drop("_key", "_part", "_at", "_before")
+
+
+def chain_section(total: Column) -> Column:
+    """The Markdown section of a chain record, between marks by which the file can be split."""
+    head = F.concat(F.lit(f"{fixed.CHAIN_BEGIN} "), F.col("chain_id"), F.lit(" | index="), F.col("index").cast("string"), F.lit("/"), total.cast("string"), F.lit(" | severity="), F.col("severity"), F.lit(" | vuln="), F.col("vulnerability_type"), F.lit(" | lang="), F.col("language"), F.lit(" | sink="), F.col("sink_file"), F.lit(":"), F.col("sink_line").cast("string"), F.lit(" ==="))
+    body = F.when(F.col("audit_pack") == "", "(no audit_pack rendered)").otherwise(F.rtrim(F.col("audit_pack"), F.lit(" \t\n\r")))
+    return F.concat(head, F.lit("\n"), body, F.lit(f"\n{fixed.CHAIN_END} "), F.col("chain_id"), F.lit(" ===\n"))
+
+
 def top_candidates(chains: DataFrame, n: int = 30) -> DataFrame:
     """The first candidates: severe ones, then those with a chain, then by id."""
     order = [verdicts.severity_rank(F.col("severity")).desc(), F.col("has_call_chain").desc(), F.col("chain_id")]

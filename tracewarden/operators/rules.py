@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
@@ -182,11 +184,34 @@ def languages(stack: DataFrame) -> DataFrame:
     return named.groupBy("project", "language").agg(F.min("place").alias("first"))
 
 
-def grep(lines: DataFrame, pattern: str, ignore_case: bool = False, fixed_text: bool = False, word: bool = False) -> DataFrame:
-    """Lines that match, with n_matches."""
+def grep(lines: DataFrame, pattern: str, ignore_case: bool = False, fixed_text: bool = False, word: bool = False, endings: tuple[str, ...] = (), globs: tuple[str, ...] = ()) -> DataFrame:
+    """Lines that match, with n_matches, of files with one of the endings, if any, that fit one of the globs, if any."""
     own = ("\\Q" + pattern + "\\E") if fixed_text else pattern
     own = ("(?i)" if ignore_case else "") + (f"\\b(?:{own})\\b" if word else own)
-    return lines.where(F.rlike("code", F.lit(own))).withColumn("n_matches", F.regexp_count("code", F.lit(own)))
+    return grep_scope(lines, endings, globs).where(F.rlike("code", F.lit(own))).withColumn("n_matches", F.regexp_count("code", F.lit(own)))
+
+
+def grep_scope(lines: DataFrame, endings: tuple[str, ...] = (), globs: tuple[str, ...] = ()) -> DataFrame:
+    if endings:
+        lines = lines.where(paths.suffix(F.col("file")).isin(*endings))
+    if globs:
+        lines = lines.where(reduce(or_, (paths.glob(F.col("file"), g) for g in globs)))
+    return lines
+
+
+def grep_page(found: DataFrame, most: int = 30) -> DataFrame:
+    """The first results by file and line."""
+    return found.orderBy("file", "line").limit(most)
+
+
+def grep_count(found: DataFrame) -> DataFrame:
+    """One row: lines and matches within them."""
+    return found.agg(F.count("*").alias("lines"), F.coalesce(F.sum("n_matches"), F.lit(0)).cast("long").alias("matches"))
+
+
+def grep_files(files: DataFrame, most: int = 100) -> DataFrame:
+    """The first file names, each once."""
+    return files.select("file").distinct().orderBy("file").limit(most)
 
 
 def context(lines: DataFrame, hit: Column, around: int) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions import fixed
+
 
 def rounds(events: DataFrame, log: str = "log", order: str = "line") -> DataFrame:
     """log, round, started, agent, n_requests, response, error: a round begins at each llm_request; the last response and
@@ -80,3 +82,21 @@ def workflow(states: DataFrame, agents: list[str]) -> DataFrame:
     spark = states.sparkSession
     order = spark.createDataFrame([(i, a, agents[i - 1] if i else None) for i, a in enumerate(agents)], "place int, agent string, after string")
     return order.join(states, "agent", "left").select("place", "agent", "after", F.coalesce("status", F.lit("pending")).alias("status"))
+
+
+def workflow_nodes(states: DataFrame, audited: DataFrame) -> DataFrame:
+    """run, node, kind, status of the seven nodes of each run in states(run, agent, status): the pipeline, its four agents, the
+    repository and the findings, which are done for the runs in audited(run). Agents that haven't been seen are pending."""
+    named = [("pipeline", "pipeline"), *((a, "agent") for a in fixed.PIPELINE), ("repo", "input"), ("findings", "output")]
+    seven = F.array(*(F.struct(F.lit(n).alias("node"), F.lit(k).alias("kind")) for n, k in named))
+    every = states.select("run").distinct().select("run", F.explode(seven).alias("n")).select("run", "n.*")
+    done = audited.select("run").distinct().withColumn("_done", F.lit(True))
+    rows = every.join(states.select("run", F.col("agent").alias("node"), "status"), ["run", "node"], "left").join(done, "run", "left")
+    status = F.when(F.col("kind") == "input", "ready").when(F.col("kind") == "output", F.when(F.col("_done"), "done").otherwise("pending")).otherwise(F.coalesce("status", F.lit("pending")))
+    return rows.select("run", "node", "kind", status.alias("status"))
+
+
+def workflow_edges(runs: DataFrame) -> DataFrame:
+    """run, from_node, to_node, label of the five edges of each run."""
+    edges = F.array(*(F.struct(F.lit(a).alias("from_node"), F.lit(b).alias("to_node"), F.lit(label).alias("label")) for a, b, label in fixed.WORKFLOW_EDGES))
+    return runs.select("run").distinct().select("run", F.explode(edges).alias("e")).select("run", "e.*")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W, functions as F
 
-from ..functions import fixed, paths, text
-from ..operators import catalog, chains, packs, review, telemetry, trees
+from ..functions import fixed, paths, text, verdicts
+from ..operators import catalog, chains, packs, review, rules, telemetry, trees
 from ..sources import files, sinks
 from ..streaming import events as streams
 from . import standins as S
 from .finding_queries import FULL_SQL, _findings
 from .registry import query, quoted
 from .rule_queries import SKIP_SQL, _ext
+from .run_queries import _event_stream
 from .scratch import scratch, write_tree
 
 # --- Trees -----------------------------------------------------------------------------------------------------------
@@ -307,3 +310,127 @@ _DUE = {"scan_id": "scan_id", "status": S.pick("ord", "'pending'", "'running'",
 def due_scans(spark, sf_dir):
     rows = S.scans(spark, sf_dir).selectExpr(*(f"{e} AS {n}" for n, e in _DUE.items()))
     return streams.due(rows, F.lit("1996-01-01 08:30:00").cast("timestamp")).select("scan_id", "scheduled_at")
+
+
+@query("SELECT 'line' AS type, concat(event_type, ' ', CAST(event_id AS STRING)) AS data FROM events UNION ALL SELECT 'end', 'done'")
+def stream_run_log(spark, sf_dir):
+    """What is there first, then what comes, then the status."""
+    log, out, place = scratch(spark, "run"), scratch(spark, "run-rows"), scratch(spark, "run-log")
+    rows = S.table(spark, sf_dir, "events").select("event_id", F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("value"))
+    for part in ("event_id % 3 = 0", "event_id % 3 <> 0"):
+        rows.where(part).select("value").write.mode("append").text(log)
+        streams.to_table(streams.log_lines(spark, log), out, place).awaitTermination()
+    return streams.with_end(spark.read.parquet(out), "done")
+
+
+@query("SELECT count(*) AS n_rows, true AS started FROM events")
+def stream_heartbeats(spark, sf_dir):
+    beats = []
+    listener = streams.Heartbeats(lambda *beat: beats.append(beat))
+    spark.streams.addListener(listener)
+    try:
+        lines = _event_stream(spark, sf_dir).select(F.col("text").alias("value"))
+        streams.to_table(lines, scratch(spark, "beats"), scratch(spark, "beats-log")).awaitTermination()
+        listener.ended.wait(60)
+    finally:
+        spark.streams.removeListener(listener)
+    return spark.createDataFrame([(sum(n or 0 for _, _, n in beats), any(b is None for _, b, _ in beats))], "n_rows long, started boolean")
+
+
+# --- Chain records, searches, workflow -------------------------------------------------------------------------------
+
+_CANDIDATE = {
+    "id": S.pick("ord", "chain_id", "''", "CAST(NULL AS STRING)"), "severity": "severity", "vulnerability_type": "nullif(vulnerability_type, 'xss')", "language": "language", "file": "sink_file", "line": "nullif(sink_line, 3)",
+    "function": S.pick("ord", "'run'", "CAST(NULL AS STRING)"), "rule_id": "concat('r', CAST(ord % 9 AS STRING))", "level": S.pick("ord", "'L1'", "''", "CAST(NULL AS STRING)"), "summary": "title", "audit_pack": S.pick("ord", "concat(title, ' ')", "''"), "ord": "ord",
+}
+_RECORD = "coalesce(nullif({0}, ''), '{1}')"
+
+
+def _candidates(spark, sf_dir):
+    rows = S.findings(spark, sf_dir).selectExpr(*(f"{e} AS {n}" for n, e in _CANDIDATE.items()))
+    none, chain = F.array().cast("array<string>"), F.array(F.array(F.lit("a"), F.lit("b")))
+    lists = {"semantic_tags": F.when(F.col("ord") % 2 == 0, F.array(F.lit("t"))), "required_evidence": none, "repair_hints": none, "limits": none, "call_chains": F.when(F.col("ord") % 3 == 0, chain)}
+    return packs.chain_records(rows.withColumns(lists), [-F.coalesce(verdicts.severity_rank(F.lower("severity")), F.lit(0)), F.col("ord")], scratch(spark, "ranks"))
+
+
+_RECORDS = f"""WITH {S.FINDINGS_SQL}, k AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _CANDIDATE.items())} FROM findings), i AS (SELECT *, row_number() OVER (ORDER BY CASE lower(severity) WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END DESC, ord) AS index FROM k),
+records AS (SELECT 'chain' AS type, index, coalesce(nullif(id, ''), concat('C-', lpad(CAST(index AS STRING), 6, '0'))) AS chain_id, lower({_RECORD.format('severity', 'unknown')}) AS severity, {_RECORD.format('vulnerability_type', 'unknown')} AS vulnerability_type, {_RECORD.format('language', 'unknown')} AS language, {_RECORD.format('file', '')} AS sink_file, coalesce(line, 0) AS sink_line, {_RECORD.format('"function"', '')} AS sink_function, rule_id AS sink_rule_id, {_RECORD.format('level', 'L0')} AS sink_level, CASE ord % 2 WHEN 0 THEN 't' ELSE '' END AS tags, ord % 3 = 0 AS has_call_chain, CAST(CASE ord % 3 WHEN 0 THEN 1 ELSE 0 END AS INT) AS call_chain_count, {_RECORD.format('summary', '')} AS summary, {_RECORD.format('audit_pack', '')} AS audit_pack FROM i)"""
+
+
+@query(f"{_RECORDS} SELECT * FROM records")
+def chain_records(spark, sf_dir):
+    rows = _candidates(spark, sf_dir).withColumn("tags", F.array_join("semantic_tags", ","))
+    return rows.drop("semantic_tags", "required_evidence", "repair_hints", "call_chains", "limits")
+
+
+@query(f"{_RECORDS} SELECT name, section FROM (SELECT concat('=== CHAIN BEGIN ', chain_id, ' | index=', CAST(index AS STRING), '/', CAST((SELECT count(*) FROM records) AS STRING), ' | severity=', severity, ' | vuln=', vulnerability_type, ' | lang=', language, ' | sink=', sink_file, ':', CAST(sink_line AS STRING), ' ===', chr(10), CASE audit_pack WHEN '' THEN '(no audit_pack rendered)' ELSE rtrim(audit_pack) END, chr(10), '=== CHAIN END ', chain_id, ' ===', chr(10)) AS section, 'md' AS name FROM records UNION ALL SELECT chain_id, 'jsonl' FROM records UNION ALL SELECT chain_id, 'priority' FROM records)")
+def chain_files(spark, sf_dir):
+    """The three files of the chains, read back: sections of the Markdown, ids of the two others."""
+    folder, records = scratch(spark, "chain-files"), _candidates(spark, sf_dir)
+    sinks.chain_files(records, packs.chain_section(F.lit(S.table(spark, sf_dir, "documents").count())), folder)
+    cut = spark.read.option("lineSep", f"{fixed.CHAIN_BEGIN} ").text(f"{folder}/chains.md").where("value <> ''")
+    sections = cut.select(F.lit("md").alias("name"), F.concat(F.lit(f"{fixed.CHAIN_BEGIN} "), F.regexp_replace("value", r"\n\z", "")).alias("section"))
+    ids = [files.json_lines(spark, f"{folder}/{f}", "chain_id string").select(F.lit(n).alias("name"), F.col("chain_id").alias("section")) for n, f in (("jsonl", "chains.jsonl"), ("priority", "chains.priority.jsonl"))]
+    return sections.unionByName(ids[0]).unionByName(ids[1])
+
+
+@query(f"WITH {S.LINES_SQL} SELECT file, line FROM lines WHERE regexp_matches(code, '(?i)token') AND {_ext('file')} IN ('py', 'js', 'html') AND (regexp_matches(file, '^(?:.*/)?src/f[^/]*[.](?:py|js)$') OR regexp_matches(file, '(?:^|/)f[^/]*7[.]html$')) ORDER BY file, line LIMIT 30")
+def grep_scoped(spark, sf_dir):
+    found = rules.grep(S.lines(spark, sf_dir), "token", ignore_case=True, endings=("py", "js", "html"), globs=("**/src/f*.{py,js}", "f*7.html"))
+    return rules.grep_page(found).select("file", "line")
+
+
+@query(f"WITH {S.LINES_SQL} SELECT count(*) AS lines, CAST(coalesce(sum(len(regexp_extract_all(code, '(?i)[a-z]*tion'))), 0) AS BIGINT) AS matches FROM lines WHERE regexp_matches(code, '(?i)[a-z]*tion')")
+def grep_count(spark, sf_dir):
+    return rules.grep_count(rules.grep(S.lines(spark, sf_dir), "[a-z]*tion", ignore_case=True))
+
+
+@query(f"WITH {S.FILES_SQL} SELECT file FROM files WHERE regexp_matches(file, '(?:^|/)f[^/][^/]?[.]php$') ORDER BY file LIMIT 100")
+def grep_files(spark, sf_dir):
+    either = S.files(spark, sf_dir).where(paths.glob(F.col("file"), "f?.php") | paths.glob(F.col("file"), "f??.php"))
+    return rules.grep_files(either.unionByName(either))
+
+
+@query("SELECT p_partkey, p_size % 3 = 0 AS shown FROM part")
+def hierarchy_visible(spark, sf_dir):
+    path = S.pick("p_size", "concat('s/o.k/', CAST(p_partkey AS STRING))", "concat('s/.', CAST(p_partkey AS STRING), '/r')", "concat('s/o/', CAST(p_partkey AS STRING), '/vulnerability')")
+    return S.table(spark, sf_dir, "part").select("p_partkey", paths.visible(F.expr(path)).alias("shown"))
+
+
+_TAGGED = {"p_partkey": "p_partkey", "name": "p_name", "source": "'Local'", "owner": "p_brand", "repo": "concat('r', CAST(p_partkey AS STRING))", "project_path": "concat('Local/', p_brand)", "description": "CAST(NULL AS STRING)"}
+
+
+@query(f"SELECT p_partkey FROM ({S.sql(_TAGGED | {'tags': 'p_type'}, 'part')}) WHERE contains(lower(concat_ws(' ', name, source, owner, repo, project_path, description, tags)), 'tin')")
+def project_search_tags(spark, sf_dir):
+    rows = S.table(spark, sf_dir, "part").selectExpr(*(f"{e} AS {n}" for n, e in _TAGGED.items()), "split(p_type, ' ') AS tags")
+    return catalog.searched(rows, ["name", "source", "owner", "repo", "project_path", "description", "tags"], " Tin ").select("p_partkey")
+
+
+@query(f"WITH {S.SCANS_SQL} SELECT status AS asked, scan_id FROM scans WHERE status IN ('done', 'running') UNION ALL SELECT 'all', scan_id FROM scans")
+def queue_by_status(spark, sf_dir):
+    rows = S.scans(spark, sf_dir)
+    asked = [catalog.by_status(rows, s).select(F.lit(s).alias("asked"), "scan_id") for s in ("done", "running", "all")]
+    return asked[0].unionByName(asked[1]).unionByName(asked[2])
+
+
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_name), '12') OR contains(left(md5(p_name), 12), '12') OR contains(CASE p_partkey % 2 WHEN 0 THEN 'tag' ELSE 'branch' END, '12')")
+def ref_search(spark, sf_dir):
+    rows = S.table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 2 == 0, "tag").otherwise("branch").alias("kind"), F.left(F.md5("p_name"), F.lit(12)).alias("short_commit"))
+    return catalog.any_field(rows, ["name", "kind", "short_commit"], " 12").select("p_partkey")
+
+
+_SEEN = "SELECT log AS run, CASE agent WHEN 'a0' THEN 'treescan' WHEN 'a1' THEN 'callscan' WHEN 'a2' THEN 'auditor' ELSE 'pipeline' END AS agent, CASE WHEN max(line) % 2 = 0 THEN 'done' ELSE 'running' END AS status FROM run GROUP BY ALL"
+
+
+@query(f"WITH {S.RUN_SQL}, s AS ({_SEEN}), n AS (SELECT run, unnest(['pipeline', 'treescan', 'callscan', 'dataflowscan', 'auditor', 'repo', 'findings']) AS node, unnest(['pipeline', 'agent', 'agent', 'agent', 'agent', 'input', 'output']) AS kind FROM (SELECT DISTINCT run FROM s)) SELECT n.run, node, kind, CASE kind WHEN 'input' THEN 'ready' WHEN 'output' THEN CASE n.run % 2 WHEN 0 THEN 'done' ELSE 'pending' END ELSE coalesce(status, 'pending') END AS status FROM n LEFT JOIN s ON s.run = n.run AND s.agent = node")
+def workflow_graph_nodes(spark, sf_dir):
+    S.run_events(spark, sf_dir).createOrReplaceTempView(view := f"run_{uuid.uuid4().hex}")
+    states = spark.sql(_SEEN.replace("FROM run ", f"FROM {view} "))
+    found = telemetry.workflow_nodes(states, states.where("run % 2 = 0"))
+    spark.catalog.dropTempView(view)
+    return found
+
+
+@query(f"SELECT run, unnest([{', '.join(quoted(e[0]) for e in fixed.WORKFLOW_EDGES)}]) AS from_node, unnest([{', '.join(quoted(e[1]) for e in fixed.WORKFLOW_EDGES)}]) AS to_node, unnest([{', '.join(quoted(e[2]) for e in fixed.WORKFLOW_EDGES)}]) AS label FROM (SELECT DISTINCT user_id AS run FROM events)")
+def workflow_graph_edges(spark, sf_dir):
+    return telemetry.workflow_edges(S.table(spark, sf_dir, "events").select(F.col("user_id").alias("run")))

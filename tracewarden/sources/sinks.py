@@ -19,6 +19,14 @@ def with_meta(chains: DataFrame, meta: Column, path: str, order: list[Column]) -
     chains.sparkSession.range(1).select(meta.alias("meta")).select("meta.*").coalesce(1).write.mode("append").json(f"{path}/_meta")
 
 
+def chain_files(records: DataFrame, section: Column, folder: str) -> None:
+    """Chain records by index as JSON lines, again under the name that older readers know, and as Markdown sections."""
+    ordered = records.withColumn("_section", section).repartitionByRange("index").sortWithinPartitions("index")
+    for name in ("chains.jsonl", "chains.priority.jsonl"):
+        ordered.drop("_section").write.mode("overwrite").json(f"{folder}/{name}")
+    ordered.select("_section").write.mode("overwrite").text(f"{folder}/chains.md")
+
+
 def funnel_csv(rows: DataFrame, path: str) -> None:
     """The twelve funnel columns only, whatever else the rows hold."""
     rows.select(*FUNNEL_COLUMNS).write.mode("overwrite").csv(path, header=True)

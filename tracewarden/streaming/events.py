@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 EVENT = "log string, line long, ts timestamp, type string, agent string, elapsed double, text string"
 
@@ -56,3 +57,29 @@ def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
         (prepare(df) if prepare else df).write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     return writer.foreachBatch(batch).start()
+
+
+def with_end(lines: DataFrame, status: str) -> DataFrame:
+    """Lines of a run that has ended, and a last record with its status, as a subscriber gets them: type, data."""
+    end = lines.sparkSession.range(1).select(F.lit("end").alias("type"), F.lit(status).alias("data"))
+    return lines.select(F.lit("line").alias("type"), F.col("value").alias("data")).unionByName(end)
+
+
+class Heartbeats(StreamingQueryListener):
+    """Tells `beat` of each micro-batch (query id, batch, rows) and, every ten seconds, of an idle query (batch and rows None).
+    ended is set once a query has terminated."""
+
+    def __init__(self, beat: Callable[[str, int | None, int | None], None]):
+        self.beat, self.ended = beat, threading.Event()
+
+    def onQueryStarted(self, event) -> None:
+        self.beat(str(event.id), None, None)
+
+    def onQueryProgress(self, event) -> None:
+        self.beat(str(event.progress.id), event.progress.batchId, event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        self.beat(str(event.id), None, None)
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.set()
