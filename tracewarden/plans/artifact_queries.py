@@ -303,13 +303,13 @@ def stream_log_lines(spark, sf_dir):
     return _all(spark, streams.log_lines(spark, log), "lines").select(F.get(parts, F.lit(0)).cast("long").alias("event_id"), F.get(parts, F.lit(1)).alias("line"))
 
 
-_DUE = {"scan_id": "scan_id", "status": S.pick("ord", "'pending'", "'running'", "'stopped'", "'done'"), "scheduled_at": S.pick("ord + length(repo)", "concat(day, ' 08:30:00')", "CAST(NULL AS STRING)", "'soon'", "concat(day, 'T23:59:59')")}
+_DUE = {"scan_id": "scan_id", "status": S.pick("ord", "'pending'", "'running'", "'stopped'", "'done'"), "scheduled_at": S.pick("(ord + CAST(floor(ord / 4) AS BIGINT))", "concat(day, ' 08:30:00')", "CAST(NULL AS STRING)", "'soon'", "concat(day, 'T23:59:59')")}
 
 
-@query(f"WITH {S.SCANS_SQL}, d AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _DUE.items())} FROM scans) SELECT scan_id, CAST(NULL AS STRING) AS scheduled_at FROM d WHERE status IN ('pending', 'stopped') AND TRY_CAST(scheduled_at AS TIMESTAMP) <= TIMESTAMP '1996-01-01 08:30:00'")
+@query(f"WITH {S.SCANS_SQL}, d AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _DUE.items())} FROM scans) SELECT scan_id, CAST(NULL AS STRING) AS scheduled_at FROM d WHERE status IN ('pending', 'stopped') AND TRY_CAST(scheduled_at AS TIMESTAMP) <= TIMESTAMP '1998-04-25 08:30:00'")
 def due_scans(spark, sf_dir):
     rows = S.scans(spark, sf_dir).selectExpr(*(f"{e} AS {n}" for n, e in _DUE.items()))
-    return streams.due(rows, F.lit("1996-01-01 08:30:00").cast("timestamp")).select("scan_id", "scheduled_at")
+    return streams.due(rows, F.lit("1998-04-25 08:30:00").cast("timestamp")).select("scan_id", "scheduled_at")
 
 
 @query("SELECT 'line' AS type, concat(event_type, ' ', CAST(event_id AS STRING)) AS data FROM events UNION ALL SELECT 'end', 'done'")
@@ -374,9 +374,9 @@ def chain_files(spark, sf_dir):
     return sections.unionByName(ids[0]).unionByName(ids[1])
 
 
-@query(f"WITH {S.LINES_SQL} SELECT file, line FROM lines WHERE regexp_matches(code, '(?i)token') AND {_ext('file')} IN ('py', 'js', 'html') AND (regexp_matches(file, '^(?:.*/)?src/f[^/]*[.](?:py|js)$') OR regexp_matches(file, '(?:^|/)f[^/]*7[.]html$')) ORDER BY file, line LIMIT 30")
+@query(f"WITH {S.LINES_SQL} SELECT file, line FROM lines WHERE regexp_matches(code, '(?i)tion') AND {_ext('file')} IN ('py', 'js', 'html') AND (regexp_matches(file, '^(?:.*/)?src/f[^/]*[.](?:py|js)$') OR regexp_matches(file, '(?:^|/)f[^/]*7[.]html$')) ORDER BY file, line LIMIT 30")
 def grep_scoped(spark, sf_dir):
-    found = rules.grep(S.lines(spark, sf_dir), "token", ignore_case=True, endings=("py", "js", "html"), globs=("**/src/f*.{py,js}", "f*7.html"))
+    found = rules.grep(S.lines(spark, sf_dir), "tion", ignore_case=True, endings=("py", "js", "html"), globs=("**/src/f*.{py,js}", "f*7.html"))
     return rules.grep_page(found).select("file", "line")
 
 
@@ -400,10 +400,10 @@ def hierarchy_visible(spark, sf_dir):
 _TAGGED = {"p_partkey": "p_partkey", "name": "p_name", "source": "'Local'", "owner": "p_brand", "repo": "concat('r', CAST(p_partkey AS STRING))", "project_path": "concat('Local/', p_brand)", "description": "CAST(NULL AS STRING)"}
 
 
-@query(f"SELECT p_partkey FROM ({S.sql(_TAGGED | {'tags': 'p_type'}, 'part')}) WHERE contains(lower(concat_ws(' ', name, source, owner, repo, project_path, description, tags)), 'tin')")
+@query(f"SELECT p_partkey FROM ({S.sql(_TAGGED | {'tags': 'p_type'}, 'part')}) WHERE contains(lower(concat_ws(' ', name, source, owner, repo, project_path, description, tags)), 'econ')")
 def project_search_tags(spark, sf_dir):
     rows = S.table(spark, sf_dir, "part").selectExpr(*(f"{e} AS {n}" for n, e in _TAGGED.items()), "split(p_type, ' ') AS tags")
-    return catalog.searched(rows, ["name", "source", "owner", "repo", "project_path", "description", "tags"], " Tin ").select("p_partkey")
+    return catalog.searched(rows, ["name", "source", "owner", "repo", "project_path", "description", "tags"], " Econ ").select("p_partkey")
 
 
 @query(f"WITH {S.SCANS_SQL} SELECT status AS asked, scan_id FROM scans WHERE status IN ('done', 'running') UNION ALL SELECT 'all', scan_id FROM scans")
