@@ -176,6 +176,23 @@ def test_packing(spark, docs):
     assert all(sum(n for _, n in x) <= 64 and all(a == sum(n for _, n in sorted(x)[:k]) for k, (a, _) in enumerate(sorted(x))) for x in own.values())
 
 
+def fewest(pieces: tuple[int, ...], capacity: int) -> int:
+    """The least number of sequences for pieces above a third of capacity, of which two fit at most: every choice tried."""
+    if not pieces:
+        return 0
+    first, rest = pieces[0], pieces[1:]
+    return 1 + min([fewest(rest, capacity), *(fewest(rest[:k] + rest[k + 1 :], capacity) for k in range(len(rest)) if first + rest[k] <= capacity)])
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_packing_of_large_pieces_takes_the_fewest_sequences(seed):
+    rng = np.random.default_rng(seed)
+    pieces = sorted(rng.integers(34, 100, rng.integers(1, 9)).tolist(), reverse=True)
+    kinds = packing.plan(dict(Counter(pieces)), 100)
+    assert sum(n for _, n in kinds) == fewest(tuple(pieces), 100)
+    assert all(sum(a * b for a, b in kind) <= 100 for kind, _ in kinds)
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_packing_plan_places_every_piece(seed):
     rng = random.Random(seed)

@@ -172,7 +172,12 @@ def configurations(sizes: list[int], capacity: int) -> list[tuple[int, ...]]:
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large: float = LARGE) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """Kinds of sequences for counts (length -> pieces): each ((length, how many), ...) and how many sequences are of it."""
+    """Kinds of sequences for counts (length -> pieces): each ((length, how many), ...) and how many sequences are of it.
+
+    Above a third of capacity at most two pieces fit, and then taking the fullest configuration that holds the largest size
+    left is optimal for the rounded sizes: let a be that size and b the largest partner that fits it. Where an optimal packing
+    has a with c and b with d, b >= c, so d fits c because it fits b, and a with b and c with d is as good; where a or b stands
+    alone, putting them together costs nothing. With at most `groups` large pieces nothing is rounded."""
     out: dict[tuple, int] = {}
     big = sorted((x for x in counts if x > capacity * large and counts[x] > 0), reverse=True)
     total = sum(counts[x] for x in big)
