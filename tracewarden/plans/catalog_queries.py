@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..operators import catalog, chains, packs
 from . import standins as S
-from .flow_queries import _sinks, _walk_sql
-from .registry import mapped, query
+from .flow_queries import BRIDGE_SQL, _chains, _sinks, _strong, _walk_sql, _weak
+from .registry import cases, mapped, query, quoted
 
 
 @query(f"WITH {S.SCANS_SQL} SELECT source, owner, repo, count(DISTINCT version) AS versions, count(*) AS scans FROM scans GROUP BY ALL")
@@ -78,8 +78,22 @@ def audit_packs(spark, sf_dir):
     return packs.packs(heads, nodes, pool).select("chain_id", F.md5("pack").alias("pack"))
 
 
-@query(None)
-def bridge_packs(spark, sf_dir):
-    from .flow_queries import _chains
+def _kind_sql(of: str) -> str:
+    return mapped(of, fixed.SANITIZER_KINDS, cases([(f"starts_with({of}, 'file')", "'path_or_filename_policy'")], "'sanitizer'"))
+
+
+def _cleaned_sql(side: str, kind: str) -> list[str]:
+    """The strong and the weak sanitizer of a side, null where there is none."""
+    at = f"concat({side}.file, ':', {side}.line)"
+    return [f"CASE WHEN {side}.event_id IS NOT NULL AND {sign} THEN concat_ws(' ', '{strength}', {kind}, {at}) END" for strength, sign in (("strong", _strong(side)), ("weak", _weak(side)))]
+
 
+_CLEANED = ", ".join([*_cleaned_sql("w", _kind_sql("w.vulnerability_type")), *_cleaned_sql("r", quoted(fixed.SANITIZER_KINDS["xss"])), *_cleaned_sql("s", _kind_sql("s.vulnerability_type"))])
+_AT = "concat('- {1}: ', {0}.file, ':', {0}.line)"
+_WORDS = "CASE WHEN len({1}) > 0 THEN concat('- {0}: ', array_to_string({1}, ', ')) END"
+
+
+@query(f"""WITH {BRIDGE_SQL}, t AS (SELECT *, list_filter([{_CLEANED}], lambda v: v IS NOT NULL) AS cleaned FROM chains)
+SELECT chain_id, concat_ws(chr(10), concat('# ', s.vulnerability_type, ' (', quality, ', ', score, ')'), {_AT.format('w', 'write')}, concat('- storage: ', identity), CASE WHEN has_read THEN {_AT.format('r', 'read')} END, {_AT.format('s', 'sink')}, {_WORDS.format('sanitizers', 'cleaned')}, {_WORDS.format('breakpoints', 'breakpoints')}, {_WORDS.format('noise', 'noise')}) AS pack FROM t""")
+def bridge_packs(spark, sf_dir):
     return packs.bridge_packs(_chains(spark, sf_dir))
