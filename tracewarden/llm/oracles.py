@@ -61,4 +61,25 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, ''))
 d AS (SELECT *, array_to_string(list_transform(list_transform(range(8), lambda i: CAST('0x' || substr(hex, CAST(i * 5 + 1 AS INT), 5) AS BIGINT)), lambda v: {_DIGIT}), '') AS payload_digest, max(page_id) OVER (PARTITION BY html) AS top FROM p)
 SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM d"""
 
-SQL = {"op1_line_dedup": LINE_DEDUP, "op2_substring_dedup": SUBSTRING_DEDUP, "op3_embedding_dedup": EMBEDDING_DEDUP, "op4_mixing": MIXING, "op6_minhash": MINHASH, "op7_exact_dedup": EXACT_DEDUP, "op10_warc": WARC}
+_PLAIN = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+DECONTAMINATION = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER % "coalesce(text, '')"}, {_PLAIN}) AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all({LOWER % "coalesce(text, '')"}, {_PLAIN}) AS ws FROM benchmark),
+g AS (SELECT DISTINCT item_id, least(len(ws), 10) AS k, array_to_string(ws[p : p + 9], ' ') AS gram FROM (SELECT *, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS p FROM b WHERE len(ws) > 0)),
+w AS (SELECT doc_id, k, p, array_to_string(ws[p : p + k - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM g) WHERE len(ws) >= k)),
+h AS (SELECT w.doc_id, w.k, w.p, g.item_id FROM w JOIN g ON g.gram = w.gram AND g.k = w.k),
+i AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM h GROUP BY doc_id),
+c AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + k)) AS word FROM h) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN i USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+HARD_NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, d.vec_id, a.label = d.label AS same, CAST(list_inner_product(a.e, d.e) AS BIGINT) AS score FROM v a JOIN v d ON a.vec_id % 100 = 0 AND a.vec_id <> d.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER g AS INT) AS rank, s.vec_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW g AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, s.vec_id) QUALIFY row_number() OVER g <= 10"""
+
+SQL = {"op1_line_dedup": LINE_DEDUP, "op2_substring_dedup": SUBSTRING_DEDUP, "op3_embedding_dedup": EMBEDDING_DEDUP, "op4_mixing": MIXING, "op6_minhash": MINHASH, "op7_exact_dedup": EXACT_DEDUP, "op10_warc": WARC, "op11_decontamination": DECONTAMINATION, "op12_hard_negatives": HARD_NEGATIVES}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embedding_dedup, exact_dedup, language_id, line_dedup, minhash, mixing, oracles, packing, substring_dedup, token_counts, warc_zip
+from . import decontamination, embedding_dedup, exact_dedup, hard_negatives, language_id, line_dedup, minhash, mixing, oracles, packing, substring_dedup, token_counts, warc_zip
 
 #: Where the public vocabularies are; None asks the installed package.
 TOKENIZERS = os.environ.get("TRACEWARDEN_TOKENIZERS")
@@ -68,8 +68,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.archive(spark, _table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), "doc_id")
+    items = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(items, 256).alias("items_sha256"), "contaminated")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_embedding_dedup, op4_mixing, op5_language_id, op6_minhash, op7_exact_dedup, op8_packing, op9_token_counts, op10_warc)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_embedding_dedup, op4_mixing, op5_language_id, op6_minhash, op7_exact_dedup, op8_packing, op9_token_counts, op10_warc, op11_decontamination, op12_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
