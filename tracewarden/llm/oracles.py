@@ -82,4 +82,20 @@ SELECT anchor_id, positive_id, CAST(row_number() OVER g AS INT) AS rank, s.vec_i
 WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
 WINDOW g AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, s.vec_id) QUALIFY row_number() OVER g <= 10"""
 
-SQL = {"op1_line_dedup": LINE_DEDUP, "op2_substring_dedup": SUBSTRING_DEDUP, "op3_embedding_dedup": EMBEDDING_DEDUP, "op4_mixing": MIXING, "op6_minhash": MINHASH, "op7_exact_dedup": EXACT_DEDUP, "op10_warc": WARC, "op11_decontamination": DECONTAMINATION, "op12_hard_negatives": HARD_NEGATIVES}
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, x: list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)))"
+PERIODIC_RUNS = f"""
+WITH h AS (SELECT doc_id, {_CRC} AS h, regexp_extract_all(coalesce(text, ''), {WORD}) AS ws FROM documents),
+g AS (SELECT doc_id, ws, len(ws) AS n, h % 10 = 0 AND len(ws) > 0 AS planted, CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) END AS a, h // 10 AS g FROM h),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+t AS (SELECT doc_id, CASE WHEN planted THEN list_transform(range(n), lambda i: ws[CAST(CASE WHEN i >= a THEN a + (i - a) % p ELSE i END AS BIGINT) + 1]) ELSE ws END AS ws FROM p),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM t),
+e AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) AS m FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e) GROUP BY doc_id, q, island HAVING count(*) >= greatest(q, 12 - q)),
+r AS (SELECT doc_id, start, m + q AS length, min(q) AS period FROM s GROUP BY ALL),
+o AS (SELECT doc_id, count(*) AS n_runs, arg_min({{'s': start, 'l': length, 'p': period}}, {{'l': -length, 's': start, 'p': period}}) AS top, string_agg(concat_ws(',', start, length, period) || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS start, top.l AS length, top.p AS period, 1000 * top.l // top.p AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM documents LEFT JOIN o USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+SQL = {"op1_line_dedup": LINE_DEDUP, "op2_substring_dedup": SUBSTRING_DEDUP, "op3_embedding_dedup": EMBEDDING_DEDUP, "op4_mixing": MIXING, "op6_minhash": MINHASH, "op7_exact_dedup": EXACT_DEDUP, "op10_warc": WARC, "op11_decontamination": DECONTAMINATION, "op12_hard_negatives": HARD_NEGATIVES, "op13_periodic_runs": PERIODIC_RUNS}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, embedding_dedup, exact_dedup, hard_negatives, language_id, line_dedup, minhash, mixing, oracles, packing, substring_dedup, token_counts, warc_zip
+from . import decontamination, embedding_dedup, exact_dedup, hard_negatives, language_id, line_dedup, minhash, mixing, oracles, packing, periodic_runs, substring_dedup, token_counts, warc_zip
 
 #: Where the public vocabularies are; None asks the installed package.
 TOKENIZERS = os.environ.get("TRACEWARDEN_TOKENIZERS")
@@ -79,8 +79,18 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.periodic_runs(periodic_runs.planted(_table(spark, sf_dir, "documents")), "doc_id").withColumn("top", periodic_runs.longest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")))
+    milli = F.call_function("div", 1000 * F.col("top.length"), F.col("top.period"))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period", milli.alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_embedding_dedup, op4_mixing, op5_language_id, op6_minhash, op7_exact_dedup, op8_packing, op9_token_counts, op10_warc, op11_decontamination, op12_hard_negatives)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_embedding_dedup, op4_mixing, op5_language_id, op6_minhash, op7_exact_dedup, op8_packing, op9_token_counts, op10_warc, op11_decontamination, op12_hard_negatives, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
