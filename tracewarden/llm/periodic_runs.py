@@ -182,12 +182,12 @@ def _group(data: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray
     return np.diff(first), [row, s - first[row], e - s, q], text, offsets
 
 
-def _detect(text: str, names: list[str], least: int):
+def _detect(text: str, names: list[str], least: int, piece: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             ends, at = np.cumsum(pc.binary_length(part.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
             while at < part.num_rows:
-                n = max(1, int(np.searchsorted(ends, PIECE_BYTES + (ends[at - 1] if at else 0), "right")) - at)
+                n = max(1, int(np.searchsorted(ends, piece + (ends[at - 1] if at else 0), "right")) - at)
                 own = part.slice(at, n)
                 data, offsets = text_buffers(own.column(text))
                 words, (row, *values), kept, edges = _group(data, offsets, least)
@@ -208,7 +208,7 @@ def periodic_runs(docs: DataFrame, *keep: str, least: int = LEAST) -> DataFrame:
     keep = tuple(c for c in keep if c not in names)
     rows = docs.select(*keep, F.col("text").alias("_text"))
     schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in keep), T.StructField("n_words", T.LongType()), T.StructField("runs", T.ArrayType(_RUN)), T.StructField("collapsed", T.StringType())])
-    return rows.mapInArrow(_detect("_text", names, least), schema)
+    return rows.mapInArrow(_detect("_text", names, least, PIECE_BYTES), schema)
 
 
 def longest(found: Column) -> Column:
