@@ -1,32 +1,73 @@
 """Cross-request chains: writes meet sinks and reads through the storage field they share.
 
-Facts have file, line, kind (of storage), field (normalised), evidence and, by side: writes source_expr, vulnerability_type;
+Facts have file, line, kind (of storage), field, evidence and, by side: writes source_expr, vulnerability_type;
 reads template, template_var; sinks template, vulnerability_type, severity, sink_function. Overlap of storage keys comes
-down to equal fields, so the nested loops of the definition are two equi-joins: the best read depends on the sink alone
-and is aggregated per sink first, and only then are writes joined. A pair is a chain, so the output is what it must be.
+down to equal normalised fields, so the nested loops of the definition are two equi-joins: the best read depends on the sink alone
+and is looked up by nearest line first, and only then are writes joined. A pair is a chain, so the output is what it must be.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed, flow, verdicts
-from ..functions.text import lookup
+from ..functions.text import lookup, normal_field
 
 TRACE = "array<struct<kind:string,strength:string,file:string,line:int>>"
 
 
+def _nearest(asks: DataFrame, reads: DataFrame, key: list[str]) -> DataFrame:
+    """asks(key, line, ...) with the read `r` of reads(key, line, r; one a line) that is nearest in line; of two the first by file
+    and line. One ordered pass in each direction, whatever the number of reads."""
+    events = asks.withColumns({"r": F.lit(None).cast(reads.schema["r"].dataType), "_asked": F.lit(True)}).unionByName(reads.withColumn("_asked", F.lit(False)), allowMissingColumns=True)
+    upto = lambda *order: F.last("r", ignorenulls=True).over(W.partitionBy(*key).orderBy(*order, "_asked").rowsBetween(W.unboundedPreceding, 0))
+    rank = lambda c: F.struct(F.abs(F.col(f"{c}.line") - F.col("line")).alias("away"), F.col(f"{c}.file").alias("file"), F.col(f"{c}.line").alias("line"), F.col(c).alias("r"))
+    found = events.withColumns({"_up": upto("line"), "_down": upto(F.desc("line"))}).where("_asked and (_up is not null or _down is not null)")
+    both = F.array_min(F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), rank(c)) for c in ("_up", "_down")))))
+    return found.withColumn("best", both).drop("r", "_asked", "_up", "_down")
+
+
 def best_reads(sinks: DataFrame, reads: DataFrame, template_quirk: bool = True) -> DataFrame:
     """sinks with `read`, the best read of the same field or null: its template ends the sink's, its variable is the field,
-    it is near in line, it comes first. With the quirk a read without a template fits any sink that has one."""
-    ends = F.call_function("endswith", F.col("template"), F.coalesce(F.col("r.template"), F.lit("" if template_quirk else "\0")))
-    fits = (F.coalesce(F.col("template"), F.lit("")) != "") & ends
-    rank = F.struct(F.when(fits, 0).otherwise(1), F.when(F.col("r.template_var") == F.col("field"), 0).otherwise(1), F.abs(F.col("r.line") - F.col("line")), F.col("r.file"), F.col("r.line"))
+    it is near in line, it comes first. With the quirk a read without a template fits any sink that has one.
+
+    Reads stand in classes: those of one template, and all of a field, with the field as their variable or not. A sink looks for
+    the nearest line in the classes of its template's endings and in that of all; sinks alike in field, template and line look once. So a
+    field costs its lines, not reads times sinks."""
     own = [c for c in ("trace", "identity") if c in reads.columns]
-    sides = reads.where("field <> ''").select("field", F.struct("file", "line", "kind", "template", "template_var", "evidence", *own).alias("r"))
-    pairs = sinks.where("field <> ''").join(sides, "field")
-    best = pairs.groupBy("sink_id").agg(F.min_by("r", rank).alias("read"))
-    return sinks.join(best, "sink_id", "left")
+    r = reads.where("field <> ''").select("field", "line", F.when(F.col("template_var") == F.col("field"), 0).otherwise(1).alias("named"), F.struct("file", "line", "kind", "template", "template_var", "evidence", *own).alias("r"))
+    of = F.concat(F.lit("/"), F.coalesce("r.template", F.lit("" if template_quirk else None)))
+    known = r.withColumn("class", F.explode(F.array_compact(F.array(of, F.lit("any"))))).groupBy("field", "class", "named", "line").agg(F.min("r").alias("r"))
+    template = F.coalesce("template", F.lit(""))
+    asks = sinks.where("field <> ''").select("field", template.alias("template"), "line").distinct()
+    endings = F.when(F.col("template") == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length("template") + 1), lambda i: F.concat(F.lit("/"), F.substring(F.col("template"), i, F.length("template")))))
+    asks = asks.withColumn("class", F.explode(F.concat(endings, F.array(F.lit("any"))))).join(known.select("field", "class", "named").distinct(), ["field", "class"])
+    near = _nearest(asks, known, ["field", "class", "named"])
+    rank = F.struct(F.when(F.col("class") == "any", 1).otherwise(0).alias("fits"), F.col("named").alias("named"), F.col("best").alias("best"))
+    best = near.groupBy("field", F.col("template").alias("_template"), "line").agg(F.min(rank).alias("_rank"))
+    found = sinks.withColumn("_template", template).join(best, ["field", "_template", "line"], "left")
+    return found.select(*sinks.columns, F.col("_rank.best.r").alias("read"))
+
+
+#: Pairs of a field that one task may make; more are dealt out.
+PAIRS_A_TASK = 1_000_000
+
+
+def _met(w: DataFrame, s: DataFrame) -> DataFrame:
+    """w(field, w) and s(field, ...) joined by field. Where a field makes many pairs, its writes are dealt over tasks and its sinks go to each."""
+    counts = w.groupBy("field").agg(F.count("*").alias("n")).join(s.groupBy("field").agg(F.count("*").alias("m")), "field")
+    heavy = counts.select("field", F.least(F.ceil(F.col("n") * F.col("m") / PAIRS_A_TASK), F.col("n")).cast("int").alias("_deals")).where("_deals > 1")
+    deals = F.coalesce("_deals", F.lit(1))
+    w = w.join(heavy, "field", "left").withColumn("_deal", F.pmod(F.xxhash64("w.write_id"), deals).cast("int")).drop("_deals")
+    s = s.join(heavy, "field", "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("_deals")
+    return w.join(s, ["field", "_deal"]).drop("_deal")
+
+
+def _first(facts: DataFrame, number: str) -> DataFrame:
+    """Of facts at one place with one field the first: the chains of the others have the ids of its own."""
+    rest = [c for c in facts.columns if c not in ("file", "line", "field")]
+    first = facts.groupBy("file", "line", "field").agg(F.min_by(F.struct(*rest), number).alias("_x"))
+    return first.select("file", "line", "field", "_x.*").select(*facts.columns)
 
 
 def _judged(facts: DataFrame, type_: Column) -> DataFrame:
@@ -39,11 +80,12 @@ def _judged(facts: DataFrame, type_: Column) -> DataFrame:
 
 def chains(writes: DataFrame, reads: DataFrame, sinks: DataFrame, template_quirk: bool = True) -> DataFrame:
     """One row per chain id, scored. writes need write_id and sinks sink_id, orders of facts without repeats."""
-    writes, sinks = (_judged(x, F.col("vulnerability_type")) for x in (writes, sinks))
+    writes, reads, sinks = (x.withColumn("field", normal_field(F.col("field"))) for x in (writes, reads, sinks))
+    writes, sinks = (_judged(_first(x, number), F.col("vulnerability_type")) for x, number in ((writes, "write_id"), (sinks, "sink_id")))
     best = best_reads(sinks, _judged(reads, F.lit("xss")), template_quirk)
     w = writes.where("field <> ''").select("field", F.struct(*(c for c in writes.columns if c != "field")).alias("w"))
     s = best.where("field <> ''").select("field", F.struct(*(c for c in sinks.columns if c != "field")).alias("s"), F.col("read").alias("r"))
-    pairs = w.join(s, "field")
+    pairs = _met(w, s)
     has_read = F.col("r").isNotNull()
     kind = F.coalesce(F.col("s.vulnerability_type"), F.col("w.vulnerability_type"), F.lit("unknown"))
     quality = flow.match_quality(F.col("w.kind"), F.col("r.kind"), F.col("s.kind"), F.col("r.template_var"))
@@ -58,7 +100,7 @@ def chains(writes: DataFrame, reads: DataFrame, sinks: DataFrame, template_quirk
     rows = rows.withColumn("evidence_quality", flow.evidence_quality(F.col("evidence_score"), has_read, F.col("n_strong"), F.col("match_quality")))
     identities = F.array_compact(F.array(*(F.col(f"{x}.identity") for x in "wrs")))
     best_of = F.array_max(F.transform(identities, lambda x, i: F.struct(lookup(x["confidence"], fixed.CONFIDENCE_RANK).alias("rank"), (-i).alias("place"), x["identity"].alias("identity"), x["confidence"].alias("confidence"))))
-    out = rows.select(
+    return rows.select(
         flow.stable_id("DF-", 12, F.col("w.file"), F.col("w.line").cast("string"), flow.field_key(F.col("field")), F.col("s.file"), F.col("s.line").cast("string")).alias("chain_id"),
         F.lit("cross_request").alias("chain_kind"), "vulnerability_type", F.coalesce(F.col("s.severity"), F.lit("high")).alias("severity"), "field",
         F.col("w.file").alias("write_file"), F.col("w.line").alias("write_line"), F.col("w.write_id").alias("write_id"), F.col("w.kind").alias("write_kind"),
@@ -67,8 +109,6 @@ def chains(writes: DataFrame, reads: DataFrame, sinks: DataFrame, template_quirk
         best_of["identity"].alias("storage_identity"), "match_quality", "sanitizer_trace", "n_positive", "n_strong", "n_weak", "breakpoints", "noise_tags", "evidence_score", "evidence_quality",
         ((F.col("evidence_quality") == "weak") | F.array_contains("noise_tags", "sanitized_before_sink")).alias("suppressed"),
     )
-    first = F.min_by(F.struct(*(c for c in out.columns if c != "chain_id")), F.struct("write_id", "sink_id"))
-    return out.groupBy("chain_id").agg(first.alias("x")).select("chain_id", "x.*")
 
 
 def recovered(scanned: DataFrame, known: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Rule scan: rules over source lines, the filter funnel, one hit a line, order of work.
 
-Rules are a small table (at most MOST_RULES, checked); lines are the large one. All rules of a file ending go into one
-projection of foldable predicates, so lines are read once, nothing is joined, and only hits go on.
+Rules are a small table (at most MOST_RULES, checked); lines are the large one. One expression finds the literals of all rules
+in a line, and only the rules that those allow are tested on it, so what a line costs hardly grows with the rules. Rules that
+require no literal are foldable predicates of the same projection.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..functions import fixed, paths, verdicts
+from . import literals
 
 MOST_RULES = 5_000
 STAGES = ("filtered_by_path", "filtered_by_scope", "filtered_by_comment", "filtered_by_dynamic", "filtered_by_extra", "kept")
@@ -43,10 +45,12 @@ class Rule:
 SCHEMA = "rule_ord int, rule_id string, function string, pattern string, language string, vulnerability_type string, severity string, needs_dynamic boolean, extra array<string>, level string, semantic_tags array<string>, required_evidence array<string>, repair_hints array<string>"
 
 
-def table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    """The rules as a table, numbered in their order."""
+def table(spark: SparkSession, rules: list[Rule], endings: str = "") -> DataFrame:
+    """The rules as a table, numbered in their order, with their endings if a column for them is named."""
     rows = [(i, r.id, r.function, r.pattern, r.language, r.vulnerability_type, r.severity, r.needs_dynamic, list(r.extra), r.level, list(r.semantic_tags), list(r.required_evidence), list(r.repair_hints)) for i, r in enumerate(rules)]
-    return spark.createDataFrame(rows, SCHEMA)
+    if not endings:
+        return spark.createDataFrame(rows, SCHEMA)
+    return spark.createDataFrame([(*row, list(r.endings)) for row, r in zip(rows, rules, strict=True)], f"{SCHEMA}, {endings} array<string>")
 
 
 def load(rules: DataFrame) -> list[Rule]:
@@ -87,20 +91,22 @@ def matched(lines: DataFrame, rules: list[Rule]) -> DataFrame:
     first match, from 0) and matched_text. Patterns see Unicode letters as word characters."""
     if len(rules) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
-    by_endings = defaultdict(list)
-    for i, r in enumerate(rules):
-        by_endings[r.endings].append((i, r))
-    parts = []
+    allowed, everywhere = literals.candidates(F.col("code"), [r.pattern for r in rules])
+    parts, by_endings = [allowed], defaultdict(list)
+    for i in everywhere:
+        by_endings[rules[i].endings].append(i)
     for endings, own in by_endings.items():
-        found = F.array_compact(F.array(*(F.when(F.rlike("code", F.lit(f"(?U){r.pattern}")), F.lit(i)) for i, r in own)))
+        found = F.array_compact(F.array(*(F.when(F.rlike("code", F.lit(f"(?U){rules[i].pattern}")), F.lit(i)) for i in own)))
         none = F.array().cast("array<int>")
         parts.append(F.when(paths.suffix(F.col("file")).isin(*endings), found).otherwise(none) if endings else found)
-    spread = lines.withColumn("rule_ord", F.explode(F.concat(*parts) if parts else F.array().cast("array<int>")))
-    hits = spread.join(F.broadcast(table(lines.sparkSession, rules)), "rule_ord")
-    text = F.call_function("regexp_extract", F.col("code"), F.concat(F.lit("(?U)"), F.col("pattern")), F.lit(0))
-    # what a lazy prefix takes before the first match; the lookahead leaves the match its own context
-    before = F.call_function("regexp_extract", F.col("code"), F.concat(F.lit("(?sU)^(.*?)(?="), F.col("pattern"), F.lit(")")), F.lit(1))
-    return hits.withColumn("matched_text", text).withColumn("column", F.char_length(before))
+    spread = lines.withColumn("rule_ord", F.explode(F.concat(*parts)))
+    known = table(lines.sparkSession, rules, "_endings")
+    pattern = F.concat(F.lit("(?U)"), F.col("pattern"))
+    hits = spread.join(F.broadcast(known), "rule_ord").where((F.size("_endings") == 0) | F.array_contains("_endings", paths.suffix(F.col("file")))).drop("_endings")
+    hits = hits.where(F.call_function("rlike", F.col("code"), pattern))
+    # what stands before the first match; an empty match at the start parts nothing off
+    before = F.when(F.call_function("regexp_instr", F.col("code"), pattern) == 1, 0).otherwise(F.char_length(F.get(F.split("code", pattern, F.lit(2)), F.lit(0))))
+    return hits.withColumn("matched_text", F.call_function("regexp_extract", F.col("code"), pattern, F.lit(0))).withColumn("column", before)
 
 
 def is_dynamic(code: Column) -> Column:

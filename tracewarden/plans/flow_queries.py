@@ -198,6 +198,19 @@ def chain_cap(spark, sf_dir):
     return found.select("sink", F.array_join("path", ">").alias("path"), "place")
 
 
+@query(f"""WITH RECURSIVE {S.CALLS_SQL[:-1]} UNION ALL {_LOOPED}), walk AS (
+ SELECT p_partkey AS sink, c.caller AS node, [c.caller] AS path, [c.child_ord] AS trail, 1 AS n, c.ends FROM part JOIN calls c ON c.callee = p_partkey
+ UNION ALL SELECT w.sink, c.caller, list_append(w.path, c.caller), list_append(w.trail, c.child_ord), w.n + 1, c.ends FROM walk w JOIN calls c ON c.callee = w.node WHERE w.n < 5 AND NOT w.ends AND NOT list_contains(w.path, c.caller)),
+up AS (SELECT callee AS node, list(caller) AS callers FROM calls GROUP BY callee),
+ended AS (SELECT sink, path, n, min(trail) AS trail FROM walk LEFT JOIN up USING (node) WHERE n >= 5 OR ends OR callers IS NULL OR list_has_any(callers, path) GROUP BY ALL)
+SELECT sink, array_to_string(list_append(list_reverse(path), sink), '>') AS path, CAST(row_number() OVER (PARTITION BY sink ORDER BY n DESC, trail) AS INT) AS place FROM ended QUALIFY place <= 3
+UNION ALL SELECT p_partkey, CAST(p_partkey AS VARCHAR), 1 FROM part WHERE p_partkey NOT IN (SELECT callee FROM calls)""")
+def chain_longest(spark, sf_dir):
+    wrapped = S.table(spark, sf_dir, "part").where("p_partkey >= 4").selectExpr("CAST(floor(p_partkey / 4) AS BIGINT) AS caller", "p_partkey AS callee", "2 AS child_ord", "false AS ends")
+    found = chains.longest_chains(_sinks(spark, sf_dir), S.calls(spark, sf_dir).unionByName(wrapped), most=3, depth=5)
+    return found.select("sink", F.array_join("path", ">").alias("path"), "place")
+
+
 @query(f"""WITH RECURSIVE {S.CALLS_SQL}, walk AS (SELECT callee AS root, caller AS helper, 1 AS n, [child_ord] AS trail FROM calls UNION ALL SELECT w.root, c.caller, w.n + 1, list_append(w.trail, c.child_ord) FROM walk w JOIN calls c ON c.callee = w.helper WHERE w.n < 3),
 f AS (SELECT root, helper, min({{'n': n, 't': trail}}) AS x FROM walk WHERE root <> helper GROUP BY ALL), p AS (SELECT root, helper, CAST(x.n AS INT) AS depth, CAST(row_number() OVER (PARTITION BY root ORDER BY x.n, x.t, helper) AS INT) AS place FROM f) SELECT * FROM p WHERE place <= 8""")
 def helper_bfs(spark, sf_dir):

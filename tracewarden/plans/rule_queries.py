@@ -82,11 +82,6 @@ def rule_rank_topk(spark, sf_dir):
     return top.select(F.row_number().over(W.orderBy(*rules.work_order())).alias("place"), "file", "line", "rule_id")
 
 
-@query(f"WITH {RULES_SQL}, kinds AS (SELECT language, vulnerability_type, count(*) AS n FROM rules GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY n DESC, vulnerability_type) AS place FROM kinds) SELECT language, CAST(sum(n) AS BIGINT) AS rules, count(*) AS kinds, string_agg(CASE WHEN place <= 4 THEN concat(vulnerability_type, ':', n) END, ', ' ORDER BY place) AS top FROM ranked GROUP BY language")
-def rule_overview_top4(spark, sf_dir):
-    return rules.overview(rules.table(spark, RULES))
-
-
 @query(f"WITH {S.LINES_SQL} SELECT file, line, CAST(len(regexp_extract_all(code, '(?i)[a-z]*tion')) AS INT) AS n_matches FROM lines WHERE regexp_matches(code, '(?i)[a-z]*tion')")
 def grep_matches(spark, sf_dir):
     return rules.grep(S.lines(spark, sf_dir), "[a-z]*tion", ignore_case=True).select("file", "line", "n_matches")
@@ -260,11 +255,6 @@ def slugs_and_masks(spark, sf_dir):
     return rows.groupBy("path", text.slug(F.col("path")).alias("slug"), text.masked(F.col("path")).alias("masked")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {RULES_SQL}, bad AS (SELECT * FROM rules UNION ALL SELECT 90, 'never-called', '', '', 'x', 'xss', 'urgent', false, [], [] UNION ALL SELECT 91, 'broken', 'f', '(a', 'x', 'xss', 'low', false, ['b', '[c'], []) SELECT rule_id, 'repeated id' AS problem FROM bad GROUP BY rule_id HAVING count(*) > 1 UNION ALL SELECT rule_id, 'no function' FROM bad WHERE trim(function) = '' UNION ALL SELECT rule_id, 'no pattern' FROM bad WHERE trim(pattern) = '' UNION ALL SELECT rule_id, 'bad severity' FROM bad WHERE severity NOT IN ({listed(fixed.SEVERITIES)}) UNION ALL SELECT rule_id, unnest(['bad pattern', 'bad extra pattern']) FROM bad WHERE rule_ord = 91")
-def rule_violations(spark, sf_dir):
-    return rules.violations(rules.table(spark, [*RULES, rules.Rule("never-called", "", "", "x", "xss", "urgent"), rules.Rule("broken", "f", "(a", "x", "xss", "low", extra=("b", "[c"))]))
-
-
 @query(f"SELECT vulnerability_type, {mapped('vulnerability_type', fixed.CWES, quoted(fixed.UNKNOWN_CWE))} AS cwe, count(*) AS n FROM (SELECT {S.FINDINGS['vulnerability_type']} AS vulnerability_type FROM documents) GROUP BY ALL")
 def cwe_default(spark, sf_dir):
     return S.findings(spark, sf_dir).groupBy("vulnerability_type", verdicts.cwe(F.col("vulnerability_type")).alias("cwe")).agg(F.count("*").alias("n"))

@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
+from ..sources.shared import scratch
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share, below spark.checkpoint.dir. Only in local mode may that be unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if spark.conf.get("spark.master", "").split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tracewarden-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+__all__ = ["scratch", "write_tree"]
 
 
 def write_tree(rows: DataFrame, root: str) -> int:
