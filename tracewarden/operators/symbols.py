@@ -1,4 +1,9 @@
-"""Functions in files: spans, the one around a line, call sites, includes, code slices."""
+"""Functions in files: spans, the one around a line, call sites, includes, code slices.
+
+Lines and spans meet by equal keys, never by file alone. A place with a few lines around it becomes their numbers. A span of any width
+goes into at most two bins of the first power of two that is as wide; a line looks into one bin of each width that
+its file's spans have, so a file costs its lines and spans, not their product.
+"""
 
 from __future__ import annotations
 
@@ -19,21 +24,38 @@ def spans(lines: DataFrame, function_pattern: str, class_pattern: str | None = N
     return found.select("file", F.concat_ws(".", "class", "name").alias("function"), "name", "class", F.col("line").alias("start"), F.coalesce(F.col("next") - 1, F.col("last")).alias("end"))
 
 
+def _binned(at: Column, level: Column) -> Column:
+    return F.floor(at / F.pow(F.lit(2.0), level)).cast("long")
+
+
+def inside(points: DataFrame, spans_of: DataFrame) -> DataFrame:
+    """points(file, line, ...) joined with the spans(file, start, end, ...) of their file that hold the line."""
+    level = F.ceil(F.log2(F.greatest(F.col("end") - F.col("start") + 1, F.lit(1)).cast("double"))).cast("int")
+    leveled = spans_of.where("start <= end").withColumn("_level", level)
+    bins = leveled.withColumn("_bin", F.explode(F.array_distinct(F.array(_binned(F.col("start"), F.col("_level")), _binned(F.col("end"), F.col("_level"))))))
+    widths = leveled.groupBy("file").agg(F.collect_set("_level").alias("_levels"))  # 32 at most
+    asked = points.join(widths, "file").withColumn("_level", F.explode("_levels")).withColumn("_bin", _binned(F.col("line"), F.col("_level"))).drop("_levels")
+    return asked.join(bins, ["file", "_level", "_bin"]).where("start <= line and line <= end").drop("_level", "_bin")
+
+
 def enclosing(hits: DataFrame, symbols: DataFrame, keys: list[str]) -> DataFrame:
-    """hits (unique by keys, with file and line) with function, start and end of the tightest span around the line, the first
-    by name of equal ones; <module> without a span where there is none."""
-    inside = hits.join(symbols.select("file", "function", "start", "end"), "file").where("start <= line and line <= end")
-    best = inside.groupBy(*keys).agg(F.min(F.struct((F.col("end") - F.col("start")).alias("width"), "function", "start", "end")).alias("_best"))
-    out = hits.join(best, keys, "left")
+    """hits (with file and line) with function, start and end of the tightest span around the line, the first by name of equal
+    ones; <module> without a span where there is none. Hits on one line look once."""
+    found = inside(hits.select("file", "line").distinct(), symbols.select("file", "function", "start", "end"))
+    best = found.groupBy("file", "line").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("width"), "function", "start", "end")).alias("_best"))
+    out = hits.join(best, ["file", "line"], "left")
     return out.select(*hits.columns, F.coalesce("_best.function", F.lit("<module>")).alias("function"), F.col("_best.start").alias("start"), F.col("_best.end").alias("end"))
 
 
 def call_sites(nodes: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, line and code of the first line within a node's span (file, start, end) that calls its callee."""
+    """keys, line and code of the first line within a node's span (file, start, end) that calls its callee. Lines offer the
+    names that stand before their brackets; a node meets those that end as its callee does."""
     method = F.substring_index("callee", ".", -1)
-    wanted = nodes.where((method != "") & (method != "<module>")).withColumn("_call", F.concat(F.lit("\\b\\Q"), method, F.lit("\\E\\s*\\(")))
+    wanted = nodes.where((method != "") & (method != "<module>")).withColumn("_call", F.concat(F.lit("\\b\\Q"), method, F.lit("\\E\\s*\\("))).withColumn("_name", F.regexp_extract(method, r"(\w*)$", 1))
+    names = F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(r"(\w*)\s*\("), F.lit(1))))
     till = F.coalesce("end", F.col("start") + fixed.SLICE_LINES)
-    found = wanted.join(lines.select("file", "line", "code"), "file").where((F.col("line") >= F.col("start")) & (F.col("line") <= till) & F.call_function("rlike", F.col("code"), F.col("_call")))
+    called = lines.where(F.contains("code", F.lit("("))).select("file", "line", "code", names.alias("_name"))
+    found = wanted.join(called, ["file", "_name"]).where((F.col("line") >= F.col("start")) & (F.col("line") <= till) & F.call_function("rlike", F.col("code"), F.col("_call")))
     best = found.groupBy(*keys).agg(F.min(F.struct("line", "code")).alias("best"))
     return best.select(*keys, "best.line", F.left(F.btrim("best.code"), F.lit(240)).alias("code"))
 
@@ -65,14 +87,19 @@ def shortened(code: Column, most: int = fixed.SLICE_LINES) -> Column:
 
 def slices(functions: DataFrame, lines: DataFrame, keys: list[str], most: int = fixed.SLICE_LINES) -> DataFrame:
     """keys and code_slice of each function (file, start, end). Lines of a span are gathered by key, at most a file's."""
-    inside = functions.select(*keys, *(c for c in ("file", "start", "end") if c not in keys)).join(lines.select("file", "line", "code"), "file").where("start <= line and line <= end")
+    held = inside(lines.select("file", "line", "code"), functions.select(*keys, *(c for c in ("file", "start", "end") if c not in keys)))
     code = F.transform(F.array_sort(F.collect_list(F.struct("line", "code"))), lambda x: x["code"])
-    return inside.groupBy(*keys).agg(shortened(code, most).alias("code_slice"))
+    return held.groupBy(*keys).agg(shortened(code, most).alias("code_slice"))
 
 
 def windows(locations: DataFrame, lines: DataFrame, keys: list[str], before: int, after: int) -> DataFrame:
     """keys, line_start, line_end and numbered code around each location (file, line)."""
-    around = locations.select(*keys, *(c for c in ("file",) if c not in keys), F.col("line").alias("_focus") if "line" not in keys else F.col("line").alias("_focus"))
-    near = around.join(lines.select("file", F.col("line").alias("_line"), "code"), "file").where((F.col("_line") >= F.col("_focus") - before) & (F.col("_line") <= F.col("_focus") + after))
+    around = locations.select(*keys, *(c for c in ("file",) if c not in keys), F.explode(F.sequence(F.col("line") - before, F.col("line") + after)).alias("_line"))
+    near = around.join(lines.select("file", F.col("line").alias("_line"), "code"), ["file", "_line"])
     rows = F.array_sort(F.collect_list(F.struct("_line", F.concat_ws(": ", F.col("_line").cast("string"), "code").alias("shown"))))
     return near.groupBy(*keys).agg(F.min("_line").alias("line_start"), F.max("_line").alias("line_end"), F.array_join(F.transform(rows, lambda x: x["shown"]), "\n").alias("code"))
+
+
+def first_rows(rows: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
+    """The first rows of each key, with their place from 1. Spark keeps `most` a key in each task before it shuffles."""
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= most)

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions import fixed, paths, text, verdicts
 from ..operators import catalog, chains, packs, review, rules, telemetry, trees
-from ..sources import files, sinks
+from ..sources import files, sinks, walk
 from ..streaming import events as streams
 from . import standins as S
 from .finding_queries import FULL_SQL, _findings
@@ -40,6 +40,30 @@ def tree_sources(spark, sf_dir):
     return files.sources(spark, _tree(spark, sf_dir)).select("file", "ext", F.sha2("text", 256).alias("text_sha256"))
 
 
+@query(f"""WITH {S.LINES_SQL.replace('string_split(text, chr(10))', "string_split(coalesce(text, ''), chr(10))")} SELECT file, line, md5(code) AS code FROM lines WHERE {_SOURCE} AND ({SKIP_SQL}) IS NULL""")
+def tree_source_lines(spark, sf_dir):
+    root = _tree(spark, sf_dir)
+    return walk.lines(files.scannable(spark, root), root, 5_000).withColumn("code", F.md5("code"))
+
+
+_SHOWN_SQL = "list_transform(range(1, len(parts) + 1), lambda i: {'last': i = len(parts), 'folded': lower(parts[i]), 'name': parts[i]})"
+
+
+@query(f"WITH {S.FILES_SQL}, l AS (SELECT file, string_split(file, '/') AS parts FROM files WHERE NOT ({_DENIED})) SELECT file, row_number() OVER (ORDER BY {_SHOWN_SQL}) AS place FROM l")
+def tree_in_order(spark, sf_dir):
+    listed = files.listing(spark, _tree(spark, sf_dir)).select("file")
+    return packs.ranks(listed, [walk.tree_order(F.col("file"))], "place", scratch(spark, "tree-order")).select("file", "place")
+
+
+@query(f"WITH {S.FILES_SQL} SELECT file, CAST(strlen({_BODY}) AS BIGINT) AS size, strlen({_BODY}) > {files.MOST_BYTES} AS truncated, sha256(text) AS text_sha256 FROM files ORDER BY strlen({_BODY}) DESC, file LIMIT 1")
+def file_viewed(spark, sf_dir):
+    """The largest file of a tree, as the viewer shows it."""
+    largest = S.files(spark, sf_dir).orderBy(F.desc(F.octet_length(F.coalesce("text", F.lit("")))), "file").select("file").first()["file"]
+    parts = largest.split("/")
+    asked = "/".join([*parts[:-1], ".", "gone", "..", parts[-1]])
+    return files.viewed(spark, _tree(spark, sf_dir), asked).select("file", "size", "truncated", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query(f"WITH {S.FILES_SQL}, p AS (SELECT string_split(file, '/') AS parts FROM files), u AS (SELECT parts, unnest(range(1, len(parts))) AS k FROM p) SELECT (SELECT count(*) FROM files) AS files, count(DISTINCT array_to_string(parts[1:k], '/')) AS dirs FROM u")
 def tree_counts(spark, sf_dir):
     return trees.counts(S.files(spark, sf_dir))

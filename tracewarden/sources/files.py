@@ -5,28 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import paths, text
+from . import walk
 
 #: Bytes of a file that the viewer shows; the rest only sets `truncated`. Scans read whole files.
 MOST_BYTES = 2 << 20
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """file (relative), size, modified of everything below root that isn't denied; contents are not read."""
-    at = root.rstrip("/") + "/"
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(at).select("path", "length", "modificationTime")
-    base = F.lit(at.split("://")[-1].removeprefix("file:").rstrip("/") + "/")
-    whole = F.regexp_replace(F.col("path"), r"^[a-z]+:(//[^/]*)?(?=/)", "")
-    file = F.substring(whole, F.instr(whole, base) + F.length(base), F.length(whole))
-    rows = found.select(file.alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-    return rows.where(~paths.denied_dir(F.col("file")) & paths.included_file(F.col("file")))
-
-
-def _contents(spark: SparkSession, root: str) -> DataFrame:
-    at = root.rstrip("/") + "/"
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(at)
-    base = F.lit(at.split("://")[-1].removeprefix("file:").rstrip("/") + "/")
-    whole = F.regexp_replace(F.col("path"), r"^[a-z]+:(//[^/]*)?(?=/)", "")
-    return found.withColumn("file", F.substring(whole, F.instr(whole, base) + F.length(base), F.length(whole)))
+    """file (relative), size, modified of everything below root that isn't denied; denied folders aren't entered, symbolic links
+    not followed, and no file is opened. walk.tree_order has the order in which a tree is shown."""
+    found = walk.names(spark, root, lambda folder: ~paths.denied_dir(folder))
+    return found.where(~paths.denied_dir(F.col("file")) & paths.included_file(F.col("file")))
 
 
 def _path() -> Column:
@@ -39,16 +28,30 @@ def _text(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
+def scannable(spark: SparkSession, root: str, target: str | None = None) -> DataFrame:
+    """file, size of the scannable sources below root, within target: skipped folders aren't entered, and no file is opened."""
+    start = "" if target in (None, "", ".") else walk.contained(target)
+    found = walk.names(spark, root, lambda folder: paths.skip_reason(folder).isNull(), start)
+    return found.where(paths.is_source(F.col("file")) & paths.skip_reason(F.col("file")).isNull()).select("file", "size")
+
+
 def sources(spark: SparkSession, root: str, target: str | None = None) -> DataFrame:
-    """file, ext, language, text (the whole of it) of the scannable sources below root, within target."""
-    kept = _contents(spark, root).where(paths.is_source(F.col("file")) & paths.skip_reason(F.col("file")).isNull() & paths.in_scope(F.col("file"), target))
+    """file, ext, language, text (the whole of it) of the scannable sources below root, within target. Other files aren't opened."""
+    kept = walk.contents(scannable(spark, root, target), root)
     return kept.select("file", paths.extension(F.col("file")).alias("ext"), paths.scan_language(F.col("file")).alias("language"), _text(F.col("content")).alias("text"))
 
 
+def source_lines(spark: SparkSession, root: str, target: str | None = None) -> DataFrame:
+    """file, line, code of the scannable sources, large files by byte ranges."""
+    return walk.lines(scannable(spark, root, target), root)
+
+
 def viewed(spark: SparkSession, root: str, file: str) -> DataFrame:
-    """file, size, modified, text, truncated of one file below root as the viewer shows it: its first MOST_BYTES bytes."""
-    body = _text(F.substring(F.col("content"), F.lit(1), F.lit(MOST_BYTES)))
-    return _contents(spark, root).where(F.col("file") == file).select("file", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), body.alias("text"), (F.col("length") > MOST_BYTES).alias("truncated"))
+    """file, size, modified, text, truncated of one file below root as the viewer shows it: its first MOST_BYTES bytes. Only its
+    folder is listed and only it is opened; a path that leaves root is an error."""
+    file = walk.contained(file)
+    found = walk.names(spark, root, lambda _: F.lit(False), file.rpartition("/")[0]).where(F.col("file") == file)
+    return walk.contents(found, root, MOST_BYTES).select("file", "size", "modified", _text(F.col("content")).alias("text"), (F.col("size") > MOST_BYTES).alias("truncated"))
 
 
 def lines(files: DataFrame, body: str = "text") -> DataFrame:
