@@ -137,6 +137,12 @@ def tree_compaction(spark, sf_dir):
     return trees.compacted(S.files(spark, sf_dir), 2, 10, 4)
 
 
+@query()
+def tree_policy_sizes(spark, sf_dir):
+    """Every directory that any policy shows, with what is left out and its characters; tests hold it against whole JSON texts."""
+    return trees.nodes(S.files(spark, sf_dir), (trees.WHOLE, *fixed.TREE_POLICIES, *trees.FALLBACKS))
+
+
 def _profiled(spark, sf_dir):
     kept = _staged(spark, sf_dir).where("stage = 'kept'").withColumn("enclosing", F.lit("<module>"))
     return profiles.profiled(kept.withColumn("language", F.when(F.endswith("file", F.lit("php")), "php").when(F.endswith("file", F.lit("js")), "javascript").otherwise("python")))
