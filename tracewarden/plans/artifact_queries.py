@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Window as W, functions as F
@@ -336,6 +337,39 @@ def due_scans(spark, sf_dir):
     return streams.due(rows, F.lit("1998-04-25 08:30:00").cast("timestamp")).select("scan_id", "scheduled_at")
 
 
+@query(f"WITH {S.SCANS_SQL}, d AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _DUE.items())} FROM scans), t AS (SELECT scan_id, TRY_CAST(scheduled_at AS TIMESTAMP) AS due FROM d WHERE status IN ('pending', 'stopped')) SELECT scan_id, CASE WHEN due <= TIMESTAMP '1995-01-01 00:00:00' THEN 0 WHEN due <= TIMESTAMP '1997-01-01 00:00:00' THEN 1 ELSE 2 END AS batch FROM t WHERE due <= TIMESTAMP '1998-04-25 08:30:00'")
+def scans_claimed(spark, sf_dir):
+    """Three ticks of the scheduler, the second of which runs twice: every scan is claimed once, by the first tick after its time."""
+    rows, claims = S.scans(spark, sf_dir).selectExpr(*(f"{e} AS {n}" for n, e in _DUE.items())), scratch(spark, "claims")
+    times = ("1995-01-01 00:00:00", "1997-01-01 00:00:00", "1998-04-25 08:30:00")
+    for tick in (0, 1, 1, 2):
+        streams.claim(rows, claims, tick, F.lit(times[tick]).cast("timestamp"))
+    return spark.read.option("basePath", claims).parquet(claims).select("scan_id", F.col("batch").cast("int").alias("batch"))
+
+
+@query("WITH e AS (SELECT concat('r', user_id % 7) AS run, concat(event_type, ' ', event_id) AS data FROM events) SELECT run, 'line' AS type, data FROM e UNION ALL SELECT run, 'end', concat('done after ', count(*)) FROM e GROUP BY run")
+def stream_run_live(spark, sf_dir):
+    """Runs whose log is partly there when the stream starts; the rest, and what says that they have ended, comes while it runs."""
+    log, ended, out = (scratch(spark, n) for n in ("live", "live-ends", "live-rows"))
+    rows = S.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("r"), F.col("user_id") % 7).alias("run"), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("value"))
+    ends = rows.groupBy("run").agg(F.count("*").alias("n_lines")).withColumn("status", F.concat(F.lit("done after "), F.col("n_lines").cast("string")))
+    rows.where("event_id % 3 = 0").drop("event_id").write.mode("append").json(log)
+    ends.where("false").write.mode("append").json(ended)
+    lines = spark.readStream.schema("run string, value string").option("maxFilesPerTrigger", 4).json(log)
+    said = spark.readStream.schema("run string, status string, n_lines long").json(ended)
+    running = streams.to_table(streams.followed(lines, said), out, scratch(spark, "live-log"), every="1 second")
+    try:
+        ends.write.mode("append").json(ended)  # the end is told before the last lines are there
+        for part in (1, 2):
+            rows.where(F.col("event_id") % 3 == part).drop("event_id").write.mode("append").json(log)
+        found, runs, till = spark.read.schema("run string, type string, data string"), ends.count(), time.monotonic() + 300
+        while found.parquet(out).where("type = 'end'").count() < runs and time.monotonic() < till:
+            time.sleep(1)
+    finally:
+        running.stop()
+    return found.parquet(out)
+
+
 @query("SELECT 'line' AS type, concat(event_type, ' ', CAST(event_id AS STRING)) AS data FROM events UNION ALL SELECT 'end', 'done'")
 def stream_run_log(spark, sf_dir):
     """What is there first, then what comes, then the status."""
