@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracewarden.llm import language_id, line_dedup, minhash, mixing, packing
 from tracewarden.llm.queries import vocabulary
-from tracewarden.llm.shared import mark, release, stored
+from tracewarden.llm.shared import release, run_tables, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MIN_SCORE = 0.5
@@ -57,8 +57,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    since = mark()
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
-        release(spark, since, docs)
+    with run_tables() as written:
+        for name, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir), name)
+            # the last table is what this stage has written; no other is read again
+            release(spark, written[:-1])
+            del written[:-1]
     return docs

@@ -75,6 +75,18 @@ def test_substring_dedup(spark, docs):
     assert out == brute.substring_dedup([(d[0], d[1]) for d in docs])
 
 
+def test_blocks_of_many_tasks_and_rows(monkeypatch):
+    """Row numbers stay in 63 bits for any task, and a block closes by rows too."""
+    rows = [(i, None if i % 3 else "a b") for i in range(700)]
+    part = pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows]), "text": pa.array([r[1] for r in rows])})
+    monkeypatch.setattr(substring_dedup, "ROW_BITS", 6)
+    monkeypatch.setattr(substring_dedup.TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: (1 << 27) - 1})()))
+    blocks = [b.to_pylist()[0] for b in substring_dedup._blocks(iter([part, part]))]
+    assert [len(b["doc_ids"]) for b in blocks] == [64] * 21 + [56] and len({b["block"] for b in blocks}) == 22
+    assert sum((b["doc_ids"] for b in blocks), []) == [r[0] for r in rows] * 2
+    assert max(b["block"] for b in blocks) << 16 < 1 << 63
+
+
 def test_line_dedup_leaves_other_columns(spark):
     rows = [(i, f"common\nown {i}", None, f"s{i}", None) for i in range(6)]
     own = {"_id": 99, "_key": 98, "_gone": 97, "_out": 96, "_id0": 95, "_KEY0": 94, "line": 93}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections import Counter, defaultdict
 
 import brute
@@ -9,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
-from tracewarden.llm import language_id, queries
+from tracewarden.llm import language_id, queries, shared
 from tracewarden.llm.line_dedup import MIN_SITES
 from tracewarden.llm.shared import stored
 
@@ -90,3 +91,19 @@ def test_everything_survives_nothing(spark, sf, tmp_path):
         for name, stage in corpus_pipeline.STAGES:
             docs = stored(stage(spark, docs, str(tmp_path)), name)
         assert sorted((r["doc_id"] for r in docs.collect()), key=str, reverse=True) == expected
+
+
+def test_runs_side_by_side(spark, sf):
+    """Two runs in threads of one driver, beside a table that neither has written: the same rows, and nothing of the others is deleted."""
+    at, results = sf("0.001"), {}
+    other = shared.stored(spark.range(10), "other")
+
+    def go(n):
+        results[n] = sorted(map(tuple, corpus_pipeline.run(spark, at).collect()), key=repr)
+
+    threads = [threading.Thread(target=go, args=(n,)) for n in (0, 1)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert results[0] and results[0] == results[1] and other.count() == 10

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -30,30 +32,33 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Folders that this process has named, oldest first.
-_PATHS: list[str] = []
+#: Folders that the run around this code has named, oldest first; none outside a run. Each thread has its own.
+_RUN: ContextVar[list[str] | None] = ContextVar("run", default=None)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    _PATHS.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _PATHS[-1]
+    path, run = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", _RUN.get()
+    if run is not None:
+        run.append(path)
+    return path
 
 
-def mark() -> int:
-    """To be given to release(): what is named from now on."""
-    return len(_PATHS)
+@contextmanager
+def run_tables() -> Iterator[list[str]]:
+    """The list of the folders that are named within, by this thread and until the end of the block."""
+    token = _RUN.set([])
+    try:
+        yield _RUN.get()
+    finally:
+        _RUN.reset(token)
 
 
-def release(spark: SparkSession, since: int, keep: DataFrame | None = None) -> None:
-    """Deletes the tables written since a mark, but for those that `keep` reads. Whatever else still reads them must have been
-    written out before."""
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes a run's tables. Whatever still reads them must have been written out before."""
     jvm = spark.sparkContext._jvm
-    needed = keep.inputFiles() if keep is not None else []
-    for path in _PATHS[since:]:
-        if not any(f"{path.rstrip('/').rsplit('/', 1)[-1]}/" in f for f in needed):
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-            _PATHS.remove(path)
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def unused(columns: list[str], stem: str) -> str:

@@ -35,15 +35,15 @@ WIDTH = 20
 BLOCK_BYTES, TABLE_BYTES, BUCKET_EDGES = 4 << 20, 16 << 20, 2_000_000
 #: Spark refuses more than 100,000 table buckets; beyond this many they grow instead.
 MOST_BUCKETS = 50_000
-#: Rows of a block are numbered below 2 ** ROW_BITS.
-ROW_BITS = 24
+#: Rows of a block and blocks of a task are numbered below 2 to these; 27 bits remain for tasks.
+ROW_BITS, TASK_BITS = 16, 20
 NULL_ID = -(1 << 63)
 
 _BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("bounds", pa.list_(pa.int64())), ("data", pa.binary())])
 
 
 def _blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    task, n = TaskContext.get().partitionId() << 20, 0
+    task, n = TaskContext.get().partitionId() << TASK_BITS, 0
     ids: list = []
     sizes: list[int] = []
     pieces: list[bytes] = []
@@ -57,7 +57,8 @@ def _blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc_ids, at = part.column("doc_id").to_pylist(), 0
         while at < len(doc_ids):
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES - total, "right")) - 1)
-            if total and offsets[to] - offsets[at] + total > BLOCK_BYTES:
+            to = min(to, at + (1 << ROW_BITS) - len(ids))
+            if to == at or (total and offsets[to] - offsets[at] + total > BLOCK_BYTES):
                 yield close()
                 ids, sizes, pieces, total, n = [], [], [], 0, n + 1
                 continue
