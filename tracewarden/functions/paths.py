@@ -104,6 +104,36 @@ def project_part(path: Column, part: int) -> Column:
     return F.when(fit, F.get(parts, F.lit(part - 1)))
 
 
+def resolved_parts(path: Column) -> Column:
+    """The parts of a path without empty ones and dots; each .. takes back the part before it, at the root nothing."""
+    up = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+    step = lambda done, x: F.when(x.isin("", "."), done).when(x == "..", up(done)).otherwise(F.array_append(done, x))
+    return F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+
+
+def contained(raw: Column, root: str, otherwise: str = ".", home: str | None = None) -> Column:
+    """A told path, quoted or with either slash, relative to root (absolute): the root itself is `.`. Paths below repo/ are below
+    home, others that start with a slash below root unless root leads them. What leaves root becomes `otherwise`, or `.` if
+    that leaves root too; case counts inside root, but a path that begins like it in another case isn't put below it again."""
+    base = [x for x in root.split("/") if x]
+    text = slashed(F.btrim(F.btrim(F.coalesce(F.nullif(raw, F.lit("")), F.lit(otherwise)), F.lit(" \t\r\n")), F.lit("'\"")))
+    below = lambda folder, x: F.concat(F.lit(folder.rstrip("/") + "/"), x)
+    home = root.rsplit("/", 1)[0] if home is None else home
+    whole = (
+        F.when(F.startswith(F.lower(text), F.lit(root.lower())), text)
+        .when(F.rlike(text, F.lit("^.:")), below("/..", F.lit("")))
+        .when(F.rlike(text, F.lit("^/?repo/")), below(home, text))
+        .otherwise(below(root, text))
+    )
+
+    def within(path: Column) -> Column:
+        parts = resolved_parts(path)
+        rest = F.array_join(F.slice(parts, F.lit(len(base) + 1), F.size(parts)), "/")
+        return F.when(F.slice(parts, 1, len(base)) == F.array(*map(F.lit, base)), F.coalesce(F.nullif(rest, F.lit("")), F.lit(".")))
+
+    return F.when(text.isin("", ".", "./"), ".").otherwise(F.coalesce(within(whole), within(F.lit(f"{root}/{otherwise}")), F.lit(".")))
+
+
 def glob(path: Column, pattern: str) -> Column:
     """Whether path fits a glob: ** any path, * and ? within a name, {a,b} either; without a slash it is about the name at any depth."""
     out, depth = "", 0

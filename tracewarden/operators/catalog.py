@@ -99,6 +99,89 @@ def vulnerability_summary(rows: DataFrame) -> DataFrame:
     return rows.select("vulnerability_id", "project_key", F.coalesce(F.nullif("name", F.lit("")), F.col("vulnerability_id")).alias("name"), "severity", "status", "source", F.coalesce("tags", none).alias("tags"), "created_at", "updated_at", F.coalesce("links", none).alias("links"))
 
 
+#: Lines of a code region before and after its line, and of one that names no line.
+REGION_BEFORE, REGION_AFTER, REGION_HEAD = 8, 10, 80
+
+
+def code_regions(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """vulnerability_id, code_regions: the source, the sink, the evidence and the told location of each vulnerability, in this order,
+    whose file has such lines; a place told twice counts once. rows(vulnerability_id, links, location, source_finding); a region is
+    of the project that the finding names, else of the first linked one. lines(project_path, file, line, code) meet regions by
+    project, file and line, at most 80 of each."""
+    finding = F.col("source_finding.finding")
+    node = lambda role: F.array(F.struct(F.lit(role).alias("role"), finding[role]["file"].alias("file"), finding[role]["line"].alias("line"), F.coalesce(finding[role]["expr"], finding[role]["detail"], F.lit("")).alias("description")))
+    told = F.transform(finding["evidence"], lambda e: F.struct(F.lit("evidence").alias("role"), e["file"].alias("file"), e["line"].alias("line"), F.coalesce(e["detail"], e["source"], F.lit("")).alias("description")))
+    at = lambda i: F.nullif(F.regexp_extract(F.btrim("location"), r"^([^:\s]+):(\d+)", i), F.lit(""))
+    place = F.array(F.struct(F.lit("location").alias("role"), at(1).alias("file"), at(2).try_cast("int").alias("line"), F.coalesce("location", F.lit("")).alias("description")))
+    none = F.array().cast("array<struct<role:string,file:string,line:int,description:string>>")
+    every = F.concat(*(F.coalesce(x, none) for x in (node("source"), node("sink"), told, place)))
+    project = F.coalesce(F.nullif(F.btrim("source_finding.project_path"), F.lit("")), F.get("links", F.lit(0)))
+    told_rows = rows.select("vulnerability_id", project.alias("project_path"), F.posexplode(every).alias("place", "x")).select("vulnerability_id", "project_path", "place", "x.*")
+    file = F.btrim(F.btrim(F.translate("file", "\\", "/")), F.lit("/"))
+    fit = told_rows.withColumn("file", file).where(~F.exists(F.split("file", "/"), lambda p: p == "..") & ~F.col("file").isin("", "."))
+    first = fit.groupBy("vulnerability_id", "project_path", "file", "line").agg(F.min_by(F.struct("place", "role", "description"), "place").alias("x"))
+    focus = F.greatest(F.col("line"), F.lit(1))
+    from_, to = F.when(F.coalesce("line", F.lit(0)) == 0, 1).otherwise(F.greatest(focus - REGION_BEFORE, F.lit(1))), F.when(F.coalesce("line", F.lit(0)) == 0, REGION_HEAD).otherwise(focus + REGION_AFTER)
+    wanted = first.select("vulnerability_id", "project_path", "file", "line", "x.*", F.explode(F.sequence(from_, to)).alias("_line"))
+    near = wanted.join(lines.select("project_path", "file", F.col("line").alias("_line"), "code"), ["project_path", "file", "_line"])
+    code = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_line", "code"))), lambda x: x["code"]), "\n")
+    shown = near.groupBy("vulnerability_id", "place").agg(F.first("role").alias("role"), F.first("file").alias("file"), F.first("line").alias("line"), F.min("_line").alias("line_start"), F.max("_line").alias("line_end"), F.first("description").alias("description"), code.alias("code"))
+    listed = F.array_sort(F.collect_list(F.struct("place", "role", "file", "line", "line_start", "line_end", "description", "code")))
+    numbered = F.transform(listed, lambda r, i: F.struct(F.concat_ws(":", (i + 1).cast("string"), r["role"], r["file"], F.coalesce(r["line"], F.lit(0)).cast("string")).alias("id"), r["role"].alias("role"), r["file"].alias("file"), r["line"].alias("line"), r["line_start"].alias("line_start"), r["line_end"].alias("line_end"), F.btrim(r["description"]).alias("description"), r["code"].alias("code")))
+    return shown.groupBy("vulnerability_id").agg(numbered.alias("code_regions"))
+
+
+def vulnerability_detail(rows: DataFrame, lines: DataFrame, attached: DataFrame) -> DataFrame:
+    """The summary of each vulnerability with its texts, references, code regions, and the files and commands of its environment,
+    reproduction and proof. attached(vulnerability_id, area, file, commands): a row for each file, or one with the commands."""
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    more = rows.select("vulnerability_id", *map(text, ("details", "location", "affected_version", "cve")), F.coalesce("references", F.array().cast("array<string>")).alias("references"), "source_finding")
+    areas = ("environment", "reproduction", "poc")
+    held = lambda a: F.struct(F.array_sort(F.collect_list(F.when(F.col("area") == a, F.col("file")))).alias("files"), F.coalesce(F.max(F.when(F.col("area") == a, F.col("commands"))), F.lit("")).alias("commands")).alias(a)
+    with_files = vulnerability_summary(rows).join(more, "vulnerability_id").join(attached.groupBy("vulnerability_id").agg(*map(held, areas)), "vulnerability_id", "left")
+    return with_files.join(code_regions(rows, lines), "vulnerability_id", "left")
+
+
+def link_candidates(rows: DataFrame, word: str) -> DataFrame:
+    """Vulnerabilities that a version can be linked to: whose name, id, severity, status, source and tags, joined by spaces, contain
+    the word in any case; an empty word keeps all."""
+    fields = [F.coalesce(F.col(c), F.lit("")) for c in ("name", "vulnerability_id", "severity", "status", "source")]
+    wanted = word.strip().lower()
+    return rows.where(F.contains(F.lower(F.concat_ws(" ", *fields, "tags")), F.lit(wanted))) if wanted else rows
+
+
+def linked_to(rows: DataFrame, project_path: str) -> DataFrame:
+    """The vulnerabilities that a version is linked to, in the order of vulnerability_order."""
+    return rows.where(F.array_contains("links", project_path)).orderBy(*sorting(vulnerability_order()))
+
+
+#: An order of a list: its keys, and which of them fall.
+Order = tuple[list[Column], tuple[bool, ...]]
+
+
+def sorting(order: Order) -> list[Column]:
+    return [k.desc() if down else k.asc() for k, down in zip(*order, strict=True)]
+
+
+def vulnerability_order() -> Order:
+    """The last changed first, as texts; a missing time is the oldest; ids break ties."""
+    return [F.coalesce("updated_at", F.lit("")), F.col("vulnerability_id")], (True, False)
+
+
+def history_order() -> Order:
+    return [F.col("version")], (True,)
+
+
+def run_order() -> Order:
+    """The last started run first."""
+    return [F.coalesce("started_at", F.lit("")), F.col("run_id")], (True, True)
+
+
+def ref_order() -> Order:
+    """Branches before tags, by name in any case; names break ties."""
+    return [F.when(F.col("kind") == "branch", 0).otherwise(1), F.lower("name"), F.col("name")], (False, False, False)
+
+
 def audit_head(audits: DataFrame) -> DataFrame:
     """An audit without its findings: they are not read."""
     return audits.drop("findings")

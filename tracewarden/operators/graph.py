@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import flow
 from ..functions.text import trimmed
+from ..sources import sinks
 
 SOURCE, STORAGE, SINK = "request_source", "storage_field", "sink"
 
@@ -45,3 +46,12 @@ def summary(nodes: DataFrame, edges: DataFrame, facts: DataFrame) -> DataFrame:
     """measure, key, n: nodes and edges by kind, writes by the kind of their storage."""
     counted = lambda rows, measure: rows.groupBy(F.lit(measure).alias("measure"), F.coalesce("kind", F.lit("unknown")).alias("key")).agg(F.count("*").alias("n"))
     return counted(nodes, "node").unionByName(counted(edges, "edge")).unionByName(counted(facts.where("role = 'write'"), "storage"))
+
+
+def written(facts: DataFrame, folder: str) -> None:
+    """Writes nodes.jsonl and edges.jsonl in order, and summary.json with the counts of their kinds, below folder."""
+    found, joined = nodes(facts), edges(facts)
+    sinks.json_lines(found, f"{folder}/nodes.jsonl", order("node_id"))
+    sinks.json_lines(joined, f"{folder}/edges.jsonl", order("edge_id"))
+    counts = summary(found, joined, facts).agg(F.array_sort(F.collect_list(F.struct("measure", "key", "n"))).alias("counts"))
+    sinks.document(counts, f"{folder}/summary.json")

@@ -26,6 +26,13 @@ def latest(scans: DataFrame) -> DataFrame:
     return best.select("project_path", "x.*")
 
 
+def selected(scans: DataFrame, strategy: str = "latest") -> DataFrame:
+    """The scans that reports sum: `latest` takes one of each project, `union` all."""
+    if strategy not in ("latest", "union"):
+        raise ValueError(f"no strategy {strategy!r}")
+    return latest(scans) if strategy == "latest" else scans
+
+
 def best_scan(scans: DataFrame) -> DataFrame:
     """For each project its number of scans and the first scan with the most vulnerable findings."""
     best = F.max_by(F.struct("scan_id", "vulnerable"), F.struct("vulnerable", (-F.col("ord")).alias("o"))).alias("b")

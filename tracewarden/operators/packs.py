@@ -38,15 +38,17 @@ def chain_records(candidates: DataFrame, order: list[Column], folder: str) -> Da
     )
 
 
-def ranks(rows: DataFrame, order: list[Column], out: str, folder: str) -> DataFrame:
-    """rows with their place by ascending order, from 1. They are written to folder in sorted ranges, a file each, and numbered
+def ranks(rows: DataFrame, order: list[Column], out: str, folder: str, falling: tuple[bool, ...] = ()) -> DataFrame:
+    """rows with their place by order, from 1; keys ascend but where `falling` says otherwise. They are written to folder in sorted ranges, a file each, and numbered
     by the rows of the files before, so that no task holds all and a rerun task finds the same files."""
-    placed = rows.withColumn("_key", F.struct(*order)).repartitionByRange("_key").sortWithinPartitions("_key")
+    placed = rows.withColumn("_key", F.struct(*(k.alias(f"k{i}") for i, k in enumerate(order))))
+    keys = [F.col(f"_key.k{i}").desc() if i < len(falling) and falling[i] else F.col(f"_key.k{i}") for i in range(len(order))]
+    placed = placed.repartitionByRange(*keys).sortWithinPartitions(*keys)
     placed.write.mode("overwrite").parquet(folder)
     parts = rows.sparkSession.read.schema(placed.schema).parquet(folder).withColumn("_part", F.col("_metadata.file_name"))
     sizes = parts.groupBy("_part").count()
     before = sizes.select("_part", (F.sum("count").over(W.orderBy("_part")) - F.col("count")).alias("_before"))  # one row a file
-    at = F.row_number().over(W.partitionBy("_part").orderBy("_key"))
+    at = F.row_number().over(W.partitionBy("_part").orderBy(*keys))
     return parts.withColumn("_at", at).join(before, "_part").withColumn(out, F.col("_before") + F.col("_at")).drop("_key", "_part", "_at", "_before")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-FUNNEL_COLUMNS = ("project_path", "scan_id", "status", "files", "sink_hits", "candidate_chains", "audited", "vulnerable", "uncertain", "safe", "duration_seconds", "primary_language")
+FUNNEL_COLUMNS = ("project_path", "scan_id", "status", "primary_language", "files", "sink_hits", "candidate_chains", "audited", "vulnerable", "uncertain", "safe", "duration_seconds")
 
 
 def json_lines(df: DataFrame, path: str, order: list[Column] | None = None) -> None:
@@ -32,6 +32,33 @@ def funnel_csv(rows: DataFrame, path: str) -> None:
     rows.select(*FUNNEL_COLUMNS).write.mode("overwrite").csv(path, header=True)
 
 
+def blocks(rows: DataFrame, path: str, *order: str) -> None:
+    """Texts in order, as part files whose names sort as their contents do."""
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("text").write.mode("overwrite").text(path)
+
+
+def document(row: DataFrame, path: str) -> None:
+    """One row as one JSON document."""
+    row.coalesce(1).write.mode("overwrite").json(path)
+
+
+def audit_files(head: DataFrame, findings: DataFrame, order: list[Column], sections: DataFrame, folder: str) -> None:
+    """audit.json without its findings, findings.jsonl in order, and the report in Markdown."""
+    document(head, f"{folder}/audit.json")
+    json_lines(findings, f"{folder}/findings.jsonl", order)
+    blocks(sections, f"{folder}/audit.md", "part", "number")
+
+
+def dashboard_files(board: DataFrame, repositories: DataFrame, weaknesses: DataFrame, scans: DataFrame, findings: DataFrame, sections: DataFrame, folder: str) -> None:
+    """dashboard.json (what is bounded), repositories, weaknesses and findings as JSON lines, funnel.csv and dashboard.md."""
+    document(board, f"{folder}/dashboard.json")
+    json_lines(repositories, f"{folder}/repositories.jsonl", [F.col("project_path")])
+    json_lines(weaknesses, f"{folder}/weaknesses.jsonl", [F.col("cwe")])
+    json_lines(findings, f"{folder}/findings.jsonl", [F.col(c) for c in ("project_path", "scan_id", "chain_id")])
+    funnel_csv(scans.repartitionByRange("project_path", "scan_id").sortWithinPartitions("project_path", "scan_id"), f"{folder}/funnel.csv")
+    blocks(sections, f"{folder}/dashboard.md", "part", "key")
+
+
 def report(findings: DataFrame, number: str, total: Column) -> DataFrame:
     """Markdown section of each finding: full for vulnerable and uncertain ones, a line for safe ones."""
     head = F.concat(F.lit("## ["), F.col(number).cast("string"), F.lit("/"), total.cast("string"), F.lit("] "), F.col("title"))
