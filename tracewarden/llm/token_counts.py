@@ -9,13 +9,16 @@ count alike; an empty table gives no rows.
 
 The trie is built from sorted words: a word's nodes are new beyond the prefix it shares with the word before it. All new
 nodes of one depth are computed together, and the pieces that end in a node are found by walking back from it through a
-trie of the reversed vocabulary, which ends most walks after a few characters.
+trie of the reversed vocabulary, which ends most walks after a few characters. Long words, as scripts without spaces have
+them, make a second trie whose nodes are visited depth first: only the path to the current node is held, and what words share
+is computed once here too.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,7 @@ BYTE_PENALTY = 10.0
 CACHE_WORDS = 2_000_000
 #: Text that is looked at together, and words of one trie.
 TEXT_BYTES, TRIE_WORDS = 2 << 20, 20_000
-#: Longer pre-tokens (in bytes) are counted along a path of their own that isn't kept.
+#: Longer pre-tokens (in bytes) stand in a trie that is walked depth first: a matrix of all depths would mostly be empty.
 LONG = 64
 
 
@@ -83,20 +86,26 @@ class Vocabulary:
         at = np.searchsorted(self.keys, asked)
         return np.where(self.keys[at] == asked, self.children[at], 0)
 
-    def count_one(self, text: str) -> int:
-        """The count of a pre-token, character by character along its own path."""
+    def count_deep(self, words: list[str]) -> Iterator[int]:
+        """The counts of sorted distinct pre-tokens, by one trie of them in depth-first order: the path to a word goes on from the
+        prefix that it shares with the word before, and each node on it is computed once."""
         known, longest = self.scores, self.longest
         scores, pieces = [0.0], [0]
-        for at, c in enumerate(text):
-            width = len(c.encode())
-            best, count = scores[at] + self.byte * width, pieces[at] + width
-            for start in range(at, max(-1, at - longest), -1):
-                own = known.get(text[start : at + 1])
-                if own is not None and scores[start] + own >= best:
-                    best, count = scores[start] + own, pieces[start] + 1
-            scores.append(best)
-            pieces.append(count)
-        return pieces[-1]
+        before = ""
+        for text in words:
+            shared = len(commonprefix((before, text)))
+            del scores[shared + 1 :], pieces[shared + 1 :]
+            for at in range(shared, len(text)):
+                width = len(text[at].encode())
+                best, count = scores[at] + self.byte * width, pieces[at] + width
+                for start in range(at, max(-1, at - longest), -1):
+                    own = known.get(text[start : at + 1])
+                    if own is not None and scores[start] + own >= best:
+                        best, count = scores[start] + own, pieces[start] + 1
+                scores.append(best)
+                pieces.append(count)
+            before = text
+            yield pieces[-1]
 
     def count_trie(self, words: list[str]) -> np.ndarray:
         """The counts of sorted distinct pre-tokens, by one trie of them. A node stands at the first word that has its prefix;
@@ -143,9 +152,8 @@ class Vocabulary:
         for at in range(0, len(short), TRIE_WORDS):
             some = short[at : at + TRIE_WORDS]
             out[[i for _, i in some]] = self.count_trie([MARK + w.decode() for w, _ in some])
-        for i, w in enumerate(words):
-            if len(w) > LONG:
-                out[i] = self.count_one(MARK + w.decode())
+        deep = sorted((w, i) for i, w in enumerate(words) if len(w) > LONG)
+        out[[i for _, i in deep]] = list(self.count_deep([MARK + w.decode() for w, _ in deep]))
         return out
 
 

@@ -6,7 +6,10 @@ with the largest page_id is a response and the others are revisits of it. A null
 is never the response of a group that has another, and is one where all are null; rows repeated with one page_id are all
 responses or all revisits; other columns are ignored; an empty table gives no packages and no records.
 
-The reader needs only a package's tail, its central directory (ZIP64 too), its index and the ranges asked for.
+The reader needs only a package's tail, its central directory (ZIP64 too), its indexes and the ranges asked for. It reads the
+indexes of others too: CDX whose first line names its fields, and CDXJ, each plain or gzip; a record that several indexes list
+is read once, one without a length ends where the next one of its archive begins. Archives may be gzip by record or plain.
+Records of others have no page_id; an archive without any index is an error.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import base64
 import gzip
 import hashlib
 import io
+import json
 import struct
 import uuid
 import zipfile
@@ -35,6 +39,7 @@ PACKAGE_BYTES, RECORDS, READ_BYTES = 32 << 20, 256, 4 << 20
 TASK_BYTES = 8 << 20
 DATE = "2000-01-01T00:00:00Z"
 URN = "urn:x-page:"
+GZIP = b"\x1f\x8b"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -151,6 +156,46 @@ def members(f) -> dict[str, tuple[int, int]]:
     return out
 
 
+def index_lines(text: str) -> Iterator[tuple[int, int | None, str]]:
+    """Offset, length (None where it isn't told) and archive of each record that an index lists: own lines, CDX by the letters of
+    its head (V offset, S length, g archive) or CDXJ. Lines that begin with ! are about the index."""
+    fields: list[str] = []
+    for line in text.splitlines():
+        if line.lstrip().startswith("CDX "):
+            fields = line.split()[1:]
+        elif fields and line:
+            told = dict(zip(fields, line.split(" "), strict=False))
+            size = told.get("S", "-")
+            yield int(told["V"]), int(size) if size.isdigit() else None, told["g"]
+        elif "{" in line and not line.startswith("!"):
+            told = json.loads(line[line.index("{") :])
+            yield int(told["offset"]), int(told["length"]) if told.get("length") else None, told["filename"]
+        elif line and not line.startswith("!"):
+            offset, size, name = line.split(" ", 2)
+            yield int(offset), int(size), name
+
+
+def located(f, found: dict[str, tuple[int, int]]) -> list[tuple[int, int]]:
+    """Start and length of each record of a package in the order of their bytes, from all its indexes; an .idx only says where
+    the blocks of another index are."""
+    listed: dict[tuple[str, int], int | None] = {}
+    for name, (start, size) in sorted(found.items()):
+        if name.startswith(INDEXES) and not name.endswith(".idx"):
+            raw = f.read_at(size, start)
+            for offset, length, archive in index_lines((gzip.decompress(raw) if raw[:2] == GZIP else raw).decode()):
+                key = (archive if archive in found else ARCHIVES + archive, offset)
+                listed[key] = listed.get(key) or length
+    silent = {n for n in found if n.startswith(ARCHIVES) and found[n][1]} - {name for name, _ in listed}
+    if silent:
+        raise ValueError(f"no index lists records of {', '.join(sorted(silent))}")
+    rows = []
+    places = sorted(listed)
+    for (name, offset), after in zip(places, [*places[1:], ("", 0)], strict=True):
+        start, size = found[name]
+        rows.append((start + offset, listed[name, offset] or (after[1] if after[0] == name else size) - offset))
+    return sorted(rows)
+
+
 _RANGES = pa.schema([("path", pa.string()), ("start", pa.int64()), ("sizes", pa.list_(pa.int64()))])
 
 
@@ -159,12 +204,10 @@ def _ranges(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path in part.column("path").to_pylist():
             storage, at = open_storage(path)
             with storage.open_input_file(at) as f:
-                found = members(f)
-                lines = [x for name, (start, size) in sorted(found.items()) if name.startswith(INDEXES) for x in f.read_at(size, start).decode().split("\n") if x]
+                places = located(f, members(f))
             rows: list[tuple[str, int, list[int]]] = []
             end = -1
-            for offset, size, name in (x.split(" ", 2) for x in lines):
-                start, n = found[ARCHIVES + name][0] + int(offset), int(size)
+            for start, n in places:
                 if start != end or len(rows[-1][2]) >= RECORDS or n >= READ_BYTES:
                     rows.append((path, start, []))
                 rows[-1][2].append(n)
@@ -178,13 +221,14 @@ def parse(raw: bytes) -> tuple[int | None, str, str, int | None, int, str, bytes
     fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
     block = block[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
-    size = int(next(x for x in http.decode().split("\r\n") if x.startswith("Content-Length: "))[16:])
-    number = lambda x: None if (n := x.removeprefix(f"<{URN}").removesuffix(">")) == "null" else int(n)
-    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    if fields["WARC-Type"] == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
+    size = int(next((x[16:] for x in http.decode("utf-8", "replace").split("\r\n") if x.startswith("Content-Length: ")), len(payload)))
+    number = lambda x: int(n) if (n := x.removeprefix(f"<{URN}").removesuffix(">")).lstrip("-").isdigit() else None
+    own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    digest = fields.get("WARC-Payload-Digest", own).removeprefix("sha1:")
+    if fields["WARC-Type"] == "response" and (len(payload) != size or own != digest):
         raise ValueError(f"payload of {fields['WARC-Record-ID']} differs from its digest")
     refers = fields.get("WARC-Refers-To")
-    return number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], fields["WARC-Type"], refers and number(refers), size, digest, payload if fields["WARC-Type"] == "response" else None
+    return number(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI", ""), fields["WARC-Type"], refers and number(refers), size, digest, payload if fields["WARC-Type"] == "response" else None
 
 
 _RECORDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
@@ -197,7 +241,7 @@ def _records(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with storage.open_input_file(at) as f:
                 raw = memoryview(f.read_at(sum(sizes), start))
             ends = list(accumulate(sizes))
-            rows = [parse(gzip.decompress(raw[b - n : b])) for b, n in zip(ends, sizes, strict=True)]
+            rows = [parse(gzip.decompress(raw[b - n : b]) if raw[b - n : b][:2] == GZIP else bytes(raw[b - n : b])) for b, n in zip(ends, sizes, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _RECORDS, strict=True)], schema=_RECORDS)
 
 
