@@ -69,3 +69,15 @@ def test_pack_without_callers(spark):
     places = spark.createDataFrame([("c", 0, "a.py", 2), ("c", 1, "a.py", 2), ("c", 2, "a.py", None), ("c", 3, "b.py", 1), ("c", 4, " ", 1)], "chain_id string, ord int, file string, line int")
     found = sorted((r["place"], r["file"], r["line"], r["line_start"], r["line_end"]) for r in packs.snippets(places, lines).collect())
     assert found == [(1, "a.py", 2, 1, 3), (2, "a.py", None, 1, 3), (3, "b.py", 1, None, None)]
+
+
+def test_words_end_at_other_letters(spark):
+    """Words are of ASCII letters, as in SQL: a class name ends, and a called one begins, beside another letter."""
+    code = ["Les f", "La g", "Lesè h", "Un i", "éUn (1)", "Lest j"]
+    lines = spark.createDataFrame([("f", i + 1, c) for i, c in enumerate(code)], "file string, line int, code string")
+    found = symbols.spans(lines, r"^([A-Z][a-z]{1,5}) ", r"^(Les|Los|Una)\b").collect()
+    assert sorted((r["start"], r["function"]) for r in found) == [(1, "Les.Les"), (2, "Les.La"), (4, "Les.Un"), (6, "Les.Lest")]
+    found = symbols.spans(lines.where("line > 1"), r"^([A-Z][a-z]{1,5}) ", r"^(Les|Los|Una)\b").collect()
+    assert sorted((r["start"], r["function"]) for r in found) == [(2, "La"), (4, "Les.Un"), (6, "Les.Lest")]
+    nodes = spark.createDataFrame([("f", 1, 6, "Un")], "file string, start int, end int, callee string")
+    assert [(r["line"], r["code"]) for r in symbols.call_sites(nodes, lines, ["file"]).collect()] == [(5, "éUn (1)")]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from . import fixed
@@ -23,6 +25,15 @@ def first_true(cases: list[tuple[Column, object]], otherwise: object = None) ->
     return F.lit(otherwise) if out is None else out.otherwise(otherwise)
 
 
+_EDGE = {"b": r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))", "B": r"(?:(?<=\w)(?=\w)|(?<!\w)(?!\w))"}
+
+
+def ascii_edges(pattern: str) -> str:
+    r"""pattern with every \b and \B at words of \w, which are A-Z, a-z, 0-9 and _. Java before 19 takes any letter for part of a word
+    there, so that its \b and its \w differ; quoted parts stay."""
+    return re.sub(r"\\Q.*?(?:\\E|\Z)|\\(.)", lambda m: _EDGE.get(m[1], m[0]), pattern, flags=re.DOTALL)
+
+
 def stripped(text: Column) -> Column:
     """text without white space at its ends; btrim alone takes off spaces only."""
     return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
