@@ -143,6 +143,14 @@ def test_sql_built_in_python(source, expected):
     assert code.judged(source, [line], ["sql"]) == [expected]
 
 
+def test_long_chains_in_python():
+    """A query that is built over thousands of lines is judged by its beginning, whatever Python's limit of depth."""
+    n = 3000
+    source = "\n".join(["q0 = request.args.get('x')", *(f"q{i} = q{i - 1} + 'a'" for i in range(1, n)), f"cur.execute(q{n - 1})", "r = 'a'" + " + 'a'" * 400, "cur.execute(r)"])
+    assert code.judged(source, [n + 1, n + 3], ["sql", "sql"]) == [True, False]
+    assert code.judged(source.replace("request.args.get('x')", "'query { a }'"), [n + 1], ["graphql"]) == [True]
+
+
 def test_graphql_calls():
     lines = "schema.execute(q)\ndb.execute('query { a }')\nx.execute('query { a }')\nx.execute('select a from b')\nx.execute(y)"
     assert code.judged(lines, [1, 2, 3, 4, 5], ["graphql"] * 5) == [True, False, True, False, None]
