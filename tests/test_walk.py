@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,3 +58,22 @@ def test_lines_by_ranges(spark, tmp_path, step):
     listed = walk.names(spark, str(tmp_path), lambda _: F.lit(True)).select("file", "size")
     found = walk.lines(listed, str(tmp_path), step).collect()
     assert sorted((r["file"], r["line"], r["code"]) for r in found) == sorted((f, i + 1, c.rstrip("\r")) for f, body in bodies.items() for i, c in enumerate(body.split("\n")))
+
+
+def test_many_records_in_few_batches(spark, tmp_path):
+    """Scan records: several in a file, none, broken ones, names beside them; they come from tasks, in batches of many files."""
+    from tracewarden.plans.scratch import write_tree
+    from tracewarden.sources import files
+
+    at = "s/o/r/v"
+    given = [(f"{at}/artifacts/scans/{i}/scan.json", f'{{"status":\n "s{i}", "n": {i}}}') for i in range(300)]
+    given += [(f"{at}/artifacts/scans/two/scan.json", '[{"n": 1}, {"status": "x"}]'), (f"{at}/artifacts/scans/blank/scan.json", " \n"), (f"{at}/artifacts/scans/bad/scan.json", '{"n"')]
+    given += [(f"{at}/artifacts/scans/0/other.json", "{}"), (f"{at}/artifacts/other/0/scan.json", "{}"), (f"{at}/artifacts/scans/scan.json", "{}"), (f"{at}/artifacts/scans/0/a/scan.json", "{}")]
+    assert write_tree(spark.createDataFrame(given, "file string, body string").coalesce(1), f"file://{tmp_path}") == len(given)
+    found = files.scans(spark, f"file://{tmp_path}", "status string, n int")
+    want = [(at, str(i), f"s{i}", i) for i in range(300)] + [(at, "two", None, 1), (at, "two", "x", None), (at, "bad", None, None)]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    assert len(files.markdown(spark, f"file://{tmp_path}/s/*/r/v/artifacts/*/?/*.json").collect()) == 12
+    opened = walk._opened(f"file://{tmp_path}", None)
+    names = pa.RecordBatch.from_arrays([pa.array([f for f, _ in given])], names=["file"])
+    assert [b.num_rows for b in opened(iter([names]))] == [len(given)]

@@ -125,7 +125,7 @@ def scan_records_read(spark, sf_dir):
     rows = S.table(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
     file = F.concat_ws("/", "r_name", "n_name", "c_name", "c_mktsegment", F.lit("artifacts/scans"), F.col("c_custkey").cast("string"), F.lit("scan.json"))
     record = F.to_json(F.struct(F.when(F.col("c_acctbal") < 0, "error").otherwise("done").alias("status"), F.col("c_acctbal").alias("duration")))
-    write_tree(rows.select(file.alias("file"), F.replace(record, F.lit(","), F.lit(",\n  ")).alias("body")), root)
+    write_tree(rows.select(file.alias("file"), F.replace(record, F.lit(","), F.lit(",\n  ")).alias("body")), root, dealt=True)
     return files.scans(spark, root, "status string, duration double")
 
 
@@ -157,7 +157,7 @@ def markdown_files(spark, sf_dir):
     docs = S.table(spark, sf_dir, "documents").where("lang is not null")
     n = F.length(F.coalesce("text", F.lit(""))).cast("string")
     file = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
-    write_tree(docs.select(file.alias("file"), F.concat("lang", F.lit("\n## one\n"), n, F.lit("\n## two")).alias("body")), root)
+    write_tree(docs.select(file.alias("file"), F.concat("lang", F.lit("\n## one\n"), n, F.lit("\n## two")).alias("body")), root, dealt=True)
     found = files.markdown(spark, f"{root}/*")
     return found.select(F.substring_index("path", "/", -2).alias("file"), "number", "section")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import paths, text
@@ -79,8 +82,17 @@ def meta_line(spark: SparkSession, path: str) -> DataFrame:
 
 
 def markdown(spark: SparkSession, path: str, heading: str = "## ") -> DataFrame:
-    """number (0: what stands before the first heading) and section of each Markdown file."""
-    whole = spark.read.text(path, wholetext=True).select(_path().alias("path"), "value")
+    """number (0: what stands before the first heading) and section of each Markdown file of a folder, or that path is or fits. Folders
+    are listed and files opened in tasks."""
+    root, wanted = walk.fixed_part(path)
+    depth = len(wanted)
+    # a path that fits may be a file, or a folder with files
+    fits = lambda parts, n: reduce(and_, (paths.glob(F.get(parts, F.lit(i)), w) for i, w in enumerate(wanted[:n])), F.lit(True))
+    within = lambda n: F.size(F.split("file", "/")) == n
+    parts = F.split("file", "/")
+    found = walk.names(spark, root, lambda _: reduce(or_, (within(n) & fits(parts, n) for n in range(1, depth + 1)), F.lit(False)))
+    kept = found.where((within(depth) | within(depth + 1)) & fits(parts, depth)).select("file", "size")
+    whole = walk.contents(kept, root).select(F.concat(F.lit(f"{walk.uri(root)}/"), "file").alias("path"), _text(F.col("content")).alias("value"))
     return whole.select("path", F.posexplode(text.sections(F.col("value"), heading)).alias("number", "section"))
 
 
@@ -101,12 +113,22 @@ def git_refs(refs: DataFrame, line: str = "value") -> DataFrame:
 
 
 def scans(spark: SparkSession, root: str, schema: T.StructType | str, name: str = "scan.json", artifacts: str = "*") -> DataFrame:
-    """Every scan record below root/source/owner/repo/version/<artifacts>/scans/<scan_id>/, with project_path and scan_id."""
-    rows = spark.read.schema(schema).json(f"{root.rstrip('/')}/*/*/*/*/{artifacts}/scans/*/{name}", multiLine=True)
-    parts = F.split(_path(), "/")
-    at = lambda n: F.element_at(parts, n)
-    known = [c for c in rows.columns if c not in ("project_path", "scan_id")]
-    return rows.select(F.concat_ws("/", at(-8), at(-7), at(-6), at(-5)).alias("project_path"), F.element_at(parts, -2).alias("scan_id"), *known)
+    """Every scan record below root/source/owner/repo/version/<artifacts>/scans/<scan_id>/, with project_path and scan_id. Folders are
+    listed and files opened in tasks; a file of several records gives them all, one that isn't JSON a row of nulls, a blank one none."""
+    known = [f for f in (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields if f.name not in ("project_path", "scan_id")]
+    own = T.StructType(known)
+
+    def kept(folder: Column) -> Column:
+        parts = F.split(folder, "/")
+        return (F.size(parts) < 5) | ((F.size(parts) == 5) & paths.glob(parts[4], artifacts)) | ((F.size(parts) == 6) & (F.get(parts, F.lit(5)) == "scans")) | (F.size(parts) == 7)
+
+    found = walk.names(spark, root, kept)
+    parts = F.split("file", "/")
+    records = walk.contents(found.where((F.size(parts) == 8) & paths.glob(F.element_at(parts, -1), name)).select("file", "size"), root)
+    texts = records.select("file", _text(F.col("content")).alias("_text")).where(F.btrim("_text", F.lit(" \t\n\r")) != "")
+    each = F.from_json("_text", T.ArrayType(own))
+    rows = texts.select(F.slice(parts, 1, 4).alias("_place"), F.get(parts, F.lit(6)).alias("scan_id"), F.explode(F.coalesce(each, F.array(F.lit(None).cast(own)))).alias("_row"))
+    return rows.select(F.array_join("_place", "/").alias("project_path"), "scan_id", *(F.col("_row")[f.name].alias(f.name) for f in known))
 
 
 def logs(spark: SparkSession, folder: str) -> DataFrame:

@@ -19,36 +19,52 @@ from .shared import stored
 #: Bytes that a partition reads, and bytes of a range of a large file.
 PART_BYTES, RANGE_BYTES = 128 << 20, 32 << 20
 _ENTRY = "file string, folder boolean, size long, modified timestamp"
+#: Rows and bytes after which a task hands on what it has listed or read.
+BATCH_ROWS, BATCH_BYTES = 5_000, 4 << 20
 
 
-def _uri(root: str) -> str:
+def uri(root: str) -> str:
     return root.rstrip("/") if "://" in root else "file://" + os.path.abspath(root.removeprefix("file:"))
 
 
+def fixed_part(path: str) -> tuple[str, list[str]]:
+    """A path as the folder before its first name with *, ? or { (or before its last name), and the names from there on."""
+    *head, last = path.rstrip("/").split("/")
+    at = next((i for i, part in enumerate(head) if set("*?{") & set(part)), len(head))
+    return "/".join(head[:at]), [*head[at:], last]
+
+
 def _listed(root: str):
+    def batch(names: list[str], found: list[pa.fs.FileInfo]) -> pa.RecordBatch:
+        kinds = [x.type == pa.fs.FileType.Directory for x in found]
+        columns = [pa.array(names, pa.string()), pa.array(kinds, pa.bool_()), pa.array([x.size or 0 for x in found], pa.int64()), pa.array([x.mtime for x in found], pa.timestamp("us", "UTC"))]
+        return pa.RecordBatch.from_arrays(columns, names=["file", "folder", "size", "modified"])
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pa.fs.FileSystem.from_uri(root)
         local = root.startswith("file://")
+        names, found = [], []
         for part in parts:
             for folder in part.column(0).to_pylist():
-                at = f"{base}/{folder}" if folder else base
-                found = [x for x in fs.get_file_info(pa.fs.FileSelector(at)) if not (local and os.path.islink(x.path))]
-                found = [x for x in found if x.type in (pa.fs.FileType.File, pa.fs.FileType.Directory)]
-                names = [f"{folder}/{x.base_name}" if folder else x.base_name for x in found]
-                kinds = [x.type == pa.fs.FileType.Directory for x in found]
-                columns = [pa.array(names, pa.string()), pa.array(kinds, pa.bool_()), pa.array([x.size or 0 for x in found], pa.int64()), pa.array([x.mtime for x in found], pa.timestamp("us", "UTC"))]
-                yield pa.RecordBatch.from_arrays(columns, names=["file", "folder", "size", "modified"])
+                for x in fs.get_file_info(pa.fs.FileSelector(f"{base}/{folder}" if folder else base)):
+                    if x.type in (pa.fs.FileType.File, pa.fs.FileType.Directory) and not (local and os.path.islink(x.path)):
+                        names.append(f"{folder}/{x.base_name}" if folder else x.base_name)
+                        found.append(x)
+                    if len(found) >= BATCH_ROWS:
+                        yield batch(names, found)
+                        names, found = [], []
+        yield batch(names, found)
 
     return run
 
 
 def names(spark: SparkSession, root: str, kept: Callable[[Column], Column], start: str = "") -> DataFrame:
     """file (relative to root), size, modified of the files below root/start; only folders whose path is kept are entered. No file is opened."""
-    uri, levels = _uri(root), []
+    base, levels = uri(root), []
     folders = spark.createDataFrame([(start.strip("/"),)], "file string")
     while True:
         parts = spark.sparkContext.defaultParallelism
-        level = stored(folders.repartition(parts).mapInArrow(_listed(uri), _ENTRY), "level")
+        level = stored(folders.repartition(parts).mapInArrow(_listed(base), _ENTRY), "level")
         levels.append(level.where("not folder"))
         folders = level.where("folder").where(kept(F.col("file"))).select("file")
         if folders.isEmpty():
@@ -71,11 +87,14 @@ def _opened(root: str, most: int | None):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pa.fs.FileSystem.from_uri(root)
         for part in parts:
-            for row in range(part.num_rows):
-                one = part.slice(row, 1)
-                with fs.open_input_stream(f"{base}/{one.column('file')[0].as_py()}") as stream:
-                    body = stream.read() if most is None else stream.read(most)
-                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([body], pa.binary())], names=[*one.schema.names, "content"])
+            bodies, size, done = [], 0, 0
+            for row, file in enumerate(part.column("file"), 1):
+                with fs.open_input_stream(f"{base}/{file.as_py()}") as stream:
+                    bodies.append(stream.read() if most is None else stream.read(most))
+                size += len(bodies[-1])
+                if size >= BATCH_BYTES or len(bodies) >= BATCH_ROWS or row == part.num_rows:
+                    yield pa.RecordBatch.from_arrays([*part.slice(done, row - done).columns, pa.array(bodies, pa.binary())], names=[*part.schema.names, "content"])
+                    bodies, size, done = [], 0, row
 
     return run
 
@@ -84,7 +103,7 @@ def contents(files: DataFrame, root: str, most: int | None = None) -> DataFrame:
     """files(file, size, ...) with content, their first `most` bytes or all."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema) + ", content binary"
     dealt = _dealt(files.withColumn("length", F.col("size") if most is None else F.least("size", F.lit(most)))).drop("length")
-    return dealt.mapInArrow(_opened(_uri(root), most), schema)
+    return dealt.mapInArrow(_opened(uri(root), most), schema)
 
 
 def _whole_lines(source: pa.NativeFile, start: int, end: int) -> bytes | None:
@@ -111,20 +130,33 @@ def _whole_lines(source: pa.NativeFile, start: int, end: int) -> bytes | None:
 def _range_lines(root: str, counted: bool):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pa.fs.FileSystem.from_uri(root)
+        columns: tuple[list, ...] = ([], [], [], []) if counted else ([], [], [])
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64()) if counted else (pa.string(), pa.int64(), pa.binary())
+        size = 0
+
+        def batch() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file", "start", "length", "n"] if counted else ["file", "line", "code"])
+            for c in columns:
+                c.clear()
+            return made
+
         for part in parts:
             for row in part.to_pylist():
                 with fs.open_input_file(f"{base}/{row['file']}") as source:
                     body = _whole_lines(source, row["start"], row["start"] + row["length"])
                 if counted:
-                    columns = [[row["file"]], [row["start"]], [row["length"]], [(body or b"").count(b"\n")]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["file", "start", "length", "n"])
-                    continue
-                lines = [] if body is None else body.split(b"\n")
-                if lines and lines[-1] == b"" and row["start"] + row["length"] < row["size"]:
-                    lines.pop()  # the next range begins a line
-                names = pa.array([row["file"]] * len(lines), pa.string())
-                at = pa.array(range(row["first"], row["first"] + len(lines)), pa.int64())
-                yield pa.RecordBatch.from_arrays([names, at, pa.array(lines, pa.binary())], names=["file", "line", "code"])
+                    found = [[row["file"]], [row["start"]], [row["length"]], [(body or b"").count(b"\n")]]
+                else:
+                    lines = [] if body is None else body.split(b"\n")
+                    if lines and lines[-1] == b"" and row["start"] + row["length"] < row["size"]:
+                        lines.pop()  # the next range begins a line
+                    found, size = [[row["file"]] * len(lines), range(row["first"], row["first"] + len(lines)), lines], size + len(body or b"")
+                for c, more in zip(columns, found, strict=True):
+                    c += more
+                if len(columns[0]) >= BATCH_ROWS or size >= BATCH_BYTES:
+                    yield batch()
+                    size = 0
+        yield batch()
 
     return run
 
@@ -132,13 +164,13 @@ def _range_lines(root: str, counted: bool):
 def lines(files: DataFrame, root: str, range_bytes: int | None = None) -> DataFrame:
     """file, line (from 1) and code (no line ends; bytes that aren't UTF-8 as U+FFFD) of files(file, size). No task holds more than a range and
     one line: ranges count their line ends first, and those before a range number its lines."""
-    uri, step = _uri(root), range_bytes or RANGE_BYTES
+    base, step = uri(root), range_bytes or RANGE_BYTES
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(step).cast("long"))
     ranges = files.select("file", "size", F.explode(starts).alias("start")).withColumn("length", F.least(F.lit(step).cast("long"), F.col("size") - F.col("start")))
-    counts = stored(_dealt(ranges.select("file", "start", "length")).mapInArrow(_range_lines(uri, True), "file string, start long, length long, n long"), "ranges")
+    counts = stored(_dealt(ranges.select("file", "start", "length")).mapInArrow(_range_lines(base, True), "file string, start long, length long, n long"), "ranges")
     before = F.sum("n").over(W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
     numbered = counts.withColumn("first", F.coalesce(before, F.lit(0)) + 1).join(files.select("file", "size"), "file").select("file", "start", "length", "first", "size")
-    rows = _dealt(numbered).mapInArrow(_range_lines(uri, False), "file string, line long, code binary")
+    rows = _dealt(numbered).mapInArrow(_range_lines(base, False), "file string, line long, code binary")
     code = F.rtrim(F.make_valid_utf8(F.col("code").cast("string")), F.lit("\r"))
     return rows.select("file", F.col("line").cast("int").alias("line"), code.alias("code"))
 
