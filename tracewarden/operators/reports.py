@@ -125,7 +125,11 @@ def dashboard(scans: DataFrame, findings: DataFrame, strategy: str = "latest", *
     """One row: strategy, coverage, funnel, by_severity, by_type, by_language, top_vulnerable. Repositories, weaknesses with their
     repositories, scans and findings grow with the input and are files of their own. scans needs languages (array) beside the
     measures, findings project_path and scan_id."""
-    chosen, rows = metrics.selected(scans, strategy), of_selected(findings, scans, strategy)
+    return board_of(scans, metrics.selected(scans, strategy), of_selected(findings, scans, strategy), strategy, *ties)
+
+
+def board_of(scans: DataFrame, chosen: DataFrame, rows: DataFrame, strategy: str, *ties: Column) -> DataFrame:
+    """`dashboard` of scans that are selected and of their flat findings, which it reads several times: they may be stored."""
     covered = _coverage(scans, chosen, rows)
     funnel = metrics.funnel(chosen).select(F.struct("*").alias("funnel"))
     types = metrics.by_type(rows)
