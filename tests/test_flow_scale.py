@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracewarden.operators import bridge, chains
+from tracewarden.operators import bridge, chains, facts
 
 FACT = "field string, file string, line int, kind string, template string, template_var string, evidence string"
 
@@ -119,3 +119,17 @@ def test_nothing_stays_in_the_session(spark):
     chains.helpers(spark.createDataFrame([("a",)], "root string"), calls).count()
     assert spark.conf.get("spark.sql.cteRecursionRowLimit") == limit and len(spark.catalog.listTables()) == views
     assert dict(spark.sparkContext.getConf().getAll()) == before
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_facts_are_worked_out_once(spark):
+    """Lines and rendering calls come from a file's own array without a join, and facts are read where they were written."""
+    source = "\n".join(["x = 1", "render_template(", "'a.html',", "title=post.title)", "# render_template('b.html', a=b)"])
+    files = spark.createDataFrame([("a.py", "python", source), ("a.html", "template", "{{ post.title | safe }}"), ("b.py", "python", None)], "file string, language string, text string")
+    assert "Join" not in _plan(facts.statements(files))
+    found = facts.facts(files)
+    assert "MapInArrow" not in _plan(found) and "Aggregate" not in _plan(found)
+    assert sorted((r["role"], r["file"], r["line"], r["field"], r["template"]) for r in found.collect()) == [("read", "a.py", 2, "title", "a.html"), ("sink", "a.html", 1, "title", "a.html")]

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed, flow, verdicts
 from ..functions.text import lookup, normal_field
+from ..sources.shared import stored
 
 TRACE = "array<struct<kind:string,strength:string,file:string,line:int>>"
 
@@ -85,7 +86,7 @@ def chains(writes: DataFrame, reads: DataFrame, sinks: DataFrame, template_quirk
     best = best_reads(sinks, _judged(reads, F.lit("xss")), template_quirk)
     w = writes.where("field <> ''").select("field", F.struct(*(c for c in writes.columns if c != "field")).alias("w"))
     s = best.where("field <> ''").select("field", F.struct(*(c for c in sinks.columns if c != "field")).alias("s"), F.col("read").alias("r"))
-    pairs = _met(w, s)
+    pairs = _met(stored(w, "writes"), stored(s, "sinks"))
     has_read = F.col("r").isNotNull()
     kind = F.coalesce(F.col("s.vulnerability_type"), F.col("w.vulnerability_type"), F.lit("unknown"))
     quality = flow.match_quality(F.col("w.kind"), F.col("r.kind"), F.col("s.kind"), F.col("r.template_var"))

@@ -6,6 +6,8 @@ depends on the lines before it. The SQL never builds the programs: it works the
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from ..operators import bridge, code, facts, rules
@@ -22,18 +24,21 @@ def _program(forms: list, size: int) -> Column:
     """The document's lines, each in the form at its length modulo size: functions of its words and its number (from 1)."""
 
     def line(x: Column, i: Column) -> Column:
-        words, n = F.translate(x, SPECIAL, ""), (i + 1).cast("string")
+        words, n = F.regexp_replace(x["line"], f"[{''.join(map(re.escape, SPECIAL))}]", ""), (i + 1).cast("string")
         made = None
         for k, form in enumerate(forms):
-            here, text = F.length(x) % size == k, F.concat(*(F.lit(p) if isinstance(p, str) else p for p in form(words, n)))
+            here, text = x["form"] == k, F.concat(*(F.lit(p) if isinstance(p, str) else p for p in form(words, n)))
             made = F.when(here, text) if made is None else made.when(here, text)
         return made
 
-    return F.array_join(F.transform(F.split("text", "\n"), line), "\n")
+    cut = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), (F.length(x) % size).alias("form")))
+    return F.array_join(F.transform(cut, line), "\n")
 
 
 def _files(spark, sf_dir, ending: str, text: Column):
-    return S.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("src/f"), F.col("doc_id").cast("string"), F.lit(ending)).alias("file"), text.alias("text"))
+    # asked of the table: asked of the program, it would be made once more for the answer
+    given = S.table(spark, sf_dir, "documents").where("text is not null")
+    return given.select("doc_id", F.concat(F.lit("src/f"), F.col("doc_id").cast("string"), F.lit(ending)).alias("file"), text.alias("text"))
 
 
 PHP_FORMS = [
@@ -114,12 +119,12 @@ writes AS (SELECT doc_id, 'orm_field' AS kind, 'title' AS field, n FROM l JOIN t
 
 
 def _apps(spark, sf_dir):
-    return _files(spark, sf_dir, "/app.py", F.concat(_program(APP_FORMS, 21), F.lit("\nrender_template(\"a.html\", head=post.title)"))).where("text is not null").withColumn("language", F.lit("python"))
+    return _files(spark, sf_dir, "/app.py", F.concat(_program(APP_FORMS, 21), F.lit("\nrender_template(\"a.html\", head=post.title)"))).withColumn("language", F.lit("python"))
 
 
 def _pages(spark, sf_dir):
     forms = [lambda w, n: ["<b>{{ post.title | safe }}</b>"]] + [lambda w, n: ["<i>", w, "</i>"]] * 8
-    return _files(spark, sf_dir, "/a.html", _program(forms, 9)).where("text is not null").withColumn("language", F.lit("template"))
+    return _files(spark, sf_dir, "/a.html", _program(forms, 9)).withColumn("language", F.lit("template"))
 
 
 def _doc(file: str) -> Column:
