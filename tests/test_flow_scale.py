@@ -133,3 +133,15 @@ def test_facts_are_worked_out_once(spark):
     found = facts.facts(files)
     assert "MapInArrow" not in _plan(found) and "Aggregate" not in _plan(found)
     assert sorted((r["role"], r["file"], r["line"], r["field"], r["template"]) for r in found.collect()) == [("read", "a.py", 2, "title", "a.html"), ("sink", "a.html", 1, "title", "a.html")]
+
+
+def test_bridged_sides_are_read_where_they_were_written(spark):
+    """No pattern runs again for each use of the chains, and of one storage identity and sink the best chain stays."""
+    side = lambda name, rows: spark.createDataFrame(rows, f"{name} long, field string, file string, line int, kind string, evidence string, vulnerability_type string, severity string, template string, template_var string, source_expr string, sink_function string")
+    row = lambda i, file, line, evidence: (i, "name", file, line, "sql_field", evidence, "xss", "high", None, None, "request.args", "echo")
+    writes, reads, sinks = side("write_id", [row(1, "w", 1, "htmlspecialchars(x)"), row(2, "w", 2, "strip_tags(x)"), row(3, "w", 3, "x")]), side("read_id", [row(1, "r", 1, "e")]), side("sink_id", [row(8, "w", 1, "htmlspecialchars(x)")])
+    found = bridge.chains(writes, reads, sinks)
+    assert "Window" not in _plan(found) and "htmlspecialchars" not in _plan(found)
+    told = {r["write_id"]: r for r in bridge.without_repeats(found).collect()}
+    assert {k: (r["n_strong"], r["n_weak"], len(r["breakpoints"])) for k, r in told.items()} == {1: (1, 0, 0), 2: (1, 1, 0), 3: (1, 0, 0)}
+    assert {k: r["noise_tags"] for k, r in told.items()} == {1: ["sanitized_before_sink"], 2: ["sanitized_before_sink", "duplicate_storage_sink"], 3: ["sanitized_before_sink", "duplicate_storage_sink"]}

@@ -103,6 +103,14 @@ def breakpoints(quality: Column, write_kind: Column, has_read: Column, sink_kind
     return F.array_sort(F.array_distinct(F.array_compact(found)))
 
 
+def n_breakpoints(quality: Column, write_kind: Column, has_read: Column, sink_kind: Column, write_evidence: Column) -> Column:
+    """How many breakpoints a chain has, without making their list: a file that isn't saved counts once."""
+    one = lambda condition: F.when(condition, 1).otherwise(0)
+    unbound = (quality == "storage_read_binding") | (~has_read & (sink_kind == "template_field"))
+    unsaved = (write_kind == "file_slot") & (quality != "weak_name_match") & ~F.rlike(F.coalesce(write_evidence, F.lit("")), F.lit(fixed.FILE_WRITE))
+    return one(quality == "weak_name_match") + one(unbound) + one(unsaved)
+
+
 def noise_tags(quality: Column, has_read: Column, sink_kind: Column, n_strong: Column) -> Column:
     """Sorted reasons to doubt a chain."""
     found = F.array(

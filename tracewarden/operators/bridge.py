@@ -8,10 +8,13 @@ and is looked up by nearest line first, and only then are writes joined. A pair
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed, flow, verdicts
-from ..functions.text import lookup, normal_field
+from ..functions.text import first_true, lookup, normal_field
 from ..sources.shared import stored
 
 TRACE = "array<struct<kind:string,strength:string,file:string,line:int>>"
@@ -76,7 +79,14 @@ def _judged(facts: DataFrame, type_: Column) -> DataFrame:
     evidence = F.coalesce("evidence", F.lit(""))
     trace = F.transform(flow.sanitizers(evidence, type_), lambda x: F.struct(x["kind"].alias("kind"), x["strength"].alias("strength"), F.col("file").alias("file"), F.col("line").alias("line")))
     identity = F.when(F.col("kind").isNotNull(), flow.storage_identity(F.col("kind"), F.col("field"), evidence))
-    return facts.withColumns({"trace": trace.cast(TRACE), "identity": identity, "danger": flow.dangerous(type_, F.col("evidence"))})
+    rank = F.when(identity.isNotNull(), F.struct(lookup(identity["confidence"], fixed.CONFIDENCE_RANK).alias("rank"), identity["identity"].alias("identity")))
+    return facts.withColumns({"trace": trace.cast(TRACE), "identity": rank, "danger": flow.dangerous(type_, F.col("evidence"))})
+
+
+def _distinct(strength: str) -> Column:
+    """How many sanitizers of a strength write, read and sink have, one at one place counted once; a fact has at most one of each."""
+    own = [F.get(F.filter(F.col(f"{x}.trace"), lambda t: t["strength"] == strength), F.lit(0)) for x in "wrs"]
+    return sum((F.when(reduce(and_, (~x.eqNullSafe(y) for y in own[:i]), x.isNotNull()), 1).otherwise(0) for i, x in enumerate(own)), F.lit(0))
 
 
 def chains(writes: DataFrame, reads: DataFrame, sinks: DataFrame, template_quirk: bool = True) -> DataFrame:
@@ -93,22 +103,24 @@ def chains(writes: DataFrame, reads: DataFrame, sinks: DataFrame, template_quirk
     none = F.array().cast(TRACE)
     trace = F.array_distinct(F.concat(*(F.coalesce(F.col(f"{x}.trace"), none) for x in "wrs")))
     rows = pairs.withColumns({"match_quality": quality, "sanitizer_trace": trace, "vulnerability_type": kind})
-    strong, weak = (F.size(F.filter("sanitizer_trace", lambda x: x["strength"] == name)) for name in ("strong", "weak"))
+    strong, weak = _distinct("strong"), _distinct("weak")
+    n_breakpoints = flow.n_breakpoints(F.col("match_quality"), F.col("w.kind"), has_read, F.col("s.kind"), F.col("w.evidence"))
     positive = F.when(F.col("s.danger"), 1).otherwise(0) + F.when(F.col("s.kind") == "file_slot", 1).otherwise(0) + F.when(F.coalesce(F.col("r.template_var"), F.lit("")) != "", 1).otherwise(0)
     rows = rows.withColumns({"n_strong": strong, "n_weak": weak, "n_positive": positive, "breakpoints": flow.breakpoints(F.col("match_quality"), F.col("w.kind"), has_read, F.col("s.kind"), F.col("w.evidence"))})
     rows = rows.withColumn("noise_tags", flow.noise_tags(F.col("match_quality"), has_read, F.col("s.kind"), F.col("n_strong")))
-    rows = rows.withColumn("evidence_score", flow.score(F.col("match_quality"), F.col("w.source_expr").isNotNull(), has_read, F.col("s.sink_function").isNotNull(), F.col("n_positive"), F.col("n_strong"), F.col("n_weak"), F.size("breakpoints")))
+    rows = rows.withColumn("evidence_score", flow.score(F.col("match_quality"), F.col("w.source_expr").isNotNull(), has_read, F.col("s.sink_function").isNotNull(), F.col("n_positive"), F.col("n_strong"), F.col("n_weak"), n_breakpoints))
     rows = rows.withColumn("evidence_quality", flow.evidence_quality(F.col("evidence_score"), has_read, F.col("n_strong"), F.col("match_quality")))
-    identities = F.array_compact(F.array(*(F.col(f"{x}.identity") for x in "wrs")))
-    best_of = F.array_max(F.transform(identities, lambda x, i: F.struct(lookup(x["confidence"], fixed.CONFIDENCE_RANK).alias("rank"), (-i).alias("place"), x["identity"].alias("identity"), x["confidence"].alias("confidence"))))
+    ranks = {x: F.coalesce(F.col(f"{x}.identity.rank"), F.lit(-1)) for x in "wrs"}
+    best_rank = F.greatest(*ranks.values())
+    identity = first_true([(best_rank < 0, None), *((rank == best_rank, F.col(f"{x}.identity.identity")) for x, rank in ranks.items())])
     return rows.select(
         flow.stable_id("DF-", 12, F.col("w.file"), F.col("w.line").cast("string"), flow.field_key(F.col("field")), F.col("s.file"), F.col("s.line").cast("string")).alias("chain_id"),
         F.lit("cross_request").alias("chain_kind"), "vulnerability_type", F.coalesce(F.col("s.severity"), F.lit("high")).alias("severity"), "field",
         F.col("w.file").alias("write_file"), F.col("w.line").alias("write_line"), F.col("w.write_id").alias("write_id"), F.col("w.kind").alias("write_kind"),
         F.col("r.file").alias("read_file"), F.col("r.line").alias("read_line"),
         F.col("s.file").alias("sink_file"), F.col("s.line").alias("sink_line"), F.col("s.sink_id").alias("sink_id"), F.col("s.sink_function").alias("sink_function"),
-        best_of["identity"].alias("storage_identity"), "match_quality", "sanitizer_trace", "n_positive", "n_strong", "n_weak", "breakpoints", "noise_tags", "evidence_score", "evidence_quality",
-        ((F.col("evidence_quality") == "weak") | F.array_contains("noise_tags", "sanitized_before_sink")).alias("suppressed"),
+        identity.alias("storage_identity"), "match_quality", "sanitizer_trace", "n_positive", "n_strong", "n_weak", "breakpoints", "noise_tags", "evidence_score", "evidence_quality",
+        ((F.col("evidence_quality") == "weak") | (F.col("n_strong") > 0)).alias("suppressed"),
     )
 
 
@@ -128,9 +140,9 @@ def without_repeats(found: DataFrame) -> DataFrame:
     tagged. A chain without an identity is never a repeat. The best is aggregated and joined back, not ranked in a window."""
     key = ["storage_identity", "sink_file", "sink_line", "vulnerability_type"]
     named = found.where(F.coalesce("storage_identity", F.lit("")) != "")
-    best = named.groupBy(*key).agg(F.min_by("chain_id", F.struct((-F.col("evidence_score")).alias("score"), "write_id", "sink_id")).alias("_best"))
+    best = named.groupBy(*key).agg(F.min(F.struct((-F.col("evidence_score")).alias("score"), "write_id", "sink_id")).alias("_best"))
     joined = found.join(best, key, "left")
-    again = F.col("_best").isNotNull() & (F.col("_best") != F.col("chain_id"))
+    again = F.col("_best").isNotNull() & ~((F.col("_best.write_id") == F.col("write_id")) & (F.col("_best.sink_id") == F.col("sink_id")))
     out = joined.withColumns({"suppressed": F.col("suppressed") | again, "noise_tags": F.when(again, F.array_append("noise_tags", F.lit("duplicate_storage_sink"))).otherwise(F.col("noise_tags"))})
     return out.select(*found.columns)
 
