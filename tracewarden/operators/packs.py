@@ -164,10 +164,11 @@ def bridge_packs(chains: DataFrame, refuting: DataFrame | None = None) -> DataFr
     words = lambda name, c: F.when(F.size(c) > 0, F.concat(F.lit(f"- {name}: "), F.array_join(c, ", ")))
     head = F.concat(F.lit("# "), F.col("vulnerability_type"), F.lit(" ("), F.col("evidence_quality"), F.lit(", "), F.col("evidence_score").cast("string"), F.lit(")"))
     trace = F.transform(F.slice("sanitizer_trace", 1, SANITIZERS), lambda x: F.concat_ws(" ", x["strength"], x["kind"], F.concat_ws(":", x["file"], x["line"].cast("string"))))
-    against = []
-    if refuting is not None:
-        first = symbols.first_rows(refuting, ["chain_id"], [F.col("ord")], REFUTING)
-        rows = _listed(first, ["chain_id"], F.col("place"), F.concat(F.lit("- "), F.col("kind"), F.lit(": "), F.left(F.btrim(F.coalesce("evidence", F.lit(""))), F.lit(240))), "_refuting", "\n")
-        chains = chains.join(rows, "chain_id", "left")
-        against = [F.concat(F.lit("## Refuting evidence\n"), F.col("_refuting"))]
-    return chains.select("chain_id", F.concat_ws("\n", head, step("write", "write_file", "write_line"), F.concat(F.lit("- storage: "), F.col("storage_identity")), step("read", "read_file", "read_line"), step("sink", "sink_file", "sink_line"), words("sanitizers", trace), words("breakpoints", F.col("breakpoints")), words("noise", F.col("noise_tags")), *against).alias("pack"))
+    made = F.concat_ws("\n", head, step("write", "write_file", "write_line"), F.concat(F.lit("- storage: "), F.col("storage_identity")), step("read", "read_file", "read_line"), step("sink", "sink_file", "sink_line"), words("sanitizers", trace), words("breakpoints", F.col("breakpoints")), words("noise", F.col("noise_tags")))
+    found = chains.select("chain_id", made.alias("pack"))
+    if refuting is None:
+        return found
+    first = symbols.first_rows(refuting, ["chain_id"], [F.col("ord")], REFUTING)
+    rows = _listed(first, ["chain_id"], F.col("place"), F.concat(F.lit("- "), F.col("kind"), F.lit(": "), F.left(F.btrim(F.coalesce("evidence", F.lit(""))), F.lit(240))), "_refuting", "\n")
+    # the text is what meets them, not what it is made of
+    return found.join(rows, "chain_id", "left").select("chain_id", F.concat_ws("\n", "pack", F.concat(F.lit("## Refuting evidence\n"), F.col("_refuting"))).alias("pack"))
