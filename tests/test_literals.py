@@ -6,6 +6,7 @@ import re
 
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from tracewarden.operators import literals, rules
 
@@ -69,3 +70,45 @@ def test_scan(spark):
         ("empty", "a.py", 6, 2, ""), ("empty", "a.py", 7, 0, ""), ("twice", "a.py", 5, 13, '"abc"'),
     ]
     assert rules.matched(spark.createDataFrame(lines, "file string, line int, code string"), []).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("pattern", "expected"),
+    [
+        (r"\beval\s*\(", {"eval"}),
+        (r"(?i)\b(?:EXEC|shell_exec)\s*\(", {"exec", "shell_exec"}),
+        (r"(?:ab\w|cd)+x", {"ab", "cd"}),
+        (r"ab?cd", {"acd", "abcd"}),
+        (r"\w+eval", set()),
+        (r"do\w+longer", set()),  # the longer literal tells more
+        (r"(['\"])key\1", set()),
+        (r"(?P<name>eval)", set()),
+        (r"\beval\b{g}", set()),
+        (r"eval\v", set()),
+    ],
+)
+def test_leading(pattern, expected):
+    assert literals.leading(pattern) == expected
+
+
+def test_tested_where_they_stand(spark):
+    """Rules whose literals a line holds only within other words, in another case or before other signs cost it no search."""
+    found = literals.index([r"\beval\b", r"\bKISS\b", r"\bevaluate[,.]", r"\w+\.query"])
+    lines = spark.createDataFrame([("medieval evaluated kiss a.query",), ("eval KISS evaluate, x.que",), (None,)], "code string")
+    rows = lines.select(literals.met(F.col("code"), found).alias("met")).select(literals.numbers(F.col("met"), found.sure).alias("sure"), literals.numbers(F.col("met"), found.maybe).alias("maybe")).collect()
+    assert [(sorted(r["sure"]), sorted(r["maybe"])) for r in rows[:2]] == [([], [3]), ([0, 1, 2], [0])]
+    assert rows[2]["sure"] is None
+
+
+def test_scan_as_rule_by_rule(spark):
+    """Rules with literals in common, at edges of words and within them, of either case, with what looks back and ahead."""
+    heads, bodies, tails = ["", r"\b", "(?i)", r"(?i)\b", "^", "(?<=x)", "(?<![.])"], ["is", "isk", "Kis", "ki(?:s|ss)t?", "sk[iy]", "is|ki", "[.]is", r"\]k", "(?:is)+"], ["", r"\b", "[,.]", r"\s*\(", "(?=x)", "$", "é"]
+    patterns = [h + (f"(?:{b})" if "|" in b else b) + t for h in heads for b in bodies for t in tails]
+    own = [rules.Rule(f"r{i}", "f", p, "any", "xss", endings=("py",) if i % 4 == 0 else ()) for i, p in enumerate(patterns)]
+    words = ["is", "isk", "KIS", "kist", "skix", "ſKıſ", "Is,", "ki.", ".is", "]k", "isis", "xis", "éis", "isé", "is (", "kiss(", "_is", "1is", "sky", "🙂kis", "Kisk"]
+    lines = [(f"{a}{i}.{'py' if i % 2 else 'js'}", i, a + s + b) for i, (a, s, b) in enumerate((a, s, b) for a in words for s in ("", " ") for b in words[::2])]
+    given = spark.createDataFrame(lines, "file string, line int, code string")
+    expected = given.select("*", *(F.rlike("code", F.lit(f"(?U){p}")).alias(f"r{i}") for i, p in enumerate(patterns))).collect()
+    fits = {(r["file"], f"r{i}") for r in expected for i in range(len(patterns)) if r[f"r{i}"] and (i % 4 or r["file"].endswith(".py"))}
+    rows = rules.matched(given, own).select("file", "rule_id").collect()
+    assert len(rows) == len(fits) and {tuple(r) for r in rows} == fits

@@ -2,6 +2,7 @@
 
 Rules are a small table (at most MOST_RULES, checked); lines are the large one. One expression finds the literals of all rules
 in a line, and only the rules that those allow are tested on it, so what a line costs hardly grows with the rules. Rules that
+begin with their literals are told by that expression itself. Rules that
 require no literal are foldable predicates of the same projection.
 """
 
@@ -91,19 +92,24 @@ def matched(lines: DataFrame, rules: list[Rule]) -> DataFrame:
     first match, from 0) and matched_text. Patterns see Unicode letters as word characters."""
     if len(rules) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
-    allowed, everywhere = literals.candidates(F.col("code"), [r.pattern for r in rules])
-    parts, by_endings = [allowed], defaultdict(list)
-    for i in everywhere:
+    index = literals.index([r.pattern for r in rules])
+    sure = literals.numbers(F.col("_met"), index.sure)
+    allowed = F.array_except(literals.numbers(F.col("_met"), index.maybe), sure)
+    parts, by_endings = [], defaultdict(list)
+    for i in index.rest:
         by_endings[rules[i].endings].append(i)
     for endings, own in by_endings.items():
         found = F.array_compact(F.array(*(F.when(F.rlike("code", F.lit(f"(?U){rules[i].pattern}")), F.lit(i)) for i in own)))
         none = F.array().cast("array<int>")
         parts.append(F.when(paths.suffix(F.col("file")).isin(*endings), found).otherwise(none) if endings else found)
-    spread = lines.withColumn("rule_ord", F.explode(F.concat(*parts)))
+    told = F.transform(F.concat(sure, *parts), lambda i: F.struct(i.alias("rule_ord"), F.lit(True).alias("_told")))
+    untold = F.transform(allowed, lambda i: F.struct(i.alias("rule_ord"), F.lit(False).alias("_told")))
+    # endings are worked out for a line, not for each rule
+    spread = lines.withColumns({"_met": literals.met(F.col("code"), index), "_suffix": paths.suffix(F.col("file"))}).withColumn("_rule", F.explode(F.concat(told, untold)))
     known = table(lines.sparkSession, rules, "_endings")
     pattern = F.concat(F.lit("(?U)"), F.col("pattern"))
-    hits = spread.join(F.broadcast(known), "rule_ord").where((F.size("_endings") == 0) | F.array_contains("_endings", paths.suffix(F.col("file")))).drop("_endings")
-    hits = hits.where(F.call_function("rlike", F.col("code"), pattern))
+    hits = spread.select(*lines.columns, "_suffix", "_rule.*").join(F.broadcast(known), "rule_ord").where((F.size("_endings") == 0) | F.array_contains("_endings", F.col("_suffix")))
+    hits = hits.where(F.col("_told") | F.call_function("rlike", F.col("code"), pattern)).drop("_endings", "_suffix", "_told")
     # what stands before the first match; an empty match at the start parts nothing off
     before = F.when(F.call_function("regexp_instr", F.col("code"), pattern) == 1, 0).otherwise(F.char_length(F.get(F.split("code", pattern, F.lit(2)), F.lit(0))))
     return hits.withColumn("matched_text", F.call_function("regexp_extract", F.col("code"), pattern, F.lit(0))).withColumn("column", before)

@@ -52,7 +52,7 @@ hits AS (SELECT DISTINCT rule_id, file, line FROM bare JOIN rules ON token = wor
 
 def word_rules(spark, sf_dir):
     """A table of rules, as rules.load takes it: whole words, whole words in either case, and words before a comma or dot."""
-    words = S.lines(spark, sf_dir).select(F.explode(F.regexp_extract_all("code", F.lit("[A-Za-z]+"), F.lit(0))).alias("word")).where(F.length("word") >= 4)
+    words = S.files(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("word"))
     top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(WORD_RULES).collect()
     shapes = (r"\b{}\b", r"(?i)\b{}\b", r"\b{}[,.]")
     return rules.table(spark, [rules.Rule(f"w-{r['word']}", r["word"], shapes[i % 3].format(r["word"]), "any", "xss", endings=("py", "php") if i % 5 == 0 else ()) for i, r in enumerate(top)], "endings")
