@@ -1,9 +1,9 @@
 """Rule scan: rules over source lines, the filter funnel, one hit a line, order of work.
 
 Rules are a small table (at most MOST_RULES, checked); lines are the large one. One expression finds the literals of all rules
-in a line, and only the rules that those allow are tested on it, so what a line costs hardly grows with the rules. Rules that
-begin with their literals are told by that expression itself. Rules that
-require no literal are foldable predicates of the same projection.
+in a line, and only the rules that those allow are tested on it, so what a line costs hardly grows with the rules. Rules whose
+matches begin with their literals are told by that expression itself; rules that require no literal are foldable predicates of
+the same projection.
 """
 
 from __future__ import annotations
