@@ -77,3 +77,15 @@ def test_many_records_in_few_batches(spark, tmp_path):
     opened = walk._opened(f"file://{tmp_path}", None)
     names = pa.RecordBatch.from_arrays([pa.array([f for f, _ in given])], names=["file"])
     assert [b.num_rows for b in opened(iter([names]))] == [len(given)]
+
+
+def test_roots_are_named_as_they_are(spark, tmp_path):
+    """A root with signs that an address may not hold, or that mean something else there, is listed, read and written as it is named."""
+    from tracewarden.plans.scratch import write_tree
+
+    for name in ("a b", "c%20d", "é#1"):
+        root = f"{tmp_path}/{name}"
+        assert write_tree(spark.createDataFrame([("x/a.py", "1\n2")], "file string, body string"), f"file://{root}") == 1
+        assert (tmp_path / name / "x" / "a.py").read_text() == "1\n2"
+        assert [(r["file"], r["text"]) for r in files.sources(spark, root).collect()] == [("x/a.py", "1\n2")]
+        assert sorted((r["line"], r["code"]) for r in files.source_lines(spark, f"file://{root}").collect()) == [(1, "1"), (2, "2")]

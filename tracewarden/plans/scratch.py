@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame
 
 from ..sources.shared import scratch
+from ..sources.walk import opened_at
 
 __all__ = ["scratch", "write_tree"]
 
@@ -24,7 +24,7 @@ def write_tree(rows: DataFrame, root: str, dealt: bool = False) -> int:
         rows = rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pa.fs.FileSystem.from_uri(root)
+        fs, base = opened_at(root)
         made: set[str] = set()
         for part in parts:
             for file, body in zip(part.column(0), part.column(1), strict=True):  # one text at a time

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 from functools import reduce
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs
@@ -27,6 +28,13 @@ def uri(root: str) -> str:
     return root.rstrip("/") if "://" in root else "file://" + os.path.abspath(root.removeprefix("file:"))
 
 
+def opened_at(root: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a root with a scheme, and the root's path there. Roots are paths as they are named, not escaped, and may hold signs that an address may not."""
+    if root.startswith("file:///"):
+        return pa.fs.LocalFileSystem(), root.removeprefix("file://")
+    return pa.fs.FileSystem.from_uri(quote(root, safe="%:/?#[]@!$&'()*+,;="))
+
+
 def fixed_part(path: str) -> tuple[str, list[str]]:
     """A path as the folder before its first name with *, ? or { (or before its last name), and the names from there on."""
     *head, last = path.rstrip("/").split("/")
@@ -41,7 +49,7 @@ def _listed(root: str):
         return pa.RecordBatch.from_arrays(columns, names=["file", "folder", "size", "modified"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pa.fs.FileSystem.from_uri(root)
+        fs, base = opened_at(root)
         local = root.startswith("file://")
         names, found = [], []
         for part in parts:
@@ -85,7 +93,7 @@ def _dealt(files: DataFrame) -> DataFrame:
 
 def _opened(root: str, most: int | None):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pa.fs.FileSystem.from_uri(root)
+        fs, base = opened_at(root)
         for part in parts:
             bodies, size, done = [], 0, 0
             for row, file in enumerate(part.column("file"), 1):
@@ -129,7 +137,7 @@ def _whole_lines(source: pa.NativeFile, start: int, end: int) -> bytes | None:
 
 def _range_lines(root: str, counted: bool):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pa.fs.FileSystem.from_uri(root)
+        fs, base = opened_at(root)
         columns: tuple[list, ...] = ([], [], [], []) if counted else ([], [], [])
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64()) if counted else (pa.string(), pa.int64(), pa.binary())
         size = 0
