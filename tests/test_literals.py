@@ -47,6 +47,24 @@ def test_every_match_holds_a_literal(pieces, texts):
             assert any(w in text.lower() for w in own)
 
 
+@pytest.mark.parametrize(
+    ("pattern", "expected"),
+    [(r"[\w.]+@[\w.]+", {"@"}), (r"\d{1,3}\.\d{1,3}", {"."}), (r"x\w+[#@]\w", {"#", "@"}), (r"\w+[#@]y", set()), (r"\w+@?", set()), (r"(?:\w+@|\w+#)", set()), (r"@|", set()), (r"(?i)k\w+", set()), (r"\d+(?:@\d)*", set()), (r"[[a-z]&&[^b]]@", set())],
+)
+def test_signs(pattern, expected):
+    assert literals.signs(pattern) == expected
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a", "@", r"\.", "[@#]", r"\w+", "#?", "(?:@|#)", "(?:@|a+)", "(@#)*", "@{2}", "(?=@)", "[^@]", ".", "(?:a@)+", "@|#"]), min_size=1, max_size=6), st.lists(st.text("aA@#.", max_size=20), min_size=1, max_size=20))
+def test_every_match_holds_a_sign(pieces, texts):
+    pattern = "".join(pieces)
+    own = literals.signs(pattern)
+    for text in texts:
+        if own and re.search(pattern, text):
+            assert any(w in text for w in own)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.sets(st.text("ab.(", min_size=2, max_size=5), min_size=1, max_size=12), st.text("ab.(", max_size=40))
 def test_finder_finds_all(words, text):

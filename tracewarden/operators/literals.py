@@ -38,6 +38,12 @@ def required(pattern: str) -> frozenset[str]:
     return _best(_walk(_parsed(pattern)))
 
 
+def signs(pattern: str) -> frozenset[str]:
+    """Texts of any length without letters, of which each match of the pattern holds one; none where that can't be told."""
+    fit = [own for own in _walk(_parsed(pattern)) if all(own) and not any(c.isalpha() for word in own for c in word)]
+    return max(fit, key=_rank, default=frozenset())
+
+
 def _parsed(pattern: str):
     """What the pattern is made of; nothing if it has syntax that means other things elsewhere (nested classes, quoting, free spacing)."""
     bare = re.sub(r"\\[^Q]", "", pattern, flags=re.S)

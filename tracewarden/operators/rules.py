@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..functions import fixed, paths, verdicts
+from ..functions.text import any_contains
 from . import literals
 
 MOST_RULES = 5_000
@@ -87,6 +88,12 @@ def violations(rules: DataFrame) -> DataFrame:
     return rules.select("rule_id", F.explode(F.array_compact(F.array(*(F.when(c, w) for c, w in cases)))).alias("problem")).unionByName(again).unionByName(broken)
 
 
+def _may_match(pattern: str) -> Column:
+    """Whether code holds a sign that each match of the pattern does, which costs less than a search in vain."""
+    own = literals.signs(pattern)
+    return any_contains(F.col("code"), tuple(sorted(own))) if own else F.lit(True)
+
+
 def matched(lines: DataFrame, rules: list[Rule]) -> DataFrame:
     """A row for each rule that matches a line(file, line, code): the line's columns, rule_ord, rule columns, column (of the
     first match, from 0) and matched_text. Patterns see Unicode letters as word characters."""
@@ -99,7 +106,7 @@ def matched(lines: DataFrame, rules: list[Rule]) -> DataFrame:
     for i in index.rest:
         by_endings[rules[i].endings].append(i)
     for endings, own in by_endings.items():
-        found = F.array_compact(F.array(*(F.when(F.rlike("code", F.lit(f"(?U){rules[i].pattern}")), F.lit(i)) for i in own)))
+        found = F.array_compact(F.array(*(F.when(_may_match(rules[i].pattern) & F.rlike("code", F.lit(f"(?U){rules[i].pattern}")), F.lit(i)) for i in own)))
         none = F.array().cast("array<int>")
         parts.append(F.when(paths.suffix(F.col("file")).isin(*endings), found).otherwise(none) if endings else found)
     told = F.transform(F.concat(sure, *parts), lambda i: F.struct(i.alias("rule_ord"), F.lit(True).alias("_told")))
